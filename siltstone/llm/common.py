@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1_500_000
+SLICE_ROWS = 4096
 
 U = np.uint64
 #: Odd multipliers of the polynomial hashes (any odd numbers do) and of the final mixing.
@@ -111,13 +113,15 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Batches cut so that each slice has about that many bytes of text, with the texts as arrays."""
+    """Batches cut so that each slice has about that many bytes of text, and SLICE_ROWS rows at most, with the texts as arrays."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
-        group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // most
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        step = (before // most)[1:] != (before // most)[:-1]
+        step |= np.arange(1, len(sizes)) % SLICE_ROWS == 0
+        edges = [0, *(np.flatnonzero(step) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             part = batch.slice(a, b - a)
             yield part, texts_of(part.column(text))
@@ -135,10 +139,13 @@ class Words:
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        return prefix_sums(self.data, BYTE_BASE)
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        prefix = prefix_sums(self.data, BYTE_BASE)
-        return spans_hash(prefix, BYTE_BASE, self.starts, self.ends)
+        return spans_hash(self.prefix, BYTE_BASE, self.starts, self.ends)
 
 
 def words_of(texts: Texts, lower: bool = False) -> Words:
@@ -196,3 +203,24 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         best = np.where(values[right] < values[left], right, left)
         span += step
     return best[:n]
+
+
+def lines_of(words: Words, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans of the \\n-split lines, and where each text's lines begin; an empty text has one empty line."""
+    breaks = np.flatnonzero(texts.data == 0x0A)
+    starts = np.concatenate([texts.bounds[:-1], breaks + 1])
+    owner = np.concatenate([np.arange(len(texts)), texts.of(breaks)])
+    ends = np.concatenate([texts.bounds[1:], breaks])
+    end_owner = owner.copy()
+    starts, ends = starts[np.lexsort((starts, owner))], ends[np.lexsort((ends, end_owner))]
+    return starts, ends, np.searchsorted(np.sort(owner), np.arange(len(texts) + 1))
+
+
+def seen_before(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items in order, with their text: which equal an earlier one, and which a later one, of the same text."""
+    order = np.argsort(hashes, kind="stable")
+    order = order[np.argsort(text[order].astype(np.uint16 if not len(text) or text.max() < 1 << 16 else np.int64), kind="stable")]
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    earlier, later = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    earlier[order[1:]], later[order[:-1]] = same, same
+    return earlier, later

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import packing
+from siltstone.llm import minhash, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +20,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), trees)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op3_quality": op3_quality, "op5_minhash": op5_minhash}
 ORACLE_SQL: dict[str, str] = {}
