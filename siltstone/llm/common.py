@@ -8,6 +8,7 @@ so memory follows the longest single text and not Spark's rows per batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -99,8 +100,9 @@ class Texts:
 
 
 def texts_of(column: pa.Array) -> Texts:
-    """A string column's buffers; null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """A string or binary column's buffers; null counts as empty."""
+    text = not pa.types.is_binary(column.type)
+    column = pc.fill_null(column, "" if text else b"").cast(pa.large_string() if text else pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -224,3 +226,50 @@ def seen_before(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     earlier, later = np.zeros(len(text), bool), np.zeros(len(text), bool)
     earlier[order[1:]], later[order[:-1]] = same, same
     return earlier, later
+
+
+class Scratch:
+    """Tables written in the shared folder for the length of one operator's run, compressed, and dropped at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base = spark, f"{ensure_checkpoint_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def __exit__(self, *_: object) -> None:
+        remove_folder(self.spark, self.base)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Through Hadoop's file system, so that any shared store will do."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Batches of a partition sorted by the keys, put together so that no group is split; at least that many bytes if there are."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= least:
+            now = [np.asarray(batch.column(k)) for k in keys]
+            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys]
+            other = np.logical_or.reduce([n != x for n, x in zip(now, last)])
+            at = int(other.argmax()) if other.any() else batch.num_rows
+            held.append(batch.slice(0, at))
+            if at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size, batch = [], 0, batch.slice(at)
+            else:
+                continue
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
