@@ -193,18 +193,18 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each full window of that width the place of its smallest value, the leftmost of equals."""
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest value of each full window of that width: of each block's running minima from both ends, two meet."""
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    best, span = np.arange(len(values)), 1
-    while span < width:  # windows of doubling width; a smaller left half wins ties
-        step = min(span, width - span)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(values[right] < values[left], right, left)
-        span += step
-    return best[:n]
+        return values[:0]
+    blocks = -(-len(values) // width)
+    padded = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    padded = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(padded, 1).ravel()
+    behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
 def lines_of(words: Words, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

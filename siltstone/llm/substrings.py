@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MIX_2, Scratch, U, Words, covered, cut, mix, prefix_sums, ranges, run_starts, slices, sliding_argmin, spans_hash, texts_of, whole_groups, windows_hash, words_of
+from siltstone.llm.common import MIX_2, Scratch, U, Words, covered, cut, mix, prefix_sums, ranges, run_starts, slices, sliding_min, spans_hash, texts_of, whole_groups, windows_hash, words_of
 
 WIDTH, MER = 50, 16
 HOT = 1000
@@ -40,7 +40,7 @@ def super_kmers(words: Words, width: int, mer: int) -> tuple[np.ndarray, np.ndar
     firsts, values = windows_hash(words, hashes, mer)
     order = np.full(len(hashes), np.iinfo(U).max, U)
     order[firsts] = mix(values ^ MIX_2)
-    least = order[sliding_argmin(order, width - mer + 1)[starts]]
+    least = sliding_min(order, width - mer + 1)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
