@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import minhash, packing, quality, substrings, suffixes
+from siltstone.llm import minhash, packing, quality, rules, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,5 +41,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash}
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op9_rules": op9_rules}
 ORACLE_SQL: dict[str, str] = {}
