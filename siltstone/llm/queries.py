@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import minhash, packing, quality, rules, substrings, suffixes
+from siltstone.llm import minhash, packing, quality, rules, substrings, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,11 +41,23 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op9_rules": op9_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op7_warc": op7_warc, "op9_rules": op9_rules}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as head from p)
+        select page_id, payload_bytes, payload_digest,
+            case when head is not null and page_id < head then 'revisit' else 'response' end as record_type,
+            case when head is not null and page_id < head then head end as refers_to
+        from q""",
+}
