@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import minhash, packing, quality, rules, substrings, suffixes, warc
+from siltstone.llm import decontaminate, minhash, packing, quality, rules, substrings, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,11 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op7_warc": op7_warc, "op9_rules": op9_rules}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op7_warc": op7_warc, "op9_rules": op9_rules, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
