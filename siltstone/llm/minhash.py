@@ -7,8 +7,10 @@
 3. In each bucket every class is held against the smallest one. The joint likelihood of the two sketches (sizes are known)
    estimates the similarity; a pair that may reach the threshold is confirmed on full sets.
 4. Buckets that then still hold several components get their other pairs: the bucket is cut into blocks, whose pairs are
-   compared sketch by sketch, each pair only in the first band that it shares, only across components; those that may reach
-   the threshold are confirmed. So no link between different sets is lost to step 3, and nothing is capped.
+   compared sketch by sketch, each pair only in the first band that it shares, only across components. Sets of up to PRINTED
+   shingles also have 16-bit fingerprints of all of them there, whose matches bound the intersection from above, so few
+   pairs but true links leave a block; these are confirmed. So no link between different sets is lost to step 3, and
+   nothing is capped.
 5. Components of the confirmed links.
 
 A pair at 0.8 shares no band with a chance of 1.3e-7, and its estimate falls short by MARGIN with one below 1e-6.
@@ -30,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MIX_1, MIX_2, Texts, U, cut, mix, slices, windows_hash, words_of
+from siltstone.llm.common import MIX_1, MIX_2, Scratch, Texts, U, cut, mix, ranges, slices, windows_hash, words_of
 from siltstone.llm.components import components
 
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
+_NO_PRINT = np.zeros(0, "<u2")
 #: SetSketch's parameters: base, rate and the largest register, as in Ertl (2021) for 16-bit registers.
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
 MARGIN = 0.15
-BLOCK = 512
+BLOCK = 1024
+#: A sketch holds 16-bit fingerprints of all shingles of sets up to this size.
+PRINTED = 1024
 FACTORS = (mix(np.arange(1, M + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -92,7 +97,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (set_1, set_2), and its registers as bytes (null: no shingles)."""
+    """doc_id, n_shingles, the set's fingerprint (set_1, set_2), and as bytes its registers (null: no
+    shingles) and its shingles' 16-bit fingerprints (null: too many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -101,18 +107,22 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             full = np.flatnonzero(counts)
             prints = np.zeros((2, len(counts)), U)
             raw: list[bytes | None] = [None] * len(counts)
+            short: list[bytes | None] = [None] * len(counts)
             if len(full):
                 edges = np.append(bounds[full], len(sets))
                 for k, factor in enumerate((MIX_1, MIX_2)):
                     prints[k, full] = np.add.reduceat(mix(sets * factor), edges[:-1])
                 for k, row in zip(full.tolist(), registers_of(sets, edges)):
                     raw[k] = row.tobytes()
+                tags = (sets >> U(48)).astype("<u2")
+                for k in np.flatnonzero((counts > 0) & (counts <= PRINTED)).tolist():
+                    short[k] = tags[bounds[k] : bounds[k + 1]].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(raw, pa.binary())],
-                ["doc_id", "n_shingles", "set_1", "set_2", "registers"],
+                [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(raw, pa.binary()), pa.array(short, pa.binary())],
+                ["doc_id", "n_shingles", "set_1", "set_2", "registers", "prints"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_1 long, set_2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_1 long, set_2 long, registers binary, prints binary")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -146,10 +156,10 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
     asked = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = cut(full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), shingle))
+    sets = scratch.put(full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), shingle), f"{name}_sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +173,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), name)
 
 
 def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -176,13 +186,17 @@ def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> Da
     rows = buckets.join(mixed, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", "band", "doc_id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    rows = rows.join(classes.select("doc_id", "n_shingles", "registers"), "doc_id")
+    rows = rows.join(classes.select("doc_id", "n_shingles", "registers", "prints"), "doc_id")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         ids, comp, part, n = (np.asarray(group.column(x)) for x in ("doc_id", "component", "part", "n_shingles"))
         band, p, q = (group.column(x)[0].as_py() for x in ("band", "p", "q"))
         regs = registers_in(group.column("registers").combine_chunks())
+        prints = [x if x is None else np.frombuffer(x, "<u2") for x in group.column("prints").to_pylist()]
+        known = np.array([x is not None for x in prints])
+        flat, edges = np.concatenate([_NO_PRINT, *(x for x in prints if x is not None)]), np.cumsum([0, *(0 if x is None else len(x) for x in prints)])
+        times = np.zeros(1 << 16, np.int64)
         found_a, found_b = [], []
         for i in range(len(ids)):
             if p != q and part[i] != p:
@@ -192,6 +206,14 @@ def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> Da
                 continue
             same = (regs[other] == regs[i]).reshape(len(other), BANDS, ROWS).all(2)
             other = other[same.argmax(1) == band]
+            if len(other) and known[i]:
+                times[:] = np.bincount(prints[i], minlength=1 << 16)
+                tested = other[known[other]]
+                at, sizes = ranges(edges[tested], edges[tested + 1] - edges[tested]), edges[tested + 1] - edges[tested]
+                # A tag that i has twice may match two shingles with that tag: times bounds it from above.
+                shared = np.add.reduceat(times[flat[at]], np.cumsum(sizes) - sizes) if len(tested) else sizes
+                shared = np.minimum(shared, np.minimum(n[i], n[tested]))
+                other = np.concatenate([tested[shared >= threshold * (n[i] + n[tested] - shared) - 1e-9], other[~known[other]]])
             if len(other):
                 mine = np.repeat(regs[i][None], len(other), 0)
                 other = other[estimate(mine, regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= threshold - MARGIN]
@@ -222,30 +244,36 @@ def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> Da
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that one), for every row of docs."""
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_near_duplicates(docs, shingle, percent, scratch))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     threshold = percent / 100
-    sketches = cut(sketch(docs, shingle))
+    sketches = scratch.put(sketch(docs, shingle), "sketches")
     known = sketches.where("doc_id is not null and n_shingles > 0")
-    heads = cut(known.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("head")))
+    heads = scratch.put(known.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("head")), "heads")
     member = known.select("doc_id", "set_1", "set_2", "n_shingles").join(heads, ["set_1", "set_2", "n_shingles"]).select("doc_id", "head").distinct()
-    classes = cut(known.join(heads.withColumnRenamed("head", "doc_id"), ["doc_id", "set_1", "set_2", "n_shingles"], "left_semi").select("doc_id", "n_shingles", "registers").distinct())
+    classes = known.join(heads.withColumnRenamed("head", "doc_id"), ["doc_id", "set_1", "set_2", "n_shingles"], "left_semi")
+    classes = scratch.put(classes.select("doc_id", "n_shingles", "registers", "prints").distinct(), "classes")
 
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, {2 * ROWS} * i + 1, {2 * ROWS})))")
     rows = classes.select("doc_id", F.posexplode(band).alias("band", "key"))
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    buckets = cut(rows.join(first, "key"))
-    pairs = cut(buckets.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(confirm(cut(likely(pairs, classes, threshold)), docs, shingle, percent))
+    buckets = scratch.put(rows.join(first, "key"), "buckets")
+    pairs = scratch.put(buckets.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = confirm(scratch.put(likely(pairs, classes, threshold), "likely"), docs, shingle, percent, scratch, "links")
     # A document in several classes (rows with equal doc_id) links them.
-    links_of_copies = member.where("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    links = links.unionAll(links_of_copies)
+    twice = member.where("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
+    links = links.unionAll(twice)
     found = components(links)
 
     labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = cut(unseen_pairs(labelled, classes, threshold).join(pairs, ["a", "b"], "left_anti"))
+    more = scratch.put(unseen_pairs(labelled, classes, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        found = components(links.unionAll(cut(confirm(more, docs, shingle, percent))))
+        found = components(links.unionAll(confirm(more, docs, shingle, percent, scratch, "more_links")))
     of_head = found.select(F.col("node").alias("head"), F.col("component").alias("of_head"))
     labels = member.join(of_head, "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("of_head", "head")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

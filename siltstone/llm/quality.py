@@ -167,7 +167,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """doc_id, text, label of at most that many labelled rows which may teach, drawn by a hash of doc_id."""
     drawn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out() & F.col("label").isin(0, 1))
     drawn = drawn.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "label").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # `most` bounds it
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
