@@ -5,6 +5,291 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from siltstone.functions import text, urls
+from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, vector, worklist
+from siltstone.plans import ingestion
+from siltstone.schemas import PAGES_SQL, QUEUE_SQL, pages_of, queue_of, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of(table(spark, sf_dir, "documents"))
+
+
+def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue_of(table(spark, sf_dir, "orders"))
+
+
+# ---- search ------------------------------------------------------------------------------------------------------------
+
+
+def _search(name: str, q: str, limit: int = 10, literal: bool = False) -> None:
+    pattern = "%" + (q.replace("%", "$%").replace("_", "$_") if literal else q).translate(str.maketrans(text.UPPER, text.LOWER)) + "%"
+    like = lambda c: f"translate({c}, '{text.UPPER}', '{text.LOWER}') like '{pattern}'" + (" escape '$'" if literal else "")
+    sql = f"with {PAGES_SQL} select id, url, title, substring(content, 1, 500) as content, content_hash as hash from stored where {like('title')} or {like('content')} order by id limit {limit}"
+    query(name, sql)(lambda spark, d: search.search(stored(spark, d), q, limit, literal))
+
+
+_search("search_keyword", "The")
+_search("search_empty_query", "", 20)
+_search("search_wildcard", "o_ther")
+_search("search_literal", "100%", literal=True)
+_search("search_ascii_case", "ÉT", 50)
+_search("search_all_hits", "tion", 1_000_000)
+
+query("pages_paginated", f"with {PAGES_SQL} select * from stored order by id limit 50 offset 100")(lambda s, d: search.paginated(stored(s, d), 100, 50))
+query("page_projection", f"with {PAGES_SQL} select id, url, title, content, content_hash as hash from stored")(lambda s, d: search.page_row(stored(s, d)))
+query("snippet_web", f"with {PAGES_SQL} select id, url, coalesce(nullif(title, ''), 'No title') as title, case when length(content) > 200 then left(content, 200) || '...' else content end as snippet from stored")(
+    lambda s, d: search.web_snippet(stored(s, d))
+)
+query("snippet_bot", f"with {PAGES_SQL} select row_number() over (order by id) as rank, left(title, 50) as title, left(url, 50) as url, case when length(content) > 100 then left(content, 100) || '...' else content end as snippet from stored order by id limit 5")(
+    lambda s, d: search.bot_snippet(stored(s, d))
+)
+query("hash_prefix", f"with {PAGES_SQL} select id, url, coalesce(nullif(title, ''), 'NULL') as title, left(content_hash, 8) as hash8, left(content_hash, 12) as hash12 from stored")(lambda s, d: search.terminal_row(stored(s, d)))
+
+
+@query(
+    "page_detail",
+    """select event_id as id, 'u' || user_id::varchar as url, event_type as title, props as content, sha256(props) as hash,
+    case when date_part('microseconds', ts) % 1000000 = 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S') else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') end as crawl_time, value > 50 as embedded from events""",
+)
+def page_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return search.page_detail(e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("title"), F.col("props").alias("content"), F.sha2("props", 256).alias("content_hash"), F.col("ts").alias("crawl_time"), (F.col("value") > 50).alias("embedded")))
+
+
+@query("search_log", f"with {PAGES_SQL}, h as (select 1 from stored where translate(content, '{text.UPPER}', '{text.LOWER}') like '%the%' order by id limit 10) select 'The' as query, count(*)::int as results_count from h")
+def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.log_entry(search.search(stored(spark, sf_dir), "The"), "The").drop("timestamp")
+
+
+# ---- statistics and URLs -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "stats",
+    f"""with {QUEUE_SQL}, c as (select count(*) filter (status = 'queued') as queued, count(*) filter (status = 'processing') as processing, count(*) filter (status = 'completed') as completed,
+    count(*) filter (status = 'failed') as failed from queue)
+    select *, (select count(*) from documents) as pages, (select count(*) from lineitem) as chunks, (select count(*) from embeddings) as embeddings, queued + processing + completed + failed as total_queue from c""",
+)
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stats(crawl_queue(spark, sf_dir), *(table(spark, sf_dir, t) for t in ("documents", "lineitem", "embeddings")))
+
+
+query("memory_stats", f"with {QUEUE_SQL} select count(*) filter (status = 'queued') as queued, count(*) filter (status <> 'queued') as processed, (select count(*) from documents) as pages, count(*) as total from queue")(
+    lambda s, d: stats.memory_stats(crawl_queue(s, d), table(s, d, "documents"))
+)
+query("url_scheme_filter", "select page_id, url from pages where starts_with(url, 'http://') or starts_with(url, 'https://')")(lambda s, d: table(s, d, "pages").where(urls.has_scheme(F.col("url"))).select("page_id", "url"))
+query("url_prefix_filter", "select page_id, url from pages where starts_with(url, 'http')")(lambda s, d: table(s, d, "pages").where(urls.looks_like_url(F.col("url"))).select("page_id", "url"))
+query("url_host", "select page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) as host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) as authority from pages")(
+    lambda s, d: table(s, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.authority(F.col("url")).alias("authority"))
+)
+query("url_well_formed", "select page_id, regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?# ]+') as ok from pages")(lambda s, d: table(s, d, "pages").select("page_id", urls.is_well_formed(F.col("url")).alias("ok")))
+query("word_count", f"select doc_id, len(list_filter(string_split_regex(text, '{text.WS_RE2}+'), lambda w: w <> ''))::bigint as word_count from documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("word_count")))
+query("clean_text", f"select doc_id, {text.sql_clean('text')} as content from documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("content")))
+
+# ---- extraction, ingestion -----------------------------------------------------------------------------------------------
+
+for _name, _f in (("extract_lightweight", extract.lightweight), ("extract_minimal", extract.minimal), ("extract_worker", extract.worker), ("extract_body", extract.body_text), ("extract_direct", extract.direct)):
+    query(_name, extract.SQL[_name])(lambda s, d, f=_f: f(table(s, d, "pages")))
+query("extract_parser")(lambda s, d: extract.parse_html(table(s, d, "pages")))
+query("dedup_content_hash", f"with {PAGES_SQL} select * from stored qualify row_number() over (partition by content_hash order by id) = 1")(lambda s, d: dedup.first_by_hash(stored(s, d)))
+
+
+@query("ingest_first_writer")
+def ingest_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A url is shared by ids that agree modulo 700, so that both constraints bite.
+    d = table(spark, sf_dir, "documents")
+    return dedup.ingest(d.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("url"), F.sha2("text", 256).alias("content_hash")))
+
+
+@query("is_duplicate", "with s as (select distinct sha256(text) as h from documents where lang = 'en') select doc_id, coalesce(sha256(text) in (select h from s), false) as duplicate from documents")
+def is_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"))
+    return dedup.is_duplicate(d, d.where("lang = 'en'")).select("doc_id", "duplicate")
+
+
+@query("enqueue_dedup", "select min(event_id) as seq, 'https://u' || user_id::varchar || '.example.org/' as url, 'queued' as status from events where user_id not in (select o_custkey from orders where o_custkey is not null) group by user_id")
+def enqueue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = lambda c: F.concat(F.lit("https://u"), F.col(c).cast("string"), F.lit(".example.org/")).alias("url")
+    return dedup.enqueue(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), url("user_id")), table(spark, sf_dir, "orders").select(url("o_custkey")))
+
+
+@query("request_urls", "select l_orderkey, list_distinct(list(l_partkey)).len()::bigint as n from lineitem group by 1")
+def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.size(urls.distinct_urls(F.collect_list("l_partkey"))).cast("long").alias("n"))
+
+
+# ---- chunks --------------------------------------------------------------------------------------------------------------
+
+query("chunk_sentences", chunk.SENTENCES_SQL)(lambda s, d: chunk.chunk_by_sentences(stored(s, d)))
+query("chunk_fixed", chunk.FIXED_SQL)(lambda s, d: chunk.chunk_by_size(stored(s, d)))
+query("chunk_counts", f"select page_id, count(*) as chunks, sum(length(chunk_text))::bigint as chars from ({chunk.SENTENCES_SQL}) group by 1")(
+    lambda s, d: chunk.chunk_by_sentences(stored(s, d)).groupBy("page_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
+)
+
+# ---- work lists: lineitem as chunks of orders, every part below 40 % of the key range has an embedding -----------------------
+
+_CHUNKS = "ch as (select l_orderkey * 10 + l_linenumber as id, l_orderkey as page_id, l_returnflag as chunk_text, l_linenumber as chunk_index from lineitem where l_orderkey % 5 <> 0)"
+_PG = "pg as (select o_orderkey as id, o_orderpriority as content, o_orderstatus = 'F' as embedded from orders)"
+_EM = "em as (select id as chunk_id from ch where id % 3 <> 0)"
+
+
+def _work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("chunk_text"), F.col("l_linenumber").alias("chunk_index"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"), (F.col("o_orderstatus") == "F").alias("embedded"))
+    return pages, chunks, chunks.where("id % 3 <> 0").select(F.col("id").alias("chunk_id"))
+
+
+query("pages_needing_chunking", f"with {_CHUNKS}, {_PG} select id, content from pg where content <> '' and id not in (select page_id from ch) order by id")(lambda s, d: worklist.pages_needing_chunking(*_work(s, d)[:2]).select("id", "content"))
+query(
+    "pages_without_embeddings",
+    f"with {_CHUNKS}, {_PG}, {_EM} select distinct pg.id from pg left join ch on ch.page_id = pg.id left join em on em.chunk_id = ch.id where not pg.embedded and em.chunk_id is null",
+)(lambda s, d: worklist.pages_without_embeddings(*_work(s, d)).select("id"))
+query("chunks_without_embeddings", f"with {_CHUNKS}, {_EM} select id, page_id, chunk_text, chunk_index from ch where chunk_text <> '' and id not in (select chunk_id from em)")(lambda s, d: worklist.chunks_without_embeddings(*_work(s, d)[1:]))
+query("chunks_work_batch", f"with {_CHUNKS}, {_EM} select id, page_id, chunk_text, chunk_index from ch where chunk_text <> '' and id not in (select chunk_id from em) order by id limit 32")(lambda s, d: worklist.chunks_without_embeddings(*_work(s, d)[1:], limit=32))
+query("mark_embedded", f"with {_CHUNKS}, {_PG}, {_EM} select id, content, id in (select page_id from ch) and id not in (select page_id from ch where id not in (select chunk_id from em)) as embedded from pg")(lambda s, d: worklist.mark_embedded(*_work(s, d)))
+query("delete_pages", "select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")(
+    lambda s, d: worklist.delete_pages(table(s, d, "orders").select(F.col("o_orderkey").alias("id")), table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")))
+)
+query("page_chunk_navigation", f"with {_CHUNKS}, {_PG}, {_EM} select pg.id as page_id, ch.id as chunk_id, pg.content from pg join ch on ch.page_id = pg.id join em on em.chunk_id = ch.id")(
+    lambda s, d: (lambda p, c, e: p.select(F.col("id").alias("page_id"), "content").join(c.select(F.col("id").alias("chunk_id"), "page_id"), "page_id").join(e, "chunk_id").select("page_id", "chunk_id", "content"))(*_work(s, d))
+)
+
+# ---- vectors and ranking ---------------------------------------------------------------------------------------------------
+
+_COS = "list_cosine_similarity({a}::double[], {b}::double[])"
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+query("vector_topk", f"with q as (select embedding as e from embeddings order by vec_id limit 1) select vec_id, round({_COS.format(a='embedding', b='e')}, 6) as score from embeddings, q order by 2 desc, 1 limit 10")(
+    lambda s, d: vector.top_k(table(s, d, "embeddings"), _first_vector(s, d))
+)
+query("vector_json_roundtrip", "select vec_id, embedding::double[] as vector, len(embedding)::int as size from embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", vector.from_json(vector.to_json(F.col("embedding").cast("array<double>"))).alias("vector"), F.size("embedding").alias("size"))
+)
+query(
+    "similar_pages",
+    f"""select query_id, vec_id, score from (select q.vec_id as query_id, v.vec_id, round({_COS.format(a="q.embedding", b="v.embedding")}, 6) as score from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id)
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""",
+)(lambda s, d: vector.top_k_each(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 20 = 0")))
+query(
+    "page_embedding_mean",
+    "with c as (select label, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, round(avg(x), 6) as x from c group by 1, 2) select label, list(x order by i) as vector from m group by 1",
+)(lambda s, d: vector.mean_by(table(s, d, "embeddings"), "label"))
+query("vector_ann")(lambda s, d: vector.approximate_top_k(table(s, d, "embeddings"), _first_vector(s, d)))
+query("vector_clusters")(lambda s, d: vector.clusters(table(s, d, "embeddings"), 8))
+query(
+    "hashed_embedding",
+    f"""with w as (select doc_id, unnest(list_filter(string_split_regex(translate(text, '{text.UPPER}', '{text.LOWER}'), '{text.WS_RE2}+'), lambda x: x <> '')) as w from documents),
+    c as (select doc_id, (('0x' || substr(md5(w), 1, 8))::ubigint % 64)::int as i, sum(case when substr(md5(w), 9, 1) < '8' then 1 else -1 end)::int as s from w group by 1, 2),
+    g as (select d.doc_id, r.i, coalesce(c.s, 0) as s from documents d cross join (select unnest(range(64))::int as i) r left join c on c.doc_id = d.doc_id and c.i = r.i)
+    select doc_id, list(s order by i) as vector from g group by 1""",
+)(lambda s, d: table(s, d, "documents").select("doc_id", vector.hashed_embedding(F.col("text")).alias("vector")))
+
+_TERMS = ["the", "and"]
+_KEYWORD = "(" + " + ".join(f"case when contains(translate(text, '{text.UPPER}', '{text.LOWER}'), '{t}') then 1.0::double else 0.0::double end" for t in _TERMS) + ")::double / 2"
+_VECTOR = f"vec as (select vec_id, {_COS.format(a='embedding', b='(select embedding from embeddings order by vec_id limit 1)')} as v from embeddings)"
+_HOSTS = "hosts as (select source, count(*)::double / (select max(n) from (select count(*) as n from documents group by source)) as domain_score from documents group by source)"
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, source, v (similarity of the vector with the document's id to the first vector), domain_score."""
+    docs, vectors, first = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)
+    own = F.col("embedding").cast("array<double>")
+    scored = vectors.select(F.col("vec_id").alias("doc_id"), vector.cosine(own, F.array(*map(F.lit, map(float, first)))).alias("v"))
+    return docs.select("doc_id", "text", "source").join(scored, "doc_id", "left").withColumn("v", F.coalesce("v", F.lit(0.0))).join(rank.host_share(docs, "source"), "source")
+
+
+query(
+    "rank_basic",
+    f"with {_VECTOR}, {_HOSTS} select doc_id, round(0.6::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.1::double * least(length(text) / 500.0::double, 1.0::double) + 0.1::double * domain_score, 6) as score from documents left join vec on vec_id = doc_id join hosts using (source) order by 2 desc, 1 limit 20",
+)(lambda s, d: _factors(s, d).select("doc_id", F.round(rank.basic(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), rank.length_factor(F.col("text")), F.col("domain_score")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20))
+query(
+    "rank_extended",
+    f"with {_VECTOR}, {_HOSTS} select doc_id, round(0.4::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.15::double * domain_score + 0.15::double * ((doc_id % 30) / 30.0::double) + 0.1::double * coalesce(quality, 0), 6) as score from documents left join vec on vec_id = doc_id join hosts using (source) left join labels using (doc_id) order by 2 desc, 1 limit 20",
+)(
+    lambda s, d: _factors(s, d)
+    .join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    .select("doc_id", F.round(rank.extended(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), F.col("domain_score"), F.pmod("doc_id", F.lit(30)) / F.lit(30.0), F.coalesce("quality", F.lit(0))), 6).alias("score"))
+    .orderBy(F.desc("score"), "doc_id")
+    .limit(20)
+)
+query(
+    "hybrid_search",
+    f"with {_VECTOR}, h as (select doc_id, substring(text, 1, 200) as snippet, {_KEYWORD} as k from documents) select doc_id, snippet, round(0.7::double * coalesce(v, 0) + 0.3::double * k, 6) as score from h left join vec on vec_id = doc_id where k > 0 or v > 0.2 order by 3 desc, 1 limit 20",
+)(
+    lambda s, d: _factors(s, d)
+    .withColumn("k", rank.keyword_share(F.col("text"), _TERMS))
+    .where("k > 0 or v > 0.2")
+    .select("doc_id", F.substring("text", 1, 200).alias("snippet"), F.round(F.lit(0.7) * F.col("v") + F.lit(0.3) * F.col("k"), 6).alias("score"))
+    .orderBy(F.desc("score"), "doc_id")
+    .limit(20)
+)
+query("domain_search", "select page_id, url from pages where regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) = (select min(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) from pages)")(
+    lambda s, d: (lambda p: p.join(p.agg(F.min("h").alias("h")), "h", "left_semi").select("page_id", "url"))(table(s, d, "pages").withColumn("h", urls.host(F.col("url"))))
+)
+query("recent_search", "select event_id, event_type from events where ts >= timestamp '2024-01-20' and event_type = 'search' order by event_id")(lambda s, d: table(s, d, "events").where((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") == "search")).select("event_id", "event_type"))
+
+# ---- queue, logs -----------------------------------------------------------------------------------------------------------
+
+query("queue_next", f"with {QUEUE_SQL} select id, url, status, retries from queue where status = 'queued' order by scheduled_at, id limit 1")(lambda s, d: queue.next_item(crawl_queue(s, d)))
+query("queue_next_by_priority", f"with {QUEUE_SQL} select id, url, status, retries from queue where status = 'queued' order by priority, scheduled_at, id limit 1")(lambda s, d: queue.next_item(crawl_queue(s, d), by_priority=True))
+query("queue_claim_batch", f"with {QUEUE_SQL} select id, url, 'processing' as status, retries from queue where status = 'queued' order by scheduled_at, id limit 32")(lambda s, d: queue.claim(crawl_queue(s, d), 32))
+query("queue_finish", f"with {QUEUE_SQL} select id, url, case when id % 7 = 0 then 'completed' else status end as status, retries, priority, scheduled_at, case when id % 7 = 0 then scheduled_at end as processed_at from queue")(
+    lambda s, d: (lambda q: queue.finish(q.withColumn("processed_at", F.lit(None).cast("timestamp_ntz")), q.where("id % 7 = 0").select("id", F.lit("completed").alias("status"), F.col("scheduled_at").alias("processed_at"))))(crawl_queue(s, d))
+)
+query("queue_latest_status", "select user_id, max_by(event_type, (ts, event_id)) as status, max(ts) as at from events group by 1")(lambda s, d: queue.latest_status(table(s, d, "events"), "user_id", "event_type", "ts", "event_id"))
+query(
+    "politeness_schedule",
+    """with r as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) - 1 as k from events)
+    select event_id, (max(t - 2000000 * k) over (partition by user_id order by k rows unbounded preceding) + 2000000 * k - t)::bigint as wait_us from r""",
+)(lambda s, d: queue.schedule(table(s, d, "events"), "user_id", "ts", "event_id").select("event_id", "wait_us"))
+query("queue_retryable", f"with {QUEUE_SQL} select id, retries from (select *, 'failed' as st from queue) where st = 'failed' and retries < 3")(lambda s, d: queue.retryable(crawl_queue(s, d).withColumn("status", F.lit("failed")), 3).select("id", "retries"))
+query("queue_dead_letters", f"with {QUEUE_SQL} select id, retries from queue where retries >= 3")(lambda s, d: queue.dead_letters(crawl_queue(s, d).withColumn("status", F.lit("failed")), 3).select("id", "retries"))
+query("popular_searches", "select event_type as query, count(*) as searches from events group by 1 order by 2 desc, 1 limit 10")(lambda s, d: stats.popular(table(s, d, "events").withColumnRenamed("event_type", "query")))
+query("failed_searches", "select user_id as query, count(*) as searches, count(*) filter (value < 5) as empty from events group by 1 having count(*) filter (value < 5) > 0")(
+    lambda s, d: stats.failed(table(s, d, "events").select(F.col("user_id").alias("query"), F.when(F.col("value") < 5, 0).otherwise(1).alias("results_count")))
+)
+query("trend_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")(lambda s, d: stats.trend(table(s, d, "events"), "ts", "event_type"))
+query("recent_logs", "select event_id, event_type, ts from events order by ts desc, event_id desc limit 200")(lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "event_type", "ts"))
+query("domain_limit", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents) where n <= 5")(lambda s, d: dedup.domain_limit(table(s, d, "documents"), "source", ["doc_id"], 5).select("doc_id", "source"))
+query("change_detection", "select event_id, previous, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as previous from events) where previous is not null and previous <> event_type")(
+    lambda s, d: queue.changed(table(s, d, "events"), "user_id", "ts", "event_type", "event_id").select("event_id", "previous", "event_type")
+)
+
+
+@query("robots_filter", "select page_id from pages where not (contains(url, '/1') and regexp_matches(url, '^[a-z]+://[^/]*/1'))")
+def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("h"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))
+    rules = pages.select(F.col("h").alias("host")).distinct().select("host", F.explode(F.array(F.struct(F.lit("/").alias("prefix"), F.lit(True).alias("allow")), F.struct(F.lit("/1").alias("prefix"), F.lit(False).alias("allow")))).alias("r")).select("host", "r.*")
+    return queue.allowed(pages, rules, "h", "path").select("page_id")
+
+
+# ---- the whole plan --------------------------------------------------------------------------------------------------------
+
+
+@query("ingestion_chunks")
+def ingestion_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingestion.chunks(ingestion.stored(table(spark, sf_dir, "pages")))
+
+
+query("ingestion_vectors")(lambda s, d: ingestion.vectors(ingestion.chunks(ingestion.stored(table(s, d, "pages")))))
