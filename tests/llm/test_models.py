@@ -1,0 +1,201 @@
+"""The trained operators: quality trees, quality rules, personal data."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siltstone.llm import pii, quality, queries, rules
+
+from . import cases
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(cases.rows(), cases.SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, k % 2 if k % 5 else None, 0, "x") for k, (i, _) in enumerate(cases.texts())] + [(None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def test_quality_on_held_out_labels(spark):
+    rows = {r.doc_id: r for r in queries.op3_quality(spark, MIDDLE).collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    own = [(rows[i].predicted, q) for i, q in truth.items() if rows[i].held_out]
+    assert np.mean([p == q for p, q in own]) > 0.96
+    assert np.mean([p for p, q in own if q]) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
+
+
+def test_held_out_labels_teach_nothing(spark):
+    docs, own = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    ids = {r.doc_id for r in quality.sample(docs, own, "quality", 10_000).collect()}
+    assert ids and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in ids)
+
+
+def test_trees_score_like_a_walk():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] < 0)).astype(float)
+    trees = quality.grow(x, y, rounds=30, depth=3)
+    for row, got in zip(x[:50], trees.score(x[:50])):
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > t[node])
+            total += v[node - len(f)]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_quality_of_odd_rows(spark, odd, labels):
+    trees = quality.fit(odd, labels)
+    got = quality.score(odd, trees).collect()
+    assert len(got) == len(cases.rows()) and all(0 < r.score < 1 for r in got)
+    assert len({r.score for r in got if r.text in (None, "")}) == 1
+    none = quality.fit(odd, labels.where("false"))
+    assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
+    assert quality.score(odd.where("false"), trees).collect() == []
+
+
+def plain_counts(text):
+    text = text or ""
+    w = cases.words(text)
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        if cases.WORD.search(line):
+            lines += line in seen
+            seen.add(line)
+    runs = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    twice = [False] * len(w)
+    for k in range(len(w) - 7):
+        if runs[tuple(w[k : k + 8])] > 1:
+            twice[k : k + 8] = [True] * 8
+    n = sum(twice)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, n, len(w) < 20 or 100 * n > 30 * len(w)
+
+
+def test_rules_counts_equal_brute_force(odd, labels):
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.judge(odd, rules.fit(odd, labels)).collect()), key=repr)
+    assert got == sorted(((i, *plain_counts(t)) for i, t, *_ in cases.rows()), key=repr)
+
+
+def test_rules_verdicts(spark):
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    rows = [r for r in queries.op9_rules(spark, MIDDLE).collect() if r.doc_id in truth]
+    assert not any(r.kept and r.base_failed for r in rows)
+    passed = [r for r in rows if not r.base_failed]
+    assert np.mean([r.kept == truth[r.doc_id] for r in passed]) > 0.97
+
+
+def test_rules_without_rows_or_labels(odd, labels):
+    model = rules.fit(odd, labels.where("false"))
+    assert all(r.kept == (not r.base_failed) for r in rules.judge(odd, model).collect())
+    assert rules.judge(odd.where("false"), model).collect() == []
+
+
+def test_platt_recovers_a_curve():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=20_000) * 2
+    a, b = rules.platt(z, (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * z - 0.4)))).astype(float))
+    assert abs(a - 1.7) < 0.15 and abs(b + 0.4) < 0.1
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        odd, even = digits[-1::-2], digits[-2::-2]
+        if 12 <= len(digits) <= 19 and (sum(map(int, odd)) + sum(sum(map(int, str(2 * int(c)))) for c in even)) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.findall("[0-9]", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab.@+1 2-()4.9%é\n0", max_size=40))
+def test_base_spans_equal_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["a@b.c@d.e x@y", "aa.@b.c.d@e.f", "1.2.3.4.5.6.7.8", "1.2.3.256 0001.2.3.4", "4111 1111-1111 1111 x", "+1 (706) 555-3138", "a" * 50_000, "1" * 50_000, "1." * 20_000, "@" * 5000, "+1" + " " * 5000])
+def test_base_spans_of_odd_texts(text):
+    if len(text) < 10_000:
+        assert pii.base_spans(text) == plain_spans(text)
+    pii.base_spans(text)
+
+
+def test_field_on_held_out_sentences():
+    field, rng = pii.trained(), np.random.default_rng(99)
+    hit = found = gold = 0
+    for _ in range(150):
+        text, own = pii.example(rng)
+        got = set(field.decode(text))
+        hit, found, gold = hit + len(got & set(own)), found + len(got), gold + len(own)
+    assert hit / found > 0.97 and hit / gold > 0.97
+
+
+def test_decode_is_the_best_segmentation():
+    field = pii.trained()
+    text = "call 555-123-4567 key"
+    tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+    spans, mask = pii.segments(text, tokens)
+    inner = mask + field.scores([pii.span_features(text, tokens, i, j) for i, j in spans])
+    outer = field.scores([pii.outer_features(text, t) for t in tokens])
+
+    def every(at, y, total):
+        if at == len(tokens):
+            yield total, []
+            return
+        for s, rest in every(at + 1, 0, total + field.moves[y, 0] + outer[at, 0]):
+            yield s, rest
+        for k, (i, j) in enumerate(spans):
+            if i == at:
+                for label in range(1, len(pii.KINDS) + 1):
+                    if np.isfinite(inner[k, label]):
+                        for s, rest in every(j, label, total + field.moves[y, label] + inner[k, label]):
+                            yield s, [(pii.KINDS[label - 1], tokens[i][0], tokens[j - 1][1]), *rest]
+
+    assert field.decode(text) == max(every(0, 0, 0.0), key=lambda x: x[0])[1]
+
+
+def test_pii_over_rows(spark, odd):
+    text = 'x 7536784127813050 4845168114407329 y a.b@c.de +1 (706) 555-3138 token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" in 2024 v1.2'
+    docs = odd.unionByName(spark.createDataFrame([(999, text, "en", None, None, 1, "s", 2, "k", 0)], cases.SCHEMA))
+    rows = {r.doc_id: r for r in pii.find(docs).collect() if r.doc_id == 999 or r.spans}
+    spans = rows[999].spans.split(",")
+    assert set(rows[999].base.split(",")) <= set(spans)
+    kinds = [(s.split(":")[0], text[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in spans]
+    assert kinds == [("card", "7536784127813050"), ("card", "4845168114407329"), ("email", "a.b@c.de"), ("phone", "+1 (706) 555-3138"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    masked = pii.redact(docs)
+    assert masked.schema == docs.schema and masked.count() == docs.count()
+    assert masked.where("doc_id = 999").first().text == 'x [CARD] [CARD] y [EMAIL] [PHONE] token = "[SECRET]" in 2024 v1.2'
+    assert pii.find(odd.where("false")).collect() == []
+
+
+def test_op6_digest(spark, sf):
+    rows = {r.doc_id: r for r in queries.op6_pii(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        base = plain_spans(r.text)
+        own = rows[r.doc_id]
+        assert own.base_sha256 == cases.sha(pii.joined(base))
+        assert [own.n_email, own.n_ip, own.n_card, own.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE_KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(own.spans.split(","))
