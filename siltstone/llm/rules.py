@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import BYTE_BASE, Texts, U, Words, covered, lines_of, run_starts, seen_before, slices, spans_hash, windows_hash, words_of
 from siltstone.llm.quality import sample
 
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Buckets of each of the three kinds of n-gram.
 DIMENSIONS = 1 << 13
 RUNS = (3, 5)
@@ -113,23 +113,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     bias = float(np.log(rate / (1 - rate)))
     if not all(0 < v.sum() < len(v) for v in (y[~apart], y[apart])):
         return Model(np.zeros(width), bias, 1.0, 0.0)
-    column = np.frombuffer(b"".join(bytes(r.bucket) for r in rows), np.uint16)
-    share = np.frombuffer(b"".join(bytes(r.share) for r in rows), np.float32)
-    row = np.repeat(np.arange(len(rows)), [len(r.bucket) // 2 for r in rows])
-    teach = ~apart[row]
-    x, j, i = share[teach], column[teach], row[teach]
-    scale = 1 / np.sqrt(np.bincount(j, x.astype(float) ** 2, minlength=width) / max((~apart).sum(), 1) + 1e-8)
-    w, b, fast, fast_b = np.zeros(width), bias, np.zeros(width), 0.0
-    strength, use = 1e-4, (~apart).astype(float) / (~apart).sum()
+    blocks = []  # rows, few at a time: for each n-gram its row, bucket and share
+    for at in range(0, len(rows), 200):
+        own = rows[at : at + 200]
+        row = np.repeat(np.arange(len(own), dtype=np.uint16), [len(r.bucket) // 2 for r in own])
+        blocks.append((slice(at, at + len(own)), row, np.frombuffer(b"".join(bytes(r.bucket) for r in own), np.uint16), np.frombuffer(b"".join(bytes(r.share) for r in own), np.float32)))
+    del rows
+    use = (~apart).astype(float) / (~apart).sum()
+    square = sum(np.bincount(j, x.astype(float) ** 2 * use[own][i], minlength=width) for own, i, j, x in blocks)
+    scale = 1 / np.sqrt(square + 1e-8)
+    w, b, fast, fast_b, strength = np.zeros(width), bias, np.zeros(width), 0.0, 1e-4
     for _ in range(120):  # gradient steps with momentum, in scaled weights
-        z = np.bincount(i, x * (w * scale)[j], minlength=len(rows)) + b
-        g = (1 / (1 + np.exp(-z)) - y) * use
-        fast = 0.9 * fast - 0.05 * (np.bincount(j, x * g[i], minlength=width) * scale + strength * w)
-        fast_b = 0.9 * fast_b - 0.05 * g.sum()
+        grad, grad_b = strength * w, 0.0
+        for own, i, j, x in blocks:
+            z = np.bincount(i, x * (w * scale)[j], minlength=len(y[own])) + b
+            g = (1 / (1 + np.exp(-z)) - y[own]) * use[own]
+            grad += np.bincount(j, x * g[i], minlength=width) * scale
+            grad_b += g.sum()
+        fast, fast_b = 0.9 * fast - 0.05 * grad, 0.9 * fast_b - 0.05 * grad_b
         w, b = w + fast, b + fast_b
     model = Model(w * scale, b, 1.0, 0.0)
-    z = np.bincount(row, share * model.weights[column], minlength=len(rows))[apart] + b
-    model.slope, model.shift = platt(z, y[apart])
+    z = np.concatenate([np.bincount(i, x * model.weights[j], minlength=len(y[own])) + b for own, i, j, x in blocks])
+    model.slope, model.shift = platt(z[apart], y[apart])
     return model
 
 
