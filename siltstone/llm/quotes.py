@@ -155,7 +155,8 @@ def last_before(have: DataFrame, ask: DataFrame, keys: list[str], inclusive: boo
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, quote_levels, n_passages, n_linked (sentences), parent_turn, link (quote, previous or root), thread."""
+    """conv_id, turn, role, content, quote_levels, n_passages, n_linked (sentences), parent_turn, link (quote, previous or root), thread;
+    in reply order."""
     rows = cut(parsed(messages))
     whole = rows.where("conv_id is not null and turn is not null")
     sentences = lambda c: whole.select("conv_id", "turn", "print", F.explode(c).alias("hash"))
@@ -174,4 +175,4 @@ def linked(messages: DataFrame) -> DataFrame:
     return out.select(
         "conv_id", "turn", "role", "content", F.col("levels").alias("quote_levels"), F.col("passages").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn",
         F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("parent_turn").isNotNull(), "previous").otherwise("root").alias("link"), F.coalesce("thread", "turn").alias("thread"),
-    )
+    ).orderBy("conv_id", "thread", "turn")
