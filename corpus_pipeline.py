@@ -7,13 +7,14 @@ places the rest in sequences of 2048 tokens. All but the last return the columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, minhash, packing, pii, quality
-from siltstone.llm.common import ensure_checkpoint_dir
+from siltstone.llm.common import ensure_checkpoint_dir, remove_folder
 
 QUALITY_AT_LEAST = 0.7
 #: SQL can't express the trained stages and the packing; tests hold each stage against a brute-force version.
@@ -56,11 +57,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; what a stage returns is written to the shared folder and read again."""
-    import uuid
-
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            remove_folder(spark, f"{base}/{before}")
+        before = name
     return docs
