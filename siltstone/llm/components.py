@@ -21,7 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: a node's larger neighbours go to its smallest neighbour or itself
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -37,6 +37,8 @@ from siltstone.llm.components import components
 
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
+#: Up to so many ids of documents to confirm are broadcast (8 bytes each), more are joined by a shuffle.
+BROADCAST_IDS = 20_000
 _NO_PRINT = np.zeros(0, "<u2")
 #: SetSketch's parameters: base, rate and the largest register, as in Ertl (2021) for 16-bit registers.
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
@@ -156,10 +158,16 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
+def chosen(rows: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """rows whose doc_id is in ids; `few`: where BROADCAST_IDS allows it, ids are broadcast."""
+    return rows.join(F.broadcast(ids) if few and ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str, few: bool = False) -> DataFrame:
+    """Of pairs (a, b) those with 100 * intersection >= percent * union of their full sets; few: few documents are likely."""
     asked = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = scratch.put(full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), shingle), f"{name}_sets")
+    asked = scratch.put(asked, f"{name}_asked")
+    sets = scratch.put(full_sets(chosen(docs.select("doc_id", "text"), asked, few), shingle), f"{name}_sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +184,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scrat
     return scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), name)
 
 
-def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def unseen_pairs(buckets: DataFrame, sketches: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of one bucket and of different components that may reach the threshold, each once.
 
     buckets: key, band, doc_id, component. A bucket with more than BLOCK members is cut into parts of about that many, and
@@ -186,7 +194,10 @@ def unseen_pairs(buckets: DataFrame, classes: DataFrame, threshold: float) -> Da
     rows = buckets.join(mixed, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", "band", "doc_id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    rows = rows.join(classes.select("doc_id", "n_shingles", "registers", "prints"), "doc_id")
+    rows = scratch.put(rows, "block_rows")
+    ids = scratch.put(rows.select("doc_id").distinct(), "block_ids")
+    own = chosen(sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "registers", "prints"), ids, few=True)
+    rows = rows.join(own, "doc_id")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
@@ -252,10 +263,10 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, scratch: Scrat
     threshold = percent / 100
     sketches = scratch.put(sketch(docs, shingle), "sketches")
     known = sketches.where("doc_id is not null and n_shingles > 0")
-    heads = scratch.put(known.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("head")), "heads")
-    member = known.select("doc_id", "set_1", "set_2", "n_shingles").join(heads, ["set_1", "set_2", "n_shingles"]).select("doc_id", "head").distinct()
-    classes = known.join(heads.withColumnRenamed("head", "doc_id"), ["doc_id", "set_1", "set_2", "n_shingles"], "left_semi")
-    classes = scratch.put(classes.select("doc_id", "n_shingles", "registers", "prints").distinct(), "classes")
+    same_set = ["set_1", "set_2", "n_shingles"]  # and hence the same registers
+    heads = scratch.put(known.groupBy(*same_set).agg(F.min("doc_id").alias("head"), F.first("registers").alias("registers")), "heads")
+    member = known.select("doc_id", *same_set).join(heads.select(*same_set, "head"), same_set).select("doc_id", "head").distinct()
+    classes = heads.select(F.col("head").alias("doc_id"), "n_shingles", "registers")
 
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, {2 * ROWS} * i + 1, {2 * ROWS})))")
     rows = classes.select("doc_id", F.posexplode(band).alias("band", "key"))
@@ -269,9 +280,10 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, scratch: Scrat
     found = components(links)
 
     labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = scratch.put(unseen_pairs(labelled, classes, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
+    more = scratch.put(unseen_pairs(labelled, sketches, threshold, scratch).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        found = components(links.unionAll(confirm(more, docs, shingle, percent, scratch, "more_links")))
+        so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(so_far.unionAll(confirm(more, docs, shingle, percent, scratch, "more_links", few=True)))
     of_head = found.select(F.col("node").alias("head"), F.col("component").alias("of_head"))
     labels = member.join(of_head, "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("of_head", "head")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
