@@ -252,23 +252,28 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Non-empty slices of batches, of about that many bytes on average."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Batches of a partition sorted by the keys, put together so that no group is split; at least that many bytes if there are."""
     held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in small(batches, least):
         if size >= least:
             now = [np.asarray(batch.column(k)) for k in keys]
             last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys]
             other = np.logical_or.reduce([n != x for n, x in zip(now, last)])
             at = int(other.argmax()) if other.any() else batch.num_rows
             held.append(batch.slice(0, at))
-            if at < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, size, batch = [], 0, batch.slice(at)
-            else:
+            if at == batch.num_rows:
                 continue
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(at)
         held.append(batch)
         size += batch.nbytes
     if held:

@@ -7,8 +7,8 @@
    array, merge-scanned against every level for suffixes that agree over `length` bytes, and what is new enters as a level
    of its own; levels of about one size merge, so sizes stay geometric and a suffix is merged a logarithmic number of times.
    A family lives for a group of whole buckets of about GROUP_BYTES, which bounds its memory.
-3. A minimiser with over HOT places (a passage that many documents share) isn't gathered: its strings are counted by
-   128-bit fingerprint, with map-side combining, and joined back with an equi-join that can be split.
+3. A minimiser with over HOT places (a passage that many documents share) isn't gathered in a bucket: its strings are
+   counted by 128-bit fingerprint in parts of a fixed size (siltstone.llm.desks).
 
 Documents are told apart by their text (128 bits of hash), as equal texts lose equal bytes. So rows without doc_id, or with
 equal doc_id, count like any other row: their text repeats others' and others repeat theirs.
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import compress, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import BYTE_BASE, MIX_2, Scratch, Texts, U, covered, cut, mix, powers, prefix_sums, run_starts, slices, sliding_min, spans_hash, texts_of, whole_groups
+from siltstone.llm.desks import IDS, gathered, with_ids
 
 LENGTH, MER = 400, 24
-HOT = 1000
-GROUP_BYTES = 400_000
-BATCH_BYTES = 50_000
+HOT = 250
+GROUP_BYTES = 600_000
+BATCH_BYTES = 200_000
 SECOND_BASE = U(0xD6E8FEB86659FD93)
 KEY = ["print_1", "print_2"]
 
@@ -62,15 +65,13 @@ class Family:
             self.levels[-2:] = [ordered(a + b, x + y)]  # two ascending runs: one linear merge
 
     def distinct(self, keys: list[bytes], ids: list[int]) -> tuple[list[bytes], list[int]]:
-        kept_keys, kept_ids, last = [], [], None
-        for k, i in zip(keys, ids):
-            if k == last:
-                self.repeated += (i, kept_ids[-1])
-            else:
-                kept_keys.append(k)
-                kept_ids.append(i)
-                last = k
-        return kept_keys, kept_ids
+        same = [False, *map(eq, keys, islice(keys, 1, None))]
+        if not any(same):
+            return keys, ids
+        self.repeated += [i for i, x in zip(ids, same) if x]
+        self.repeated += [i for i, x in zip(ids, islice(same, 1, None)) if x]
+        new = [not x for x in same]
+        return list(compress(keys, new)), list(compress(ids, new))
 
     def scan(self, level: tuple[list[bytes], list[int]], keys: list[bytes], ids: list[int]) -> tuple[list[bytes], list[int]]:
         """Merge-scan of an ascending batch against a level: matches are noted, the rest comes back."""
@@ -190,22 +191,22 @@ def cold_spans(strings: DataFrame, length: int) -> DataFrame:
     return strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, SPANS)
 
 
-def hot_spans(strings: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "bytes"):
-            firsts = run_starts(texts.bounds, length)
-            prefixes = [(prefix_sums(x, base), base) for x, base in ((texts.data, BYTE_BASE), (mix(texts.data.astype(U) + MIX_2), SECOND_BASE))]
-            one, two = (spans_hash(p, base, firsts, firsts + length).view(np.int64) for p, base in prefixes)
-            string = texts.of(firsts)
-            start = np.asarray(part.column("start"))[string] + firsts - texts.bounds[string]
-            own = [part.column(c).take(pa.array(string)) for c in KEY]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], [*KEY, "start", "one", "two"])
-
-    windows = strings.mapInArrow(run, "print_1 long, print_2 long, start int, one long, two long")
-    many = windows.groupBy("one", "two").agg(F.count("*").alias("many")).where("many > 1").select("one", "two")
-    # Equal texts have equal places: one row for all of them is enough from here on.
-    found = windows.distinct().join(many, ["one", "two"])
-    return found.select(*KEY, F.col("start").alias("first"), (F.col("start") + length).cast("int").alias("last"))
+def prints_of(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each suffix's text, its start there, and the fingerprint of its first `length` bytes."""
+    texts = texts_of(column)
+    firsts = run_starts(texts.bounds, length)
+    prefixes = [(prefix_sums(x, base), base) for x, base in ((texts.data, BYTE_BASE), (mix(texts.data.astype(U) + MIX_2), SECOND_BASE))]
+    text = texts.of(firsts)
+    return text, firsts - texts.bounds[text], np.stack([spans_hash(p, base, firsts, firsts + length) for p, base in prefixes], 1)
+
+
+def hot_spans(strings: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Equal strings are counted first, so that only different ones meet at the desks."""
+    strings = with_ids(strings, "bytes")
+    once = strings.groupBy(*IDS).agg(F.min("bytes").alias("bytes"), F.least(F.count("*"), F.lit(2)).alias("value"))
+    marked = gathered(once, "bytes", lambda c: prints_of(c, length), False, scratch)
+    found = strings.select(*KEY, "start", *IDS).distinct().join(marked, IDS)
+    return found.select(*KEY, (F.col("start") + F.col("low")).cast("int").alias("first"), (F.col("start") + F.col("high") + (length - 1)).cast("int").alias("last"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, mer: int = MER, hot: int = HOT) -> DataFrame:
@@ -216,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, mer: int = MER, hot: i
         shared = found.groupBy("mini").agg(F.count("*").alias("many")).where("many > 1").select("mini", (F.col("many") > hot).alias("hot"))
         at = found.join(shared, "mini").groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("at"))
         strings = scratch.put(packed(docs.join(at, KEY), length), "strings")
-        spans = cold_spans(strings.where("not hot"), length).unionAll(hot_spans(strings.where("hot"), length))
+        spans = cold_spans(strings.where("not hot"), length).unionAll(hot_spans(strings.where("hot"), length, scratch))
         return cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
