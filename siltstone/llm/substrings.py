@@ -6,8 +6,8 @@
 2. The other super-k-mers go, each as one packed string, to the bucket of their minimiser. There the windows are sorted by
    fingerprint, documents ascending, so equal ones lie together, the first of them in the smallest document; the bytes of
    each stretch of matches are then compared, so the fingerprint decides nothing alone.
-3. A minimiser with over HOT super-k-mers (a passage that many documents share) isn't gathered in a bucket: its windows are
-   aggregated by 128-bit fingerprint, with map-side combining, and joined back with an equi-join that can be split.
+3. A minimiser with over HOT super-k-mers (a passage that many documents share) isn't gathered in a bucket: its windows meet
+   by 128-bit fingerprint in parts of a fixed size (siltstone.llm.desks).
 
 Defined results: null or empty text has no words; rows without doc_id lose nothing and take nothing from others; rows with
 equal doc_id don't take from each other (neither doc_id is smaller); an empty table gives no rows; other columns than
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import MIX_2, Scratch, U, Words, covered, cut, mix, prefix_sums, ranges, run_starts, slices, sliding_min, spans_hash, texts_of, whole_groups, windows_hash, words_of
+from siltstone.llm.desks import IDS, gathered, with_ids
 
 WIDTH, MER = 50, 16
 HOT = 1000
@@ -134,19 +135,20 @@ def cold_spans(strings: DataFrame, width: int) -> DataFrame:
     return strings.repartition("mini").sortWithinPartitions("mini", "doc_id").mapInArrow(run, SPANS)
 
 
-def hot_spans(strings: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in slices(batches, "words"):
-            words, firsts, one, two = strings_windows(part.column("words"), width)
-            string = np.searchsorted(words.first, firsts, "right") - 1
-            start = np.asarray(part.column("start"))[string] + firsts - words.first[string]
-            own = [part.column(c).take(pa.array(string)) for c in ("doc_id", "print")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "print", "start", "one", "two"])
+def prints_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's string, its first word there, and its fingerprint."""
+    words, firsts, one, two = strings_windows(column, width)
+    string = np.searchsorted(words.first, firsts, "right") - 1
+    return string, firsts - words.first[string], np.stack([one, two], 1)
+
 
-    windows = strings.mapInArrow(run, "doc_id long, print long, start int, one long, two long")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
-    found = windows.join(least, ["one", "two"]).where("least < doc_id")
-    return found.select("doc_id", "print", F.col("start").alias("first"), (F.col("start") + width).cast("int").alias("last"))
+def hot_spans(strings: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """Of equal strings only one goes to the desks, with its smallest document."""
+    strings = with_ids(strings, "words")
+    once = strings.groupBy(*IDS).agg(F.min("words").alias("words"), F.min("doc_id").alias("value"))
+    marked = gathered(once, "words", lambda c: prints_of(c, width), True, scratch)
+    found = strings.select("doc_id", "print", "start", *IDS).join(marked, IDS).where("value < doc_id")
+    return found.select("doc_id", "print", (F.col("start") + F.col("low")).cast("int").alias("first"), (F.col("start") + F.col("high") + (width - 1)).cast("int").alias("last"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, hot: int = HOT) -> DataFrame:
@@ -157,7 +159,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, mer: int = MER, hot: int
         shared = found.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many")).where("low < high").select("mini", (F.col("many") > hot).alias("hot"))
         at = found.join(shared, "mini").groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("at"))
         strings = scratch.put(packed(docs.join(at, ["doc_id", "print"]), width), "strings")
-        spans = cold_spans(strings.where("not hot"), width).unionAll(hot_spans(strings.where("hot"), width))
+        spans = cold_spans(strings.where("not hot"), width).unionAll(hot_spans(strings.where("hot"), width, scratch))
         return cut(spans.groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
