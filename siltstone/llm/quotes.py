@@ -2,19 +2,24 @@
 
 1. `parse` reads quote levels (`>`, nested as `>>` or `> >`), drops attribution lines before a quote, and keeps the body:
    the lines of level 0. Quoted passages and bodies are normalised (white space collapsed, ASCII lower case) and cut into
-   sentences, which are hashed; so a quote is found again when it was wrapped anew or takes only part of a message.
-2. A quoted sentence is joined to the latest earlier message of the conversation that has it in its body; a message replies
-   to the one that most of its level-1 sentences lead to (the latest of equals), else to the turn before.
+   sentences and lines, which are hashed; so a quote is found again when it was wrapped anew or takes only part of a message.
+2. A quoted sentence leads to the latest earlier message of the conversation that has it in its body: as a whole sentence or
+   line, else as a run of words anywhere. If no message has it so, it leads where most words of its own lines do, which are
+   found in the same way. A message replies to the one that most of its level-1 sentences lead to (the latest of equals),
+   else to the turn before.
 3. A message that replies to another than the turn before begins a thread. Ordered by (conv_id, thread, turn), each message
    comes after what it replies to, and threads stay together.
 
 "Latest earlier" is an as-of join (`last_before`): both sides are range-partitioned and sorted together by key and turn, a
 scan carries the last message on, and what crosses a partition's edge is one row a partition. So a conversation, or a
-sentence, with a third of all rows is spread over partitions, and no pairs are made.
+sentence, with a third of all rows is spread over partitions, and no pairs are made. Runs of words are hashed at the lengths
+that the conversation's open quotes have, only in conversations with such quotes, and only what a bitmap of their hashes lets
+through is joined; so that work is at most a body's words times those lengths.
 
 Defined results: null or empty text has an empty body; text that is all quote has one too; rows that repeat (conv_id, turn)
 share their place, and none of them replies to the other; rows without conv_id or turn are roots of their own; quotes that
-nobody wrote, or that only later turns have, link nothing; an empty table gives no rows; further columns are ignored.
+nobody wrote, or that only later turns have, link nothing; a word is a run of letters, digits and _, so punctuation doesn't
+count within a run of words, and a quote without words is found only as a whole sentence or line; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import WORD_BASE, cut, prefix_sums, spans_hash
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"(?:\bwrote|\bschrieb[^:]*|\ba écrit|\bescribió)[  ]?:\s*$", re.IGNORECASE)
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
+BITS = 32768  # of Spark's bitmaps
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -66,14 +73,49 @@ def normalised(text: str) -> str:
     return _SPACE.sub(" ", text).strip().translate(_LOWER)
 
 
-def sentence_hashes(text: str) -> list[int]:
-    """64-bit hashes of a passage's distinct normalised sentences."""
-    found = {x for x in _SENTENCE_END.split(normalised(text)) if x}
-    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in sorted(found)]
+def sentences(text: str) -> list[list[str]]:
+    """A passage's normalised sentences, each as its parts on the passage's lines."""
+    out: list[list[str]] = []
+    now: list[str] = []
+    for line in filter(None, map(normalised, text.split("\n"))):
+        for part in _SENTENCE_END.split(line):
+            now.append(part)
+            if part[-1] in ".!?":
+                out.append(now)
+                now = []
+    return [*out, now] if now else out
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def own_hashes(body: str) -> list[int]:
+    """64-bit hashes of a body's distinct normalised sentences and lines."""
+    return [_hash(x) for x in sorted({" ".join(x) for x in sentences(body)} | {x for x in map(normalised, body.split("\n")) if x})]
+
+
+def word_runs(text: str, lengths: list[int]) -> list[np.ndarray]:
+    """For each length the 64-bit hashes of all runs of so many words of a normalised text."""
+    words = np.array([_hash(x) for x in _WORD.findall(text)], np.int64).view(np.uint64)
+    prefix = prefix_sums(words, WORD_BASE)
+    starts = np.arange(len(words) + 1)
+    return [spans_hash(prefix, WORD_BASE, starts[: max(len(words) + 1 - k, 0)], starts[k:]).view(np.int64) for k in lengths]
+
+
+def asked(passages: list[str]) -> list[dict[str, int]]:
+    """What is looked for: distinct sentences (line 0) and, of those on several lines, the parts on each (line 1 and on)."""
+    out = []
+    for k, (text, parts) in enumerate(sorted({" ".join(x): x for p in passages for x in sentences(p)}.items())):
+        for j, part in enumerate([text, *(parts if len(parts) > 1 else [])]):
+            n = len(_WORD.findall(part))
+            out.append({"sentence": k, "line": j, "hash": _hash(part), "words": n, "run": int(word_runs(part, [n])[0][0])})
+    return out
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, print (of the text), content, levels, own and quoted sentence hashes (of level 1)."""
+    """conv_id, turn, role, print (of the text), content, levels, own sentence and line hashes, and what is quoted (at level 1)."""
+    one = pa.struct([("sentence", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,13 +123,30 @@ def parsed(messages: DataFrame) -> DataFrame:
             for x in batch.column("text"):
                 body, found = parse(x.as_py() or "")
                 bodies.append(body), levels.append(max((k for k, _ in found), default=0)), passages.append(len(found))
-                own.append(sentence_hashes(body))
-                quoted.append(sorted({h for k, t in found if k == 1 for h in sentence_hashes(t)}))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "print")), pa.array(bodies, pa.string()), pa.array(levels, pa.int32()), pa.array(passages, pa.int32()), pa.array(own, lists), pa.array(quoted, lists)], ["conv_id", "turn", "role", "print", "content", "levels", "passages", "own", "quoted"])
+                own.append(own_hashes(body))
+                quoted.append(asked([t for k, t in found if k == 1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "print")), pa.array(bodies, pa.string()), pa.array(levels, pa.int32()), pa.array(passages, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, pa.list_(one))], ["conv_id", "turn", "role", "print", "content", "levels", "passages", "own", "quoted"])
 
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.xxhash64("text").alias("print"), "text")
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, print long, content string, levels int, passages int, own array<long>, quoted array<long>")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, print long, content string, levels int, passages int, own array<long>, quoted array<struct<sentence int, line int, hash long, words int, run long>>")
+
+
+def runs_of(bodies: DataFrame, open_: DataFrame) -> DataFrame:
+    """conv_id, turn, run: the runs of words of bodies that may be among those of open_, by length and a bitmap for each conversation."""
+    need = open_.groupBy("conv_id").agg(F.collect_set("words").alias("lengths"), F.bitmap_construct_agg(F.col("run").bitwiseAND(BITS - 1)).alias("bits"), F.max("turn").alias("until"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                conv, turn, content, lengths, bits = (batch.column(k)[row].as_py() for k in range(5))
+                bit = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+                found = np.concatenate(word_runs(normalised(content), lengths))
+                found = np.unique(found[bit[found & (BITS - 1)]])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), conv)), pa.array(np.full(len(found), turn)), pa.array(found)], ["conv_id", "turn", "run"])
+
+    joined = bodies.where("content <> ''").join(need, "conv_id").where("turn < until")
+    return joined.select("conv_id", "turn", "content", "lengths", "bits").mapInArrow(run, "conv_id long, turn long, run long")
 
 
 def last_before(have: DataFrame, ask: DataFrame, keys: list[str], inclusive: bool = False) -> DataFrame:
@@ -159,8 +218,16 @@ def linked(messages: DataFrame) -> DataFrame:
     in reply order."""
     rows = cut(parsed(messages))
     whole = rows.where("conv_id is not null and turn is not null")
-    sentences = lambda c: whole.select("conv_id", "turn", "print", F.explode(c).alias("hash"))
-    found = last_before(sentences("own"), sentences("quoted").distinct(), ["conv_id", "hash"]).where("found is not null")
+    own = whole.select("conv_id", "turn", F.explode("own").alias("hash"))
+    ask = whole.select("conv_id", "turn", "print", F.inline("quoted")).distinct()
+    one = ["conv_id", "turn", "print", "sentence"]
+    asked_ = cut(last_before(own, ask, ["conv_id", "hash"]))
+    found = asked_.where("found is not null")
+    open_ = cut(asked_.where("found is null and words > 0").join(found.where("line = 0"), one, "left_anti").drop("found"))
+    if not open_.isEmpty():
+        found = found.unionByName(last_before(runs_of(whole, open_), open_, ["conv_id", "run"]).where("found is not null"))
+    found = found.groupBy(*one, "found").agg(F.max(F.col("line") == 0).alias("entire"), F.sum("words").alias("words"))
+    found = found.groupBy(one).agg(F.max_by("found", F.struct("entire", "words", "found")).alias("found"))
     votes = found.groupBy("conv_id", "turn", "print", "found").agg(F.count("*").alias("votes"))
     best = votes.groupBy("conv_id", "turn", "print").agg(F.max_by("found", F.struct("votes", "found")).alias("quoted_turn"), F.sum("votes").alias("n_linked"))
     places = whole.select("conv_id", "turn").distinct()

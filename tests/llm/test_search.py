@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, queries, quotes, warc
 from siltstone.llm.common import texts_of, words_of
@@ -91,6 +92,45 @@ def test_quotes_are_parsed_and_linked(spark):
     assert quotes.linked(docs.where("false")).collect() == []
 
 
+def test_quotes_of_parts_of_sentences_and_of_lines(spark):
+    rows = [
+        (1, 0, "Hi Bob,\n\nWe ship on Monday. Bring the logs."),
+        (1, 1, "- milk and honey\n- eggs\n- bread of rye"),
+        (1, 2, "so be it"),
+        (1, 3, "> We ship on Monday.\nGood."),  # fused with the greeting
+        (1, 4, "> - eggs\nNo."),  # one line of a list
+        (1, 5, "> - milk and honey\n> - bread of rye\nYes."),  # two lines that aren't neighbours
+        (1, 6, "> ship on\n> monday\nWhen?"),  # within a sentence, wrapped anew
+        (1, 7, "> We ship Monday\nNobody said that."),
+        (1, 8, "I said that we ship on Monday. It is so."),
+        (1, 9, "> We ship on Monday.\n> Bring\n> the logs, please.\nOld."),  # a whole line or sentence nowhere: the latest that holds it
+        (2, 0, "Well. All is well."),
+        (2, 1, "I think that he did well."),
+        (2, 2, "> Well.\nWhole sentences come first."),
+        (2, 3, "> \U0001f44d\n> ...\nNo words."),
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.link, r.n_linked) for r in quotes.linked(docs.repartition(3)).collect()}
+    want = {(1, 3): (0, "quote", 1), (1, 4): (1, "quote", 1), (1, 5): (1, "quote", 1), (1, 6): (0, "quote", 1), (1, 7): (6, "previous", 0), (1, 9): (8, "quote", 2), (2, 2): (0, "quote", 1), (2, 3): (2, "previous", 0)}
+    assert {k: got[k] for k in want} == want
+
+
+def test_runs_of_words_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [str(w) for w in rng.choice(["a", "b", "c", "d"], n)]
+    said = [words(rng.integers(3, 12)) for _ in range(60)]
+    rows, want = [], {}
+    for t, x in enumerate(said):
+        quote = words(rng.integers(2, 7))
+        rows.append((t % 3, t, "> " + " ".join(quote) + "\n" + " ".join(x)))
+        holds = [u for u in range(t % 3, t, 3) if any(said[u][i : i + len(quote)] == quote for i in range(len(said[u])))]
+        whole = [u for u in holds if said[u] == quote]
+        want[t] = max(whole or holds, default=None)
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    got = {r.turn: r.parent_turn if r.link == "quote" else None for r in quotes.linked(docs).collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 20
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_last_before_equals_brute_force(spark, inclusive):
     rng = np.random.default_rng(4)
