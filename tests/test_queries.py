@@ -34,6 +34,13 @@ def test_query(spark, sf, name):
     assert sorted(repr([plain(r[c]) for c in sorted(names)]) for r in got) == want
 
 
+def test_all_hits_are_all(spark, tmp_path):
+    n = 1_000_003
+    rows = spark.range(n).selectExpr("id as doc_id", "'tion' as text", "'en' as lang", "'web' as source", "4L as n_chars")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.QUERIES["search_all_hits"](spark, str(tmp_path)).count() == n
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
