@@ -38,6 +38,29 @@ def test_odd_texts_have_the_same_ids(tokenizer):
         assert np.frombuffer(packing.encoder(packing.default_tokenizer())(x), "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def default_ids(text):
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "  ", "a", "é", "12", "'s"]), max_size=12).map("".join))
+def test_special_tokens_have_the_default_ids(text):
+    assert np.frombuffer(packing.encoder(packing.default_tokenizer(), special=True)(text), "<u4").tolist() == default_ids(text)
+
+
+def test_pieces_have_the_default_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", cases.prose(100) + "<|endoftext|>" + cases.prose(100)]
+    assert default_ids(texts[0]) == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in packing.pieces(docs, budget=64).collect()}
+    want = {}
+    for k, x in enumerate(texts):
+        ids = default_ids(x) + [0]
+        for s, n in packing.cut_points(len(ids), 64):
+            want[k, s] = (n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()))
+    assert got == want
+
+
 def check(rows, expected, budget):
     """Every piece of every document once, sequences gapless."""
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
