@@ -6,7 +6,7 @@
 2. A quoted sentence leads to the latest earlier message of the conversation that has it in its body: as a whole sentence or
    line, else as a run of words anywhere. If no message has it so, it leads where most words of its own lines do, which are
    found in the same way. A message replies to the one that most of its level-1 sentences lead to (the latest of equals),
-   else to the turn before.
+   else to the one that those of the next deeper level lead to, and so on, else to the turn before.
 3. A message that replies to another than the turn before begins a thread. Ordered by (conv_id, thread, turn), each message
    comes after what it replies to, and threads stay together.
 
@@ -103,19 +103,19 @@ def word_runs(text: str, lengths: list[int]) -> list[np.ndarray]:
     return [spans_hash(prefix, WORD_BASE, starts[: max(len(words) + 1 - k, 0)], starts[k:]).view(np.int64) for k in lengths]
 
 
-def asked(passages: list[str]) -> list[dict[str, int]]:
-    """What is looked for: distinct sentences (line 0) and, of those on several lines, the parts on each (line 1 and on)."""
+def asked(passages: list[tuple[int, str]]) -> list[dict[str, int]]:
+    """What is looked for: each level's distinct sentences (line 0) and, of those on several lines, the parts on each (line 1 and on)."""
     out = []
-    for k, (text, parts) in enumerate(sorted({" ".join(x): x for p in passages for x in sentences(p)}.items())):
+    for k, ((level, text), parts) in enumerate(sorted({(level, " ".join(x)): x for level, p in passages for x in sentences(p)}.items())):
         for j, part in enumerate([text, *(parts if len(parts) > 1 else [])]):
             n = len(_WORD.findall(part))
-            out.append({"sentence": k, "line": j, "hash": _hash(part), "words": n, "run": int(word_runs(part, [n])[0][0])})
+            out.append({"level": level, "sentence": k, "line": j, "hash": _hash(part), "words": n, "run": int(word_runs(part, [n])[0][0])})
     return out
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, print (of the text), content, levels, own sentence and line hashes, and what is quoted (at level 1)."""
-    one = pa.struct([("sentence", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("run", pa.int64())])
+    """conv_id, turn, role, print (of the text), content, levels, own sentence and line hashes, and what is quoted."""
+    one = pa.struct([("level", pa.int32()), ("sentence", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +124,11 @@ def parsed(messages: DataFrame) -> DataFrame:
                 body, found = parse(x.as_py() or "")
                 bodies.append(body), levels.append(max((k for k, _ in found), default=0)), passages.append(len(found))
                 own.append(own_hashes(body))
-                quoted.append(asked([t for k, t in found if k == 1]))
+                quoted.append(asked(found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "print")), pa.array(bodies, pa.string()), pa.array(levels, pa.int32()), pa.array(passages, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, pa.list_(one))], ["conv_id", "turn", "role", "print", "content", "levels", "passages", "own", "quoted"])
 
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.xxhash64("text").alias("print"), "text")
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, print long, content string, levels int, passages int, own array<long>, quoted array<struct<sentence int, line int, hash long, words int, run long>>")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, print long, content string, levels int, passages int, own array<long>, quoted array<struct<level int, sentence int, line int, hash long, words int, run long>>")
 
 
 def runs_of(bodies: DataFrame, open_: DataFrame) -> DataFrame:
@@ -214,13 +214,13 @@ def last_before(have: DataFrame, ask: DataFrame, keys: list[str], inclusive: boo
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, quote_levels, n_passages, n_linked (sentences), parent_turn, link (quote, previous or root), thread;
+    """conv_id, turn, role, content, quote_levels, n_passages, n_linked (sentences of the level that decides), parent_turn, link (quote, previous or root), thread;
     in reply order."""
     rows = cut(parsed(messages))
     whole = rows.where("conv_id is not null and turn is not null")
     own = whole.select("conv_id", "turn", F.explode("own").alias("hash"))
     ask = whole.select("conv_id", "turn", "print", F.inline("quoted")).distinct()
-    one = ["conv_id", "turn", "print", "sentence"]
+    one = ["conv_id", "turn", "print", "level", "sentence"]
     asked_ = cut(last_before(own, ask, ["conv_id", "hash"]))
     found = asked_.where("found is not null")
     open_ = cut(asked_.where("found is null and words > 0").join(found.where("line = 0"), one, "left_anti").drop("found"))
@@ -228,8 +228,9 @@ def linked(messages: DataFrame) -> DataFrame:
         found = found.unionByName(last_before(runs_of(whole, open_), open_, ["conv_id", "run"]).where("found is not null"))
     found = found.groupBy(*one, "found").agg(F.max(F.col("line") == 0).alias("entire"), F.sum("words").alias("words"))
     found = found.groupBy(one).agg(F.max_by("found", F.struct("entire", "words", "found")).alias("found"))
-    votes = found.groupBy("conv_id", "turn", "print", "found").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("conv_id", "turn", "print").agg(F.max_by("found", F.struct("votes", "found")).alias("quoted_turn"), F.sum("votes").alias("n_linked"))
+    votes = found.groupBy("conv_id", "turn", "print", "level", "found").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("conv_id", "turn", "print", "level").agg(F.max_by("found", F.struct("votes", "found")).alias("quoted_turn"), F.sum("votes").alias("n_linked"))
+    best = best.groupBy("conv_id", "turn", "print").agg(F.min_by(F.struct("quoted_turn", "n_linked"), "level").alias("best")).select("conv_id", "turn", "print", "best.*")
     places = whole.select("conv_id", "turn").distinct()
     previous = last_before(places, places, ["conv_id"]).withColumnRenamed("found", "previous_turn")
     replies = whole.select("conv_id", "turn", "print").distinct().join(best, ["conv_id", "turn", "print"], "left").join(previous, ["conv_id", "turn"])

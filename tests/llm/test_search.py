@@ -115,6 +115,20 @@ def test_quotes_of_parts_of_sentences_and_of_lines(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_nested_quotes_are_linked_where_level_1_is_not(spark):
+    rows = [
+        (1, 0, "Original point here. A second one."),
+        (1, 1, "Other answer."),
+        (1, 2, "> > Original point here.\nYes."),
+        (1, 3, "> Other answer.\n>> Original point here.\n>> A second one.\nHm."),
+        (1, 4, "> nobody said so\n>>> Other answer.\n>> A second one.\nWell."),
+        (1, 5, ">> nobody said so\nEnd."),
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    got = {r.turn: (r.parent_turn, r.link, r.n_linked) for r in quotes.linked(docs).collect()}
+    assert [got[t] for t in range(2, 6)] == [(0, "quote", 1), (1, "quote", 1), (0, "quote", 1), (4, "previous", 0)]
+
+
 def test_runs_of_words_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     words = lambda n: [str(w) for w in rng.choice(["a", "b", "c", "d"], n)]
