@@ -1,11 +1,15 @@
 """Substring, suffix-array and near-duplicate removal against plain versions."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.llm import minhash, substrings, suffixes
+from siltstone.llm.common import texts_of
 from siltstone.llm.components import components
 
 from . import cases
@@ -33,42 +37,69 @@ def test_substrings_of_nothing(empty):
     assert substrings.dedup(empty).collect() == []
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_suffixes_equal_brute_force(docs, hot):
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup(docs, hot=hot).collect()), key=repr)
+@pytest.mark.parametrize(("hot", "batches"), [(20_000, 4), (20_000, 1), (1, 4)])
+def test_suffixes_equal_brute_force(docs, hot, batches, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 4000)  # so that there are several parts
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup(docs, hot=hot, batches=batches).collect()), key=repr)
     want = sorted(cases.repeated_bytes([(r[0], r[1]) for r in cases.rows()], 400), key=repr)
     assert got == want
     assert sum(x[2] for x in want) > 3000
 
 
+def test_suffixes_of_near_copies(spark):
+    rng, base = np.random.default_rng(6), cases.prose(400, 11).split()
+    own = []
+    for k in range(40):  # copies with few edits: trees of many depths on both sides of an anchor
+        w = list(base)
+        for at in rng.integers(0, len(w), 1 + k % 4):
+            w[at] = f"e{rng.integers(3)}"
+        own.append((k, " ".join(w[rng.integers(0, 60) : rng.integers(340, 400)])))
+    own += [(100, "ab" * 700 + "x" * 500), (101, "x" * 450), (102, "q" + "ab" * 300), (103, "\0" * 401 + "é" * 300)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup(spark.createDataFrame(own, "doc_id long, text string")).collect())
+    assert got == sorted(cases.repeated_bytes(own, 400))
+
+
 def test_suffixes_of_nothing(empty):
     assert suffixes.dedup(empty).collect() == []
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", max_size=40).map(str.encode), min_size=1, max_size=12), st.integers(1, 300))
-def test_family_finds_every_repeat(strings, batch):
-    n = 5
-    strings = [x for x in strings if len(x) >= n]
-    if not strings:
-        return
-    old, suffixes.BATCH_BYTES = suffixes.BATCH_BYTES, batch
-    try:
-        string, first, count = suffixes.family_matches(strings, n)
-    finally:
-        suffixes.BATCH_BYTES = old
-    got = {(i, k) for i, a, c in zip(string.tolist(), first.tolist(), count.tolist()) for k in range(a, a + c)}
-    have = [(x[k : k + n], i, k) for i, x in enumerate(strings) for k in range(len(x) - n + 1)]
-    assert got == {(i, k) for x, i, k in have if sum(x == y for y, _, _ in have) > 1}
+def strings_of(texts, length, mer):
+    """The texts' different packed strings, as columns for `arrays`, and the places of each."""
+    all_ = texts_of(pa.array(texts, pa.binary()))
+    columns, where = {}, {}
+    for start, n, off, mini in zip(*(x.tolist() for x in suffixes.anchors(all_, length, mer))):
+        text = bytes(all_.data[start : start + n + length - 1])
+        columns[text] = (text, off, n, mini)
+        where.setdefault(text, []).append(start)
+    return list(columns.values()), list(where.values()), all_
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab", max_size=60).map(str.encode), min_size=1, max_size=12), st.integers(1, 6))
+def test_family_finds_every_repeat(texts, batch):
+    length, mer = 9, 4
+    columns, where, all_ = strings_of(texts, length, mer)
+    family = suffixes.Family(length, mer)
+    for k in range(0, len(columns), batch):
+        own = columns[k : k + batch]
+        family.add(suffixes.arrays(*map(list, zip(*own)), list(range(k, k + len(own)))))
+    got = {start + s for i, a, b in family.found for s in range(a, b) for start in where[i]}
+    got |= {start + s for i, own in enumerate(where) if len(own) > 1 for start in own for s in range(columns[i][2])}
+    data, starts = all_.data.tobytes(), suffixes.run_starts(all_.bounds, length).tolist()
+    have = Counter(data[s : s + length] for s in starts)
+    assert got == {s for s in starts if have[data[s : s + length]] > 1}
+    for level in family.levels:  # every level is in both orders
+        rights, lefts = level.rights(), level.lefts()
+        assert [rights[i] for i in level.right] == sorted(rights) and [lefts[i] for i in level.left] == sorted(lefts)
 
 
 def test_levels_stay_geometric():
-    family = suffixes.Family(4)
+    family = suffixes.Family(20, 8)
     for k in range(40):
-        text = "".join(chr(97 + (k * 31 + j * j * 7) % 26) for j in range(60)).encode()
-        family.add([(text, k * 100)])
-    sizes = [len(x[0]) for x in family.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        columns, _, _ = strings_of([cases.prose(12, k + 1).encode()], 20, 8)
+        family.add(suffixes.arrays(*map(list, zip(*columns)), list(range(len(columns)))))
+    sizes = [len(x) for x in family.levels]
+    assert len(sizes) < 8 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
 @pytest.mark.parametrize("shingle", [2, 5])
