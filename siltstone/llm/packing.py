@@ -6,9 +6,10 @@ Three steps, each on small rows:
    length and checksum; ids are kept on request.
 2. `pack` places pieces. A task holds about `per_task` rows of a few bytes, whatever the corpus: the number of tasks grows
    instead. Within a task each piece goes where the sum over residual gaps g of N(g)^2, N(g) being the number of open
-   sequences with gap g, becomes smallest. That rule leaves few sequences open; the pieces of those alone are packed again,
-   the leftovers of `fan_in` tasks together, until one task is left. No key decides where a piece goes, so no source or
-   group of copies is hot.
+   sequences with gap g, becomes smallest. That rule leaves few sequences open; the pieces of the emptiest, per_task / fan_in
+   at most, are packed again with the leftovers of `fan_in` tasks together, at least once and until one task is left; so no task of any step
+   holds more than per_task rows, even where lengths never fill a sequence. No key decides where a piece goes, so no source
+   or group of copies is hot.
 3. `sequences` builds the token sequences themselves.
 
 Defined results: null or empty text is one piece that holds the end token alone; rows with equal or null doc_id are
@@ -17,8 +18,7 @@ separate documents; an empty table gives no rows; further columns of the input a
 
 from __future__ import annotations
 
-import base64
-import os
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -35,31 +35,55 @@ from siltstone.llm.common import cut
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 PIECES_PER_TASK = 200_000
-FAN_IN = 64
+FAN_IN = 16
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: The special tokens of the tokenizers whose ranks leave them out.
-SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
-#: The pre-tokens of byte-level BPE: the vocabulary's published pattern, with possessive repeats, which match the same.
+#: The pre-tokens of byte-level BPE: the published pattern, with possessive repeats, which match the same.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level BPE's letters: a printable byte is its own letter, the others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def byte_ranks(tokenizer: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer file as bytes and ranks, if it is plain byte-level BPE whose ids ascend as its merges do."""
+    model, cut_ = tokenizer["model"], tokenizer["pre_tokenizer"] or {}
+    plain = tokenizer["normalizer"] is None and cut_.get("type") == "ByteLevel" and cut_.get("use_regex") and not cut_.get("add_prefix_space")
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or odd or any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in tokenizer["added_tokens"]):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+    merged = [vocabulary.get("".join(x if isinstance(x, list) else x.split(" ")), -1) for x in model["merges"]]
+    if merged != sorted(merged) or len(merged) + len(letters) != len(vocabulary):
+        return None
+    return {bytes(letters[c] for c in x): i for x, i in vocabulary.items()}
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str, special: bool = False) -> Callable[[str], bytes]:
-    """A text's ids as little-endian unsigned 32-bit numbers; path: the vocabulary as ranks.
+def encoder(path: str) -> Callable[[str], bytes]:
+    """A text's ids as little-endian unsigned 32-bit numbers, as `tokenizers` gives them with add_special_tokens=False.
 
-    The ids are those that `tokenizers` gives with the same vocabulary and add_special_tokens=False (tests hold them
-    together): by default if special, and with encode_special_tokens=True, where special tokens' strings are ordinary
-    text, if not. `tiktoken` takes a fifth of the time.
+    A vocabulary of plain byte-level BPE is read into `tiktoken`, which gives the same ids (tests hold them together) in a
+    fifth of the time; added tokens' strings in a text have those tokens' ids. Others go through `tokenizers` itself.
     """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    ranks = byte_ranks(file)
+    if ranks is None:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        return lambda text: array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    tokens = SPECIAL.get(os.path.basename(path), {}) if special else {}
-    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
-    allowed = set(tokens)
+    added = {x["content"]: x["id"] for x in file["added_tokens"]}
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    allowed = set(added)
 
     def ids(text: str) -> list[int]:
         if any(x in text for x in allowed):
@@ -70,10 +94,9 @@ def encoder(path: str, special: bool = False) -> Callable[[str], bytes]:
 
 
 def default_tokenizer() -> str:
-    """byte_bpe_50k.json's vocabulary in the form of ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def cut_points(n: int, budget: int) -> list[tuple[int, int]]:
@@ -90,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, budget: int = SEQUENCE
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, special=True)
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):  # so that few texts are Python strings at a time
                 part = batch.slice(at, 200)
@@ -119,7 +142,7 @@ def place(lengths: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.
     for i, s in enumerate(lengths.tolist()):
         # With rest r the sum changes by 2 * (N(r) - N(r + s)) + 2, by 1 less if r = 0 as full sequences drop out.
         change = np.where(count[s:] > 0, count[: budget + 1 - s] - count[s:], np.inf)
-        change[budget - s] = count[budget - s]  # a new sequence, of which there are always enough
+        change[budget - s] = count[budget - s] - 0.5  # a new sequence: always to be had, and no gap that was counted goes
         change[0] -= 0.5
         rest = int(change.argmin())
         gap = rest + s
@@ -136,6 +159,15 @@ def place(lengths: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.
     return sequence, offset, np.asarray(gaps, np.int64)
 
 
+def emptiest(own: np.ndarray, gaps: np.ndarray, most: int) -> np.ndarray:
+    """Of pieces with their sequence: those of the sequences with the largest gaps, so many pieces at most."""
+    pieces = np.bincount(own, minlength=len(gaps))
+    order = np.argsort(-gaps, kind="stable")
+    chosen = np.zeros(len(gaps), bool)
+    chosen[order[(np.cumsum(pieces[order]) <= most) & (gaps[order] > 0)]] = True
+    return chosen[own]
+
+
 def pack(found: DataFrame, budget: int = SEQUENCE_TOKENS, per_task: int = PIECES_PER_TASK, fan_in: int = FAN_IN) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to `budget`; sequences are gapless from 0."""
     found = cut(found)
@@ -144,20 +176,21 @@ def pack(found: DataFrame, budget: int = SEQUENCE_TOKENS, per_task: int = PIECES
     left = found.repartition(tasks) if n else found
     done = []
     while True:
-        last = tasks == 1
+        last = tasks == 1 and step > 0
 
         def run(batches: Iterator[pa.RecordBatch], step: int = step, last: bool = last) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(kept) if (kept := [b for b in batches if b.num_rows]) else None
             if table is None:
                 return
             lengths = np.asarray(table.column("length"), np.int64)
-            # Large pieces first where the rest is small and final, as they come where much more follows.
-            order = np.argsort(-lengths, kind="stable") if last else np.random.default_rng(7).permutation(len(lengths))
+            # At random first, where the rule leaves few gaps; what is packed again comes large pieces first.
+            order = np.argsort(-lengths, kind="stable") if step else np.random.default_rng(7).permutation(len(lengths))
             sequence, offset, gaps = place(lengths[order], budget)
             base = (step << 58) + (TaskContext.get().partitionId() << 28)
             own, at = np.empty_like(sequence), np.empty_like(offset)
             own[order], at[order] = sequence, offset
-            table = table.append_column("sequence_id", pa.array(own + base)).append_column("offset", pa.array(at)).append_column("_open", pa.array((gaps[own] > 0) & (not last)))
+            again = np.zeros(len(own), bool) if last else emptiest(own, gaps, max(1, per_task // fan_in))
+            table = table.append_column("sequence_id", pa.array(own + base)).append_column("offset", pa.array(at)).append_column("_open", pa.array(again))
             yield from table.to_batches()
 
         names = [x for x in found.columns if x not in ("sequence_id", "offset", "_open")]
