@@ -4,14 +4,18 @@
 REVISIT_BYTES that several pages have is stored once, as the response of the largest page_id, and the others are revisit
 records that refer to it. `index` sorts the captures by their reversed-host URL key (com,example)/path) over all tasks,
 writes them as gzip blocks of BLOCK_LINES lines, and keeps a sparse directory: each block's first key and byte range.
-`lookup` finds a URL by binary search in the directory, a range read of one block, binary search in the block, and a range
-read of the record. `read_back` does the same for all captures, block by block, and checks every payload's digest.
+`lookup` finds URLs' captures, a batch of them for each index file: binary search in the file's directory, a range read of
+the block, binary search in the block. `records` reads what was found by range and checks every payload's digest. `Lookup`
+does the same on the driver, for a URL at a time. `archive_and_read`, the query, asks for the URL of every page.
 
 Files go through pyarrow's file systems, so the folder may be local, HDFS or an object store. A task's file has a name of
 its own for every attempt; only files named in the returned tables count, and these tables are checkpointed, so a repeated
 task leaves at most an unused file. Hot hosts and URLs: the index is range-partitioned by key and place, so a host or URL
-with a third of all captures is spread over many blocks; copies of one payload meet in an aggregation and an equi-join that
-adaptive execution can split.
+with a third of all captures is spread over many blocks and files, each of which is asked for it once; copies of one payload
+meet in an aggregation and an equi-join that adaptive execution can split. Records are read by as many tasks as their bytes
+need (READ_BYTES each). What goes to the driver is the first and last key of each index file, one row a task.
+
+Payloads are equal if their SHA-1, a 64-bit hash and their size are.
 
 Defined results: a null html is an empty payload; a null or odd url is archived with its control characters, spaces and
 non-ASCII percent-encoded (null: empty, key ")"); rows without page_id are responses, whatever their payload; rows that
@@ -38,6 +42,8 @@ from siltstone.llm.common import cut, ensure_checkpoint_dir, remove_folder
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 500
+#: Compressed bytes of records that a task reads.
+READ_BYTES = 4_000_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,6 +57,11 @@ def opened(folder: str):  # noqa: ANN201
     return fs.FileSystem.from_uri(folder)
 
 
+def archived(url: str | None) -> str:
+    """A URL as records have it."""
+    return quote(url or "", safe="%/:=&?~#+!$,;'@()*[]|")
+
+
 def surt(url: str) -> str:
     """A URL's key: host labels reversed, port, path and query, lower-cased host; www. dropped."""
     try:
@@ -112,9 +123,10 @@ CAPTURES = "key string, page_id long, file string, offset long, length long"
 def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Archives all pages; returns the captures (key, page_id, file, offset, length), checkpointed."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload"))
-    heads = pages.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("many")).where("many > 1").select("digest", "head")
-    rows = pages.join(heads, "digest", "left").withColumn("refers_to", F.when((F.octet_length("payload") >= revisit_bytes) & (F.col("page_id") < F.col("head")), F.col("head")))
+    same = ["digest", "print", "size"]
+    pages = pages.withColumns({"digest": F.sha1("payload"), "print": F.xxhash64("payload"), "size": F.octet_length("payload")})
+    heads = pages.where(F.col("size") >= revisit_bytes).groupBy(same).agg(F.max("page_id").alias("head"), F.count("*").alias("many")).where("many > 1").select(*same, "head")
+    rows = pages.join(heads, same, "left").withColumn("refers_to", F.when((F.col("size") >= revisit_bytes) & (F.col("page_id") < F.col("head")), F.col("head")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(folder)
@@ -124,7 +136,7 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) ->
             keys, offsets, sizes = [], [], []
             columns = [batch.column(x) for x in ("page_id", "url", "payload", "digest", "refers_to")]
             for page_id, url, payload, digest, refers_to in zip(*columns):
-                uri = quote(url.as_py() or "", safe="%/:=&?~#+!$,;'@()*[]|")
+                uri = archived(url.as_py())
                 member = record(page_id.as_py(), uri, payload.as_py(), digest.as_py(), refers_to.as_py())
                 if out is None:
                     store.create_dir(base, recursive=True)
@@ -139,7 +151,7 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) ->
     return cut(rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, CAPTURES))
 
 
-DIRECTORY = "first_key string, file string, offset long, length long, lines long"
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines long"
 
 
 def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -158,9 +170,9 @@ def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> D
             packer = zlib.compressobj(6, zlib.DEFLATED, 31)
             member = packer.compress("\n".join(lines).encode()) + packer.flush()
             out.write(member)
-            row = [[lines[0].partition(" ")[0]], [name], [at], [len(member)], [len(lines)]]
+            row = [[lines[0].partition(" ")[0]], [lines[-1].partition(" ")[0]], [name], [at], [len(member)], [len(lines)]]
             at, lines = at + len(member), []
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["first_key", "file", "offset", "length", "lines"])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["first_key", "last_key", "file", "offset", "length", "lines"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns)):
@@ -191,21 +203,53 @@ def block_lines_of(folder: str, name: str, offset: int, length: int) -> list[lis
     return [x.split(" ") for x in zlib.decompress(range_read(folder, name, offset, length), 31).decode().split("\n")]
 
 
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture of the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def lines_with(blocks: list[tuple], folder: str, key: str, lines_of) -> Iterator[list[str]]:  # noqa: ANN001
+    """The captures of a key. blocks: (first key, file, offset, length) in order of key; lines_of: block_lines_of or like it."""
+    first = lambda x: x[0]
+    for _, name, offset, length in blocks[max(bisect_left(blocks, key, key=first) - 1, 0) : bisect_right(blocks, key, key=first)]:
+        lines = lines_of(folder, name, offset, length)
+        yield from lines[bisect_left(lines, key, key=first) : bisect_right(lines, key, key=first)]
+
+
+def lookup(urls: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """The captures of the column `key` of urls (see `surt`): key, page_id, file, offset, length."""
+    edges = directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("low", "high").collect()  # one row a task of `index`
+    names, lows, highs = ([e[k] for e in edges] for k in range(3))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each key with the index files that may have it; files' ranges ascend, and only a key at their edges has several."""
+        for batch in batches:
+            keys, files = [], []
+            for key in batch.column("key").to_pylist():
+                for k in range(bisect_left(highs, key), bisect_right(lows, key)):
+                    keys.append(key), files.append(names[k])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(files, pa.string())], ["key", "file"])
+
+    def find(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(blocks.column(x).to_pylist() for x in ("first_key", "file", "offset", "length"))), key=lambda b: (b[0], b[2]))
+        lines_of = lru_cache(maxsize=4)(block_lines_of)  # keys ascend, so a block is read once
+        found = [x for key in sorted(asked.column("key").to_pylist()) for x in lines_with(rows, folder, key, lines_of)]
+        columns = [[x[0] for x in found], [None if x[1] == "-" else int(x[1]) for x in found], [x[2] for x in found], [int(x[3]) for x in found], [int(x[4]) for x in found]]
+        return pa.table({f.split()[0]: pa.array(v, pa.string() if f.endswith("string") else pa.int64()) for f, v in zip(CAPTURES.split(", "), columns)})
+
+    asked = urls.select("key").distinct().mapInArrow(ask, "key string, file string")
+    return asked.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(find, CAPTURES)
+
+
+def records(captures: DataFrame, folder: str, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Reads captures' records: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // read_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(x).to_pylist() for x in ("file", "offset", "length"))):
-                found = block_lines_of(folder, name, offset, length)
-                found.sort(key=lambda x: (x[2], int(x[3])))  # forward through each archive
-                rows = [parse(range_read(folder, x[2], int(x[3]), int(x[4]))) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.page_id for r in rows], pa.int64()), pa.array([r.payload_bytes for r in rows], pa.int64()), pa.array([r.digest for r in rows], pa.string()), pa.array([r.record_type for r in rows], pa.string()), pa.array([r.refers_to for r in rows], pa.int64())],
-                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
-
-    work = directory.repartition(F.xxhash64("file", "offset"))
+            rows = [parse(range_read(folder, *x)) for x in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.page_id for r in rows], pa.int64()), pa.array([r.payload_bytes for r in rows], pa.int64()), pa.array([r.digest for r in rows], pa.string()), pa.array([r.record_type for r in rows], pa.string()), pa.array([r.refers_to for r in rows], pa.int64())],
+                ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+            )
+
+    # A task reads forward through a stretch of an archive.
+    work = captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return work.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -214,30 +258,33 @@ class Lookup:
 
     def __init__(self, directory: DataFrame, folder: str) -> None:
         self.folder = folder
-        self.blocks = [tuple(r) for r in directory.orderBy("first_key", "file", "offset").collect()]
-        self.firsts = [b[0] for b in self.blocks]
+        self.blocks = [tuple(r) for r in directory.select("first_key", "file", "offset", "length").orderBy("first_key", "file", "offset").collect()]
 
     def find(self, url: str) -> list[Capture]:
         """All captures of a URL."""
-        key = surt(quote(url, safe="%/:=&?~#+!$,;'@()*[]|"))
-        out = []
-        for _, name, offset, length, _ in self.blocks[max(bisect_left(self.firsts, key) - 1, 0) : bisect_right(self.firsts, key)]:
-            lines = block_lines_of(self.folder, name, offset, length)
-            keys = [x[0] for x in lines]
-            for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-                out.append(parse(range_read(self.folder, x[2], int(x[3]), int(x[4]))))
-        return out
+        return [parse(range_read(self.folder, x[2], int(x[3]), int(x[4]))) for x in lines_with(self.blocks, self.folder, surt(archived(url)), block_lines_of)]
 
 
 def new_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
 
 
+def keys_of(pages: DataFrame) -> DataFrame:
+    """Column `key`: the index's key of each page's url."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(archived(x)) for x in batch.column("url").to_pylist()], pa.string())], ["key"])
+
+    return pages.select("url").mapInArrow(run, "key string")
+
+
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Writes, indexes, reads all back, and drops the archives again."""
+    """Writes and indexes all pages, looks every page's URL up, reads what is found, and drops the archives again."""
     spark = pages.sparkSession
     folder = new_folder(spark)
     try:
-        return cut(read_back(index(write(pages, folder), folder), folder))
+        directory = index(write(pages, folder), folder)
+        return cut(records(cut(lookup(keys_of(pages), directory, folder)), folder))
     finally:
         remove_folder(spark, folder)

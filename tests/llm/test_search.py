@@ -52,6 +52,27 @@ def test_lookup_and_plain_gzip(spark, pages):
     assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == pages.count()
 
 
+def test_urls_are_found_in_batches(spark):
+    """Every capture through the directory and its blocks, with keys that fill several blocks and files."""
+    rows = [(k, f"http://h{k % 23}.org/{'hot' if k % 3 == 0 else k // 40}", f"page {k}") for k in range(600)] + [(1000 + k, "http://one.org/", "same") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = warc.new_folder(spark)
+    captures = warc.write(pages, folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        directory = warc.index(captures, folder, block_lines=7)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert directory.select("file").distinct().count() > 1
+    want = sorted(map(tuple, captures.collect()))
+    assert sorted(map(tuple, warc.lookup(warc.keys_of(pages), directory, folder).collect())) == want
+    some = spark.createDataFrame([("http://one.org/",), ("http://h4.org/hot",), ("http://nowhere.org/",), ("",)], "url string")
+    keys = {warc.surt(r.url) for r in some.collect()}
+    assert sorted(map(tuple, warc.lookup(warc.keys_of(some), directory, folder).collect())) == [c for c in want if c[0] in keys]
+    read = warc.records(captures, folder, read_bytes=10_000)
+    assert read.rdd.getNumPartitions() > 5 and read.count() == len(rows)
+
+
 def test_surt_keys():
     assert warc.surt("https://www.B.example.org/x?y=1") == "org,example,b)/x?y=1"
     assert warc.surt("http://a.org:8080") == "org,a:8080)/"
