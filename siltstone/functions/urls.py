@@ -27,6 +27,12 @@ def authority(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("AUTHORITY"))
 
 
+def depth(url: Column) -> Column:
+    """How many non-empty segments its path has; 0 without a path."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.size(F.filter(F.split(path, "/"), lambda x: x != ""))
+
+
 def distinct_urls(urls: Column) -> Column:
     """An array's URLs without repeats, the first of each kept."""
     return F.array_distinct(urls)

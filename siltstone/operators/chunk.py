@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import WS, WS_RE2, sql_strip, strip
+from siltstone.functions.text import WS_RE2, sql_strip
 
 SIZE, OVERLAP = 500, 50
 BOUNDARY = " .,!?\n"
 
 
-def overlap_tail(text: Column, overlap: int = OVERLAP) -> Column:
-    """What the next chunk repeats: all of a short text, else its last characters, stripped; nothing at overlap 0."""
-    if not overlap:
-        return F.lit("")
-    return F.when(F.length(text) <= overlap, text).otherwise(strip(F.right(text, F.lit(overlap))))
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
-def sentence_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """array<string>: sentences put together while they fit (the joining space isn't counted); a sentence is never cut.
+def sentence_pieces(text: str, size: int, overlap: int) -> list[str]:
+    """Sentences put together while they fit (the joining space isn't counted); a sentence is never cut.
 
-    One fold over the sentences on the JVM; each step looks at the chunk that is open, so it is linear in the text.
+    A chunk begins with what the one before repeats: all of a short one, else its last characters, stripped; nothing at
+    overlap 0. Linear in the text: parts are joined when a chunk is full.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, s: Column) -> Column:
-        done, open_ = acc["done"], acc["open"]
-        full = (F.length(open_) + F.length(s) > size) & (open_ != "")
-        tail = overlap_tail(open_, overlap)
-        carried = F.when(tail != "", F.concat(tail, F.lit(" "), s)).otherwise(s)
-        grown = F.when(open_ != "", F.concat(open_, F.lit(" "), s)).otherwise(s)
-        return F.struct(F.when(full, F.concat(done, F.array(strip(open_)))).otherwise(done).alias("done"), F.when(full, carried).otherwise(grown).alias("open"))
-
-    def finish(acc: Column) -> Column:
-        last = strip(acc["open"])
-        return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
-
-    own = strip(text)
-    return F.when(own != "", F.aggregate(F.split(own, f"(?<=[.!?]){WS}+"), start, step, finish)).otherwise(F.array().cast("array<string>"))
+    out, parts, length, text = [], [], 0, text.strip()
+    for s in _SENTENCE_END.split(text) if text else ():
+        if parts and length + len(s) > size:
+            whole = " ".join(parts)
+            out.append(whole.strip())
+            tail = "" if not overlap else whole if len(whole) <= overlap else whole[-overlap:].strip()
+            parts, length = ([tail], len(tail)) if tail else ([], 0)
+        length += len(s) + bool(parts)
+        parts.append(s)
+    last = " ".join(parts).strip()
+    return [*out, last] if last else out
 
 
 def chunk_by_sentences(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """page_id, chunk_index (from 0), chunk_text."""
-    return pages.select(F.col("id").alias("page_id"), F.posexplode(sentence_chunks(F.col("content"), size, overlap)).alias("chunk_index", "chunk_text"))
+    return _pieces(pages, lambda x: sentence_pieces(x, size, overlap))
 
 
 def fixed_pieces(text: str, size: int, overlap: int) -> list[str]:
@@ -66,13 +59,18 @@ def fixed_pieces(text: str, size: int, overlap: int) -> list[str]:
 
 
 def chunk_by_size(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """page_id, chunk_index, chunk_text. The recurrence depends on the data, so it runs in Arrow batches."""
+    """page_id, chunk_index, chunk_text."""
+    return _pieces(pages, lambda x: fixed_pieces(x, size, overlap))
+
+
+def _pieces(pages: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
+    """Where a chunk ends depends on the one before, so the recurrence runs in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             page, index, text = [], [], []
             for i, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, piece in enumerate(fixed_pieces(content or "", size, overlap)):
+                for k, piece in enumerate(cut(content or "")):
                     page.append(i), index.append(k), text.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(index, pa.int32()), pa.array(text, pa.string())], ["page_id", "chunk_index", "chunk_text"])
 
@@ -83,7 +81,9 @@ def chunk_text(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, metho
     return chunk_by_sentences(pages, size, overlap) if method == "sentences" else chunk_by_size(pages, size, overlap)
 
 
-SENTENCES_SQL = f"""with recursive src as (select doc_id as page_id, {sql_strip("text")} as t from documents),
+def sentences_sql(pages: str) -> str:
+    """SQL for the sentence chunks of rows (page_id, content)."""
+    return f"""with recursive src as (select page_id, {sql_strip("content")} as t from ({pages})),
     s as (select page_id, string_split(regexp_replace(t, '([.!?]){WS_RE2}+', '\\1' || chr(1), 'g'), chr(1)) as sents from src where t <> ''),
     f as (select page_id, sents, 1 as i, '' as cur, null::varchar as emitted, 0 as idx from s
         union all
@@ -98,6 +98,9 @@ SENTENCES_SQL = f"""with recursive src as (select doc_id as page_id, {sql_strip(
         from f where i <= len(sents) + 1)
     select page_id, idx::int as chunk_index, emitted as chunk_text from f where emitted is not null and emitted <> ''"""
 
+
+SENTENCES_SQL = sentences_sql("select doc_id as page_id, text as content from documents")
+
 _STOP = f"""a + case when a + {SIZE} >= n then {SIZE} else
     case when length(regexp_extract(substring(t, a + 1, {SIZE + 1}), '(?s)^(.+)[ .,!?\n]', 1)) > 0 then length(regexp_extract(substring(t, a + 1, {SIZE + 1}), '(?s)^(.+)[ .,!?\n]', 1)) else {SIZE} end end"""
 FIXED_SQL = f"""with recursive src as (select doc_id as page_id, {sql_strip("text")} as t from documents),

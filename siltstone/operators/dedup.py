@@ -9,13 +9,13 @@ from siltstone.operators.state import cut
 
 
 def first_by_hash(pages: DataFrame, seq: str = "id") -> DataFrame:
-    """The first page of each content hash; pages with an empty or null hash all stay.
+    """The first page of each content hash; pages with an empty or null hash all stay, and so do rows that repeat (hash, seq).
 
-    min_by aggregates with map-side combining, so a hash with very many copies is no hot partition.
+    The minimum is combined on the map side, so a hash with very many copies is no hot partition.
     """
     keyed = F.coalesce("content_hash", F.lit("")) != ""
-    first = pages.where(keyed).groupBy("content_hash").agg(F.min(seq).alias(seq)).select(seq)
-    return pages.where(keyed).join(first, seq, "left_semi").unionByName(pages.where(~keyed))
+    first = pages.where(keyed).groupBy("content_hash").agg(F.min(seq).alias(seq))
+    return pages.where(keyed).join(first, ["content_hash", seq], "left_semi").select(pages.columns).unionByName(pages.where(~keyed))
 
 
 def is_duplicate(candidates: DataFrame, stored: DataFrame) -> DataFrame:
@@ -29,19 +29,33 @@ def ingest(pages: DataFrame, seq: str = "id") -> DataFrame:
 
     A row is accepted if neither its url nor its hash was *accepted* before; so a row whose rival was itself refused gets in.
     Each round accepts what is the first undecided row of both its groups and refuses what shares a group with it. A null
-    hash is nobody's rival, an empty one is like any other; rows with a null url are refused. Rounds are few: a chain of
-    refusals is what makes another one necessary. Lineage is cut each round.
+    hash is nobody's rival, an empty one is like any other; rows with a null url are refused. Rows of one seq go by hash
+    within a url and by url within a hash; rows equal in all three are one row, and all stay or none. Rounds are few: a chain
+    of refusals is what makes another one necessary. Lineage is cut each round.
     """
-    left = pages.where("url is not null").select(seq, "url", "content_hash")
+    same = [seq, "url", "content_hash"]
+    left = pages.where("url is not null").select(same)
     accepted = None
     while True:
-        by_url, by_hash = (left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"_{k}")) for k in ("url", "content_hash"))
+        by_url, by_hash = (left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(F.struct(seq, other)).alias(f"_{k}")) for k, other in (("url", "content_hash"), ("content_hash", "url")))
         ranked = left.join(by_url, "url").join(by_hash, "content_hash", "left")
-        now = cut(ranked.where((F.col(seq) == F.col("_url")) & (F.col("_content_hash").isNull() | (F.col(seq) == F.col("_content_hash")))).select(seq, "url", "content_hash"))
+        now = cut(ranked.where(F.struct(seq, "content_hash").eqNullSafe(F.col("_url")) & (F.col("_content_hash").isNull() | (F.struct(seq, "url") == F.col("_content_hash")))).select(same).distinct())
         accepted = now if accepted is None else accepted.unionByName(now)
-        left = cut(left.join(now.select("url").distinct(), "url", "left_anti").join(now.select("content_hash").where("content_hash is not null").distinct(), "content_hash", "left_anti").select(seq, "url", "content_hash"))
+        left = cut(left.join(now.select("url").distinct(), "url", "left_anti").join(now.select("content_hash").where("content_hash is not null").distinct(), "content_hash", "left_anti").select(same))
         if left.isEmpty():
-            return pages.join(accepted.select(seq), seq, "left_semi")
+            own = accepted.select(*(F.col(c).alias(f"_{c}") for c in same))
+            return pages.join(own, (F.col(seq) == F.col(f"_{seq}")) & (F.col("url") == F.col("_url")) & F.col("content_hash").eqNullSafe(F.col("_content_hash")), "left_semi")
+
+
+def first_writer_sql(rows: str) -> str:
+    """SQL for the ids that `ingest` accepts of rows (id, url, content_hash, non-null ids), one after the other."""
+    return f"""with recursive d as materialized (select id, dense_rank() over (order by url) as u, case when content_hash is not null then dense_rank() over (order by content_hash) end as h,
+            row_number() over (order by id) as k from ({rows}) where url is not null),
+        s as (select 0::bigint as k, []::bigint[] as us, []::bigint[] as hs, []::bigint[] as ids
+            union all
+            select n.k, case when n.ok then list_append(us, n.u) else us end, case when n.ok and n.h is not null then list_append(hs, n.h) else hs end, case when n.ok then list_append(ids, n.id) else ids end
+            from (select s.*, d.k as dk, d.u, d.h, d.id, not list_contains(us, d.u) and (d.h is null or not list_contains(hs, d.h)) as ok from s join d on d.k = s.k + 1) as n(_k, us, hs, ids, k, u, h, id, ok))
+        select unnest(ids) as id from (select ids from s order by k desc limit 1)"""
 
 
 def enqueue(urls: DataFrame, queue: DataFrame, seq: str = "seq") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.urls import depth
+
 
 def next_item(queue: DataFrame, by_priority: bool = False) -> DataFrame:
     """The queued row scheduled first (by id where times are equal), as a worker gets it."""
@@ -12,14 +14,22 @@ def next_item(queue: DataFrame, by_priority: bool = False) -> DataFrame:
     return queue.where("status = 'queued'").orderBy(*([F.asc("priority")] if by_priority else []), *order).limit(1).select("id", "url", "status", "retries")
 
 
+def next_inserted(queue: DataFrame) -> DataFrame:
+    """The queued row that was put in first, whatever its schedule."""
+    return queue.where("status = 'queued'").orderBy("id").limit(1).select("id", "url", "status", "retries")
+
+
 def claim(queue: DataFrame, most: int) -> DataFrame:
     """The rows that a batch of workers claims, now processing."""
     return queue.where("status = 'queued'").orderBy("scheduled_at", "id").limit(most).select("id", "url", F.lit("processing").alias("status"), "retries")
 
 
 def finish(queue: DataFrame, finished: DataFrame) -> DataFrame:
-    """queue with the status and processed_at of `finished` (id, status, processed_at) where it has the id."""
-    new = finished.select("id", F.col("status").alias("_status"), F.col("processed_at").alias("_at"))
+    """queue with the status and processed_at of `finished` (id, status, processed_at) where it has the id.
+
+    Ids may be text; one that is no number changes nothing.
+    """
+    new = finished.select(F.col("id").try_cast("long").alias("id"), F.col("status").alias("_status"), F.col("processed_at").alias("_at"))
     return queue.drop("processed_at").join(new, "id", "left").withColumn("status", F.coalesce("_status", "status")).withColumnRenamed("_at", "processed_at").drop("_status")
 
 
@@ -40,6 +50,16 @@ def schedule(requests: DataFrame, domain: str, time: str, tie: str, delay_s: int
     return rows.withColumn("wait_us", (running + step * F.col("_k") - F.col("_t")).cast("long")).drop("_k", "_t")
 
 
+def recrawl(crawls: DataFrame, key: str, time: str, now: str, days: int) -> DataFrame:
+    """Keys whose last crawl is that many days before `now` or more, with its time."""
+    return crawls.groupBy(key).agg(F.max(time).alias("last")).where(F.col("last") <= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
+
+
+def within_depth(requests: DataFrame, url: str, most: int) -> DataFrame:
+    """Requests whose URL has at most that many path segments."""
+    return requests.where(depth(F.col(url)) <= most)
+
+
 def retryable(queue: DataFrame, most: int) -> DataFrame:
     return queue.where((F.col("status") == "failed") & (F.col("retries") < most))
 
@@ -49,11 +69,14 @@ def dead_letters(queue: DataFrame, most: int) -> DataFrame:
 
 
 def allowed(requests: DataFrame, rules: DataFrame, host: str, path: str) -> DataFrame:
-    """Requests that no robots rule (host, prefix, allow) forbids: the longest matching prefix decides, allow wins ties."""
-    hit = requests.join(rules.withColumnRenamed("host", "_host"), (F.col(host) == F.col("_host")) & F.col(path).startswith(F.col("prefix")), "left")
-    keys = requests.columns
-    verdict = hit.groupBy(*keys).agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("_allow"))
-    return verdict.where(F.coalesce("_allow", F.lit(True))).select(*keys)
+    """Requests that no robots rule (host, prefix, allow) forbids: the longest matching prefix decides, allow wins ties.
+
+    Verdicts are found for each host and path once; requests that repeat stay as often as they come.
+    """
+    places = requests.select(F.col(host).alias("_host"), F.col(path).alias("_path")).distinct()
+    hit = places.join(rules, (F.col("_host") == F.col("host")) & F.col("_path").startswith(F.col("prefix")))
+    verdict = hit.groupBy("_host", "_path").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("_allow"))
+    return requests.join(verdict.where("not _allow"), (F.col(host) == F.col("_host")) & (F.col(path) == F.col("_path")), "left_anti")
 
 
 def changed(crawls: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:

@@ -25,6 +25,17 @@ def extended(semantic: Column, keyword: Column, authority: Column, freshness: Co
     return F.lit(0.4) * semantic + F.lit(0.2) * keyword + F.lit(0.15) * authority + F.lit(0.15) * freshness + F.lit(0.1) * popularity
 
 
+def results(hits: DataFrame, chunks: DataFrame, pages: DataFrame, top: int = 10) -> DataFrame:
+    """title, url, snippet, score of the pages that hits (chunk_id, score) belong to, each once with its best chunk.
+
+    chunks: id, page_id, chunk_text; pages: id, title, url. Equal scores go by page and chunk id.
+    """
+    found = hits.join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_text"), "chunk_id")
+    best = found.groupBy("page_id").agg(F.max_by(F.struct("chunk_text", "score"), F.struct("score", -F.col("chunk_id"))).alias("b"))
+    rows = best.select(F.col("page_id").alias("id"), "b.*").join(pages.select("id", "title", "url"), "id").orderBy(F.desc("score"), "id").limit(top)
+    return rows.select("title", "url", F.substring("chunk_text", 1, 200).alias("snippet"), "score")
+
+
 def host_share(pages: DataFrame, host: str) -> DataFrame:
     """Each host's pages as a share of the largest host's."""
     counts = pages.groupBy(host).agg(F.count("*").alias("n"))

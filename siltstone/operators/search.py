@@ -20,6 +20,12 @@ def search(pages: DataFrame, query: str, limit: int = 10, literal: bool = False)
     return hits.select("id", "url", "title", F.substring("content", 1, 500).alias("content"), F.col("content_hash").alias("hash"))
 
 
+def memory_search(pages: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """The first pages by id whose title or content contains the query literally, case ignored as Unicode has it."""
+    hit = lambda c: F.contains(F.lower(c), F.lower(F.lit(query)))
+    return page_row(pages.where(hit("title") | hit("content")).orderBy("id").limit(limit))
+
+
 def log_entry(hits: DataFrame, query: str) -> DataFrame:
     """The search-log row of a search: a sink's input, never a side effect of the search."""
     return hits.agg(F.count("*").cast("int").alias("results_count")).select(F.lit(query).alias("query"), "results_count", F.current_timestamp().alias("timestamp"))

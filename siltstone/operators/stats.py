@@ -21,6 +21,12 @@ def memory_stats(queue: DataFrame, pages: DataFrame) -> DataFrame:
     return counts.crossJoin(pages.agg(F.count("*").alias("pages"))).withColumn("total", F.col("queued") + F.col("processed"))
 
 
+def added(new: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row, the answer to a crawl request: how many of its URLs are new, and how many are queued then."""
+    counts = new.agg(F.count("*").alias("added")).crossJoin(queue.agg(F.count_if(F.col("status") == "queued").alias("before")))  # single rows
+    return counts.select("added", (F.col("before") + F.col("added")).alias("queued"))
+
+
 def popular(logs: DataFrame, top: int = 10) -> DataFrame:
     return logs.groupBy("query").agg(F.count("*").alias("searches")).orderBy(F.desc("searches"), "query").limit(top)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ from siltstone.functions.text import WS, ascii_lower
 #: Query vectors that one pass over the data holds, as bytes.
 QUERY_BYTES = 64 << 20
 EMBEDDING_SIZE = 64
+#: The approximate search's cells, how many of them a query asks, and how many vectors its centres are fitted on.
+CELLS, PROBES, FIT_ROWS = 32, 24, 10_000
+_SPACES = re.compile(r"\s+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def to_json(vector: Column) -> Column:
@@ -43,8 +49,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return scored.where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, vec_id, score: the k nearest other vectors of every query, exactly.
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """query_id, vec_id, score: the k nearest other vectors of every query, exactly unless cells' centres are given.
 
     Queries go in blocks of a checked size, each scored by a matrix product against every partition of the data, where only
     its k best stay; the blocks' number grows with the queries. Zero vectors neither ask nor answer.
@@ -57,14 +63,17 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes:
     out = None
     for part in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).collect()  # at most about query_bytes
-        found = _block(vectors, np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows]), k)
+        found = _block(vectors, np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows]), k, centres, probes)
         out = found if out is None else out.unionAll(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> DataFrame:
+def _block(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, centres: np.ndarray | None, probes: int) -> DataFrame:
     norm = np.sqrt((asked * asked).sum(1)) if len(ids) else np.zeros(0)
+    if centres is not None and len(ids):
+        nearest = np.argsort(-(asked @ centres.T), axis=1, kind="stable")[:, :probes]
+        return _in_cells(vectors, ids, asked / np.maximum(norm, 1e-300)[:, None], k, centres, nearest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[tuple[np.ndarray, np.ndarray]] = []  # for groups of queries, the best ids and scores so far
@@ -100,16 +109,56 @@ def _block(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> Da
     return own.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def approximate_top_k(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """Random-projection LSH on unit vectors; recall is below 1."""
-    own = F.col("embedding").cast("array<double>")
-    unit = vectors.select("vec_id", F.transform(own, lambda x: x / F.sqrt(dot(own, own))).alias("unit")).select("vec_id", array_to_vector("unit").alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=5).fit(unit)
-    length = float(np.linalg.norm(query)) or 1.0
-    from pyspark.ml.linalg import Vectors
+def approximate_top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
+    """query_id, vec_id, score: about the k nearest other vectors of every query; recall is below 1.
+
+    An inverted file: spherical k-means on at most FIT_ROWS vectors, chosen by a hash of their id, gives the cells. Every vector
+    goes to the cell of its nearest centre, every query asks its nearest `probes` cells and is scored there alone.
+    """
+    return top_k_each(vectors, queries, k, centres=centres(vectors, cells), probes=probes)
+
+
+def centres(vectors: DataFrame, cells: int, rounds: int = 10) -> np.ndarray | None:
+    rows = vectors.where("embedding is not null and vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
+    own = np.array([r.embedding for r in chosen], float)
+    if not len(own):
+        return None
+    own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+    middle = own[:cells]
+    for _ in range(rounds):
+        nearest = (own @ middle.T).argmax(1)
+        total = np.stack([np.bincount(nearest, own[:, i], minlength=len(middle)) for i in range(own.shape[1])], 1)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        middle = np.where(norm > 0, total / np.maximum(norm, 1e-300), middle)
+    return middle
+
+
+def _in_cells(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, centres: np.ndarray, nearest: np.ndarray) -> DataFrame:
+    """The best k of each partition, a query being scored in its cells alone. asked: unit vectors."""
+    asks = [np.flatnonzero((nearest == c).any(1)) for c in range(len(centres))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ids, best = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own = np.asarray(part.column("vec_id"))
+                matrix = np.asarray(part.column("embedding").flatten()).reshape(len(own), -1)
+                matrix = matrix / np.where((length := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, length, np.nan)
+                cell = np.where(np.isnan(matrix[:, 0]), -1, np.nan_to_num(matrix @ centres.T).argmax(1))
+                for c in np.unique(cell[cell >= 0]).tolist():
+                    q, here = asks[c], np.flatnonzero(cell == c)
+                    score = np.round(asked[q] @ matrix[here].T, 6)
+                    score[(ids[q][:, None] == own[here][None, :]) | ~(np.abs(asked[q]).sum(1) > 0)[:, None]] = -np.inf
+                    who, score = np.concatenate([best_ids[q], np.broadcast_to(own[here], score.shape)], 1), np.concatenate([best[q], score], 1)
+                    order = np.lexsort((who, -score), axis=1)[:, :k]
+                    best_ids[q], best[q] = np.take_along_axis(who, order, 1), np.take_along_axis(score, order, 1)
+        keep = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_ids[keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
 
-    near = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in query]), k, distCol="distance")
-    return near.select("vec_id", F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and vec_id is not null")
+    return own.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def mean_by(vectors: DataFrame, group: str) -> DataFrame:
@@ -137,6 +186,26 @@ def hashed_embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:
     return F.aggregate(place, zero, lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["i"]), F.array(F.element_at(acc, p["i"] + 1) + p["s"]), F.slice(acc, p["i"] + 2, F.lit(size))))
 
 
+def hashing_embedder(size: int = EMBEDDING_SIZE):  # noqa: ANN201
+    """`hashed_embedding` as an embedder for `embed`."""
+
+    @lru_cache(maxsize=1 << 16)
+    def place(word: str) -> tuple[int, int]:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[:8], 16) % size, 1 if digest[8] < "8" else -1
+
+    def model(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), size), np.float32)
+        for row, x in zip(out, texts):
+            for word in _SPACES.split(x.translate(_LOWER)):
+                if word:
+                    i, sign = place(word)
+                    row[i] += sign
+        return out
+
+    return model
+
+
 def embed(chunks: DataFrame, embedder, text: str = "chunk_text", size: int = EMBEDDING_SIZE) -> DataFrame:  # noqa: ANN001
     """chunks with `vector`, by a pluggable embedder: a function of a list of strings that returns a matrix, made once a worker."""
 

@@ -26,6 +26,12 @@ def chunks_without_embeddings(chunks: DataFrame, embeddings: DataFrame, limit: i
     return out if limit is None else out.orderBy("id").limit(limit)
 
 
+def exists(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked (id) with `found`: whether there is a chunk with that id."""
+    have = chunks.select("id").where("id is not null").distinct().withColumn("_have", F.lit(True))
+    return asked.join(have, "id", "left").withColumn("found", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
 def mark_embedded(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """pages with `embedded` derived: it has chunks, and each has an embedding."""
     missing = chunks.join(embeddings.select(F.col("chunk_id").alias("id")), "id", "left_anti").select(F.col("page_id").alias("id")).distinct()

@@ -49,10 +49,13 @@ def _search(name: str, q: str, limit: int = 10, literal: bool = False, every: bo
 _search("search_keyword", "The")
 _search("search_empty_query", "", 20)
 _search("search_wildcard", "o_ther")
-_search("search_literal", "100%", literal=True)
+_search("search_literal", "%%%", literal=True)
 _search("search_ascii_case", "ÉT", 50)
 _search("search_all_hits", "tion", 1_000_000, every=True)
 
+query("search_memory", f"with {PAGES_SQL} select id, url, title, content, content_hash as hash from stored where contains(lower(title), lower('CIÓN')) or contains(lower(content), lower('CIÓN')) order by id limit 5")(
+    lambda s, d: search.memory_search(stored(s, d), "CIÓN")
+)
 query("pages_paginated", f"with {PAGES_SQL} select * from stored order by id limit 50 offset 100")(lambda s, d: search.paginated(stored(s, d), 100, 50))
 query("page_projection", f"with {PAGES_SQL} select id, url, title, content, content_hash as hash from stored")(lambda s, d: search.page_row(stored(s, d)))
 query("snippet_web", f"with {PAGES_SQL} select id, url, coalesce(nullif(title, ''), 'No title') as title, case when length(content) > 200 then left(content, 200) || '...' else content end as snippet from stored")(
@@ -106,13 +109,38 @@ query("clean_text", f"select doc_id, {text.sql_clean('text')} as content from do
 
 # ---- extraction, ingestion -----------------------------------------------------------------------------------------------
 
-for _name, _f in (("extract_lightweight", extract.lightweight), ("extract_minimal", extract.minimal), ("extract_worker", extract.worker), ("extract_body", extract.body_text), ("extract_direct", extract.direct)):
+#: Pages made by hand: containers of every kind, side blocks, descriptions, and what is missing or odd.
+_KEEP = "<p>Enough words to stay in here.</p>"
+_BODIES = [
+    f"<header>no</header><article>{_KEEP}<ul><li>one&nbsp;item</li></ul></article><footer>no</footer>", f"<main>{_KEEP}</main><p>outside</p>", f"<div role='main'>{_KEEP}</div><p>outside</p>",
+    *(f'<p>outside</p><section class="a {c} b">{_KEEP}</section>' for c in extract.CONTENT_CLASSES), f"<div class='Content'>{_KEEP}</div><p>no class of that name</p>", f"<div class='contents'>{_KEEP}</div><p>nor of that one</p>",
+    f"{_KEEP}<div class='sidebar'>no</div><ul class='menu x'><li>no</li></ul><section class=\"comments\">no</section><p class='advertisement'>no</p>", f"<nav>no</nav>{_KEEP}<form>no</form><aside>no</aside>",
+    f"<article></article><main>{_KEEP}</main>", "<p>short</p>", "", f"<!-- <article>no</article> --><script>'<main>'</script>{_KEEP}\xa0 <p>A second line of more than twenty.</p>", "one line\n  \n\nanother line of more than twenty\n",
+]
+_HAND_MADE = [(k, f"http://h/{k}", f"<html><head><title> A &amp; {k} </title>{'<meta name=\"description\" content=\"What &lt;it&gt; is\">' if k % 2 else ''}</head><body>{b}</body></html>") for k, b in enumerate(_BODIES)]
+_HAND_MADE += [(100, "http://h/100", ""), (101, "http://h/101", "<p>no body, no title</p>"), (102, "http://h/102", f"<TITLE></TITLE><BODY class='content'>{_KEEP} and no end"), (103, "http://h/103", None)]
+_HAND_MADE_SQL = "pages(page_id, url, html) as (values " + ", ".join(f"({k}::bigint, '{u}', {'null' if h is None else extract._quote(h)})" for k, u, h in _HAND_MADE) + ")"
+
+
+def _hand_made(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_HAND_MADE, "page_id long, url string, html string")
+
+
+_EXTRACTORS = (("extract_lightweight", extract.lightweight), ("extract_minimal", extract.minimal), ("extract_worker", extract.worker), ("extract_body", extract.body_text), ("extract_direct", extract.direct))
+for _name, _f in _EXTRACTORS[:2]:
+    query(f"{_name}_containers", f"with {_HAND_MADE_SQL}, {extract.SQL[_name].removeprefix('with ')} where page_id not in (100, 103) union all select page_id, {repr('Failed to fetch' if _f is extract.lightweight else 'Failed')}, '', '', 0 from pages where page_id in (100, 103)")(
+        lambda s, d, f=_f: f(_hand_made(s))
+    )
+for _name, _f in _EXTRACTORS:
     query(_name, extract.SQL[_name])(lambda s, d, f=_f: f(table(s, d, "pages")))
 query("extract_parser")(lambda s, d: extract.parse_html(table(s, d, "pages")))
 query("dedup_content_hash", f"with {PAGES_SQL} select * from stored qualify row_number() over (partition by content_hash order by id) = 1")(lambda s, d: dedup.first_by_hash(stored(s, d)))
 
 
-@query("ingest_first_writer")
+_WRITES = "select doc_id as id, 'u' || (doc_id % 700)::varchar as url, sha256(text) as content_hash from documents"
+
+
+@query("ingest_first_writer", f"select id, url, content_hash from ({_WRITES}) where id in ({dedup.first_writer_sql(_WRITES)})")
 def ingest_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A url is shared by ids that agree modulo 700, so that both constraints bite.
     d = table(spark, sf_dir, "documents")
@@ -125,10 +153,25 @@ def is_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.is_duplicate(d, d.where("lang = 'en'")).select("doc_id", "duplicate")
 
 
-@query("enqueue_dedup", "select min(event_id) as seq, 'https://u' || user_id::varchar || '.example.org/' as url, 'queued' as status from events where user_id not in (select o_custkey from orders where o_custkey is not null) group by user_id")
-def enqueue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Users' pages are asked for; those that have a supplier's number are in the queue, its status by the sign of the balance.
+_ASKED = "asked as (select event_id as seq, 'https://u' || user_id::varchar || '.example.org/' as url from events)"
+_HAVE = "have as (select 'https://u' || s_suppkey::varchar || '.example.org/' as url, case when s_acctbal > 0 then 'queued' else 'completed' end as status from supplier)"
+_NEW = "select min(seq) as seq, url, 'queued' as status from asked where url not in (select url from have) group by url"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     url = lambda c: F.concat(F.lit("https://u"), F.col(c).cast("string"), F.lit(".example.org/")).alias("url")
-    return dedup.enqueue(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), url("user_id")), table(spark, sf_dir, "orders").select(url("o_custkey")))
+    have = table(spark, sf_dir, "supplier").select(url("s_suppkey"), F.when(F.col("s_acctbal") > 0, "queued").otherwise("completed").alias("status"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), url("user_id")), have
+
+
+query("enqueue_dedup", f"with {_ASKED}, {_HAVE} {_NEW}")(lambda s, d: dedup.enqueue(*_asked(s, d)))
+
+
+@query("crawl_response", f"with {_ASKED}, {_HAVE}, new as ({_NEW}) select (select count(*) from new) as added, (select count(*) from new) + (select count(*) from have where status = 'queued') as queued")
+def crawl_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, have = _asked(spark, sf_dir)
+    return stats.added(dedup.enqueue(asked, have), have)
 
 
 @query("request_urls", "select l_orderkey, list_distinct(list(l_partkey)).len()::bigint as n from lineitem group by 1")
@@ -144,17 +187,17 @@ query("chunk_counts", f"select page_id, count(*) as chunks, sum(length(chunk_tex
     lambda s, d: chunk.chunk_by_sentences(stored(s, d)).groupBy("page_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
 )
 
-# ---- work lists: lineitem as chunks of orders, every part below 40 % of the key range has an embedding -----------------------
+# ---- work lists: lineitem as chunks of orders, and a chunk that has an event's number has an embedding -----------------------
 
-_CHUNKS = "ch as (select l_orderkey * 10 + l_linenumber as id, l_orderkey as page_id, l_returnflag as chunk_text, l_linenumber as chunk_index from lineitem where l_orderkey % 5 <> 0)"
+_CHUNKS = "ch as (select l_orderkey * 10 + l_linenumber as id, l_orderkey as page_id, l_returnflag as chunk_text, l_linenumber as chunk_index from lineitem)"
 _PG = "pg as (select o_orderkey as id, o_orderpriority as content, o_orderstatus = 'F' as embedded from orders)"
-_EM = "em as (select id as chunk_id from ch where id % 3 <> 0)"
+_EM = "em as (select event_id as chunk_id from events)"
 
 
 def _work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("chunk_text"), F.col("l_linenumber").alias("chunk_index"))
+    chunks = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("chunk_text"), F.col("l_linenumber").alias("chunk_index"))
     pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"), (F.col("o_orderstatus") == "F").alias("embedded"))
-    return pages, chunks, chunks.where("id % 3 <> 0").select(F.col("id").alias("chunk_id"))
+    return pages, chunks, table(spark, sf_dir, "events").select(F.col("event_id").alias("chunk_id"))
 
 
 query("pages_needing_chunking", f"with {_CHUNKS}, {_PG} select id, content from pg where content <> '' and id not in (select page_id from ch) order by id")(lambda s, d: worklist.pages_needing_chunking(*_work(s, d)[:2]).select("id", "content"))
@@ -163,7 +206,8 @@ query(
     f"with {_CHUNKS}, {_PG}, {_EM} select distinct pg.id from pg left join ch on ch.page_id = pg.id left join em on em.chunk_id = ch.id where not pg.embedded and em.chunk_id is null",
 )(lambda s, d: worklist.pages_without_embeddings(*_work(s, d)).select("id"))
 query("chunks_without_embeddings", f"with {_CHUNKS}, {_EM} select id, page_id, chunk_text, chunk_index from ch where chunk_text <> '' and id not in (select chunk_id from em)")(lambda s, d: worklist.chunks_without_embeddings(*_work(s, d)[1:]))
-query("chunks_work_batch", f"with {_CHUNKS}, {_EM} select id, page_id, chunk_text, chunk_index from ch where chunk_text <> '' and id not in (select chunk_id from em) order by id limit 32")(lambda s, d: worklist.chunks_without_embeddings(*_work(s, d)[1:], limit=32))
+query("chunks_work_batch", f"with {_CHUNKS}, {_EM} select id, page_id from ch where chunk_text <> '' and id not in (select chunk_id from em) order by id limit 32")(lambda s, d: worklist.chunks_without_embeddings(*_work(s, d)[1:], limit=32).select("id", "page_id"))
+query("chunk_exists", f"with {_CHUNKS} select event_id as id, event_id in (select id from ch) as found from events")(lambda s, d: worklist.exists(table(s, d, "events").select(F.col("event_id").alias("id")), _work(s, d)[1]))
 query("mark_embedded", f"with {_CHUNKS}, {_PG}, {_EM} select id, content, id in (select page_id from ch) and id not in (select page_id from ch where id not in (select chunk_id from em)) as embedded from pg")(lambda s, d: worklist.mark_embedded(*_work(s, d)))
 query("delete_pages", "select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")(
     lambda s, d: worklist.delete_pages(table(s, d, "orders").select(F.col("o_orderkey").alias("id")), table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")))
@@ -196,15 +240,25 @@ query(
     "page_embedding_mean",
     "with c as (select label, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, round(avg(x), 6) as x from c group by 1, 2) select label, list(x order by i) as vector from m group by 1",
 )(lambda s, d: vector.mean_by(table(s, d, "embeddings"), "label"))
-query("vector_ann")(lambda s, d: vector.approximate_top_k(table(s, d, "embeddings"), _first_vector(s, d)))
+query("vector_ann")(lambda s, d: vector.approximate_top_k_each(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 20 = 0")))
 query("vector_clusters")(lambda s, d: vector.clusters(table(s, d, "embeddings"), 8))
-query(
-    "hashed_embedding",
-    f"""with w as (select doc_id, unnest(list_filter(string_split_regex(translate(text, '{text.UPPER}', '{text.LOWER}'), '{text.WS_RE2}+'), lambda x: x <> '')) as w from documents),
-    c as (select doc_id, (('0x' || substr(md5(w), 1, 8))::ubigint % 64)::int as i, sum(case when substr(md5(w), 9, 1) < '8' then 1 else -1 end)::int as s from w group by 1, 2),
-    g as (select d.doc_id, r.i, coalesce(c.s, 0) as s from documents d cross join (select unnest(range(64))::int as i) r left join c on c.doc_id = d.doc_id and c.i = r.i)
-    select doc_id, list(s order by i) as vector from g group by 1""",
-)(lambda s, d: table(s, d, "documents").select("doc_id", vector.hashed_embedding(F.col("text")).alias("vector")))
+
+
+def _embedding_sql(rows: str, keys: str) -> str:
+    """SQL for the hashed embedding of rows (keys, x), distinct keys."""
+    own = ", ".join(f"d.{k}" for k in keys.split(", "))
+    same = " and ".join(f"c.{k} = d.{k}" for k in keys.split(", "))
+    return f"""with rw as ({rows}), w as (select {keys}, unnest(list_filter(string_split_regex(translate(x, '{text.UPPER}', '{text.LOWER}'), '{text.WS_RE2}+'), lambda v: v <> '')) as w from rw),
+        c as (select {keys}, (('0x' || substr(md5(w), 1, 8))::ubigint % 64)::int as i, sum(case when substr(md5(w), 9, 1) < '8' then 1 else -1 end)::int as s from w group by all),
+        g as (select {own}, r.i, coalesce(c.s, 0) as s from rw d cross join (select unnest(range(64))::int as i) r left join c on {same} and c.i = r.i)
+        select {keys}, list(s order by i) as vector from g group by {keys}"""
+
+
+_EMBED_DOCUMENTS = _embedding_sql("select doc_id, text as x from documents", "doc_id")
+query("hashed_embedding", _EMBED_DOCUMENTS)(lambda s, d: table(s, d, "documents").select("doc_id", vector.hashed_embedding(F.col("text")).alias("vector")))
+query("embed_chunks", f"select doc_id, vector::float[] as vector from ({_EMBED_DOCUMENTS})")(
+    lambda s, d: vector.embed(table(s, d, "documents").select("doc_id", F.col("text").alias("chunk_text")), vector.hashing_embedder).select("doc_id", "vector")
+)
 
 _TERMS = ["the", "and"]
 _KEYWORD = "(" + " + ".join(f"case when contains(translate(text, '{text.UPPER}', '{text.LOWER}'), '{t}') then 1.0::double else 0.0::double end" for t in _TERMS) + ")::double / 2"
@@ -245,27 +299,50 @@ query(
     .orderBy(F.desc("score"), "doc_id")
     .limit(20)
 )
+
+
+@query(
+    "search_results",
+    f"""with hits as (select vec_id as chunk_id, round({_COS.format(a="embedding", b="(select embedding from embeddings order by vec_id limit 1)")}, 6) as score from embeddings order by 2 desc, 1 limit 100),
+    ch as (select doc_id as id, doc_id // 3 as page_id, text as chunk_text from documents), pg as (select page_id as id, split_part(split_part(html, '<title>', 2), '</title>', 1) as title, url from pages)
+    select title, url, substring(chunk_text, 1, 200) as snippet, score from (select page_id, chunk_text, score, chunk_id from hits join ch on ch.id = chunk_id qualify row_number() over (partition by page_id order by score desc, chunk_id) = 1)
+    join pg on pg.id = page_id order by score desc, page_id limit 10""",
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector hits, mapped to their chunks' pages. Three documents are the chunks of a page."""
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 100).withColumnRenamed("vec_id", "chunk_id")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 3).cast("long").alias("page_id"), F.col("text").alias("chunk_text"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.split_part(F.split_part("html", F.lit("<title>"), F.lit(2)), F.lit("</title>"), F.lit(1)).alias("title"), "url")
+    return rank.results(hits, chunks, pages)
+
+
 query("domain_search", "select page_id, url from pages where regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) = (select min(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) from pages)")(
     lambda s, d: (lambda p: p.join(p.agg(F.min("h").alias("h")), "h", "left_semi").select("page_id", "url"))(table(s, d, "pages").withColumn("h", urls.host(F.col("url"))))
 )
-query("recent_search", "select event_id, event_type from events where ts >= timestamp '2024-01-20' and event_type = 'search' order by event_id")(lambda s, d: table(s, d, "events").where((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") == "search")).select("event_id", "event_type"))
+query("recent_search", "select event_id, event_type from events where ts >= timestamp '2024-01-20' and event_type = 'view' order by event_id")(lambda s, d: table(s, d, "events").where((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") == "view")).select("event_id", "event_type"))
 
 # ---- queue, logs -----------------------------------------------------------------------------------------------------------
 
 query("queue_next", f"with {QUEUE_SQL} select id, url, status, retries from queue where status = 'queued' order by scheduled_at, id limit 1")(lambda s, d: queue.next_item(crawl_queue(s, d)))
 query("queue_next_by_priority", f"with {QUEUE_SQL} select id, url, status, retries from queue where status = 'queued' order by priority, scheduled_at, id limit 1")(lambda s, d: queue.next_item(crawl_queue(s, d), by_priority=True))
+query("queue_next_inserted", f"with {QUEUE_SQL} select id, url, status, retries from queue where status = 'queued' order by id limit 1")(lambda s, d: queue.next_inserted(crawl_queue(s, d)))
 query("queue_claim_batch", f"with {QUEUE_SQL} select id, url, 'processing' as status, retries from queue where status = 'queued' order by scheduled_at, id limit 32")(lambda s, d: queue.claim(crawl_queue(s, d), 32))
 query("queue_finish", f"with {QUEUE_SQL} select id, url, case when id % 7 = 0 then 'completed' else status end as status, retries, priority, scheduled_at, case when id % 7 = 0 then scheduled_at end as processed_at from queue")(
     lambda s, d: (lambda q: queue.finish(q.withColumn("processed_at", F.lit(None).cast("timestamp_ntz")), q.where("id % 7 = 0").select("id", F.lit("completed").alias("status"), F.col("scheduled_at").alias("processed_at"))))(crawl_queue(s, d))
 )
+query("queue_finish_coerced", f"with {QUEUE_SQL}, ids as (select try_cast(o_orderpriority[1] || o_orderkey::varchar || case when o_orderstatus = 'F' then 'x' else '' end as bigint) as id from orders) select id, case when id in (select id from ids) then 'failed' else status end as status from queue")(
+    lambda s, d: queue.finish(crawl_queue(s, d), table(s, d, "orders").select(F.concat(F.substring("o_orderpriority", 1, 1), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", "x").otherwise("")).alias("id"), F.lit("failed").alias("status"), F.col("o_orderdate").alias("processed_at")).dropDuplicates(["id"])).select("id", "status")
+)
 query("queue_latest_status", "select user_id, max_by(event_type, (ts, event_id)) as status, max(ts) as at from events group by 1")(lambda s, d: queue.latest_status(table(s, d, "events"), "user_id", "event_type", "ts", "event_id"))
 query(
     "politeness_schedule",
     """with r as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) - 1 as k from events)
     select event_id, (max(t - 2000000 * k) over (partition by user_id order by k rows unbounded preceding) + 2000000 * k - t)::bigint as wait_us from r""",
 )(lambda s, d: queue.schedule(table(s, d, "events"), "user_id", "ts", "event_id").select("event_id", "wait_us"))
-query("queue_retryable", f"with {QUEUE_SQL} select id, retries from (select *, 'failed' as st from queue) where st = 'failed' and retries < 3")(lambda s, d: queue.retryable(crawl_queue(s, d).withColumn("status", F.lit("failed")), 3).select("id", "retries"))
-query("queue_dead_letters", f"with {QUEUE_SQL} select id, retries from queue where retries >= 3")(lambda s, d: queue.dead_letters(crawl_queue(s, d).withColumn("status", F.lit("failed")), 3).select("id", "retries"))
+query("queue_retryable", f"with {QUEUE_SQL} select id, retries from queue where status = 'failed' and retries < 3")(lambda s, d: queue.retryable(crawl_queue(s, d), 3).select("id", "retries"))
+query("queue_dead_letters", f"with {QUEUE_SQL} select id, retries from queue where status = 'failed' and retries >= 3")(lambda s, d: queue.dead_letters(crawl_queue(s, d), 3).select("id", "retries"))
+query("queue_recrawl", "select user_id, max(ts) as last from events group by 1 having max(ts) <= timestamp '2024-01-31' - interval 1 day")(lambda s, d: queue.recrawl(table(s, d, "events"), "user_id", "ts", "2024-01-31", 1))
+query("depth_limit", "select page_id, url from pages where len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) <= 2")(lambda s, d: queue.within_depth(table(s, d, "pages"), "url", 2).select("page_id", "url"))
 query("popular_searches", "select event_type as query, count(*) as searches from events group by 1 order by 2 desc, 1 limit 10")(lambda s, d: stats.popular(table(s, d, "events").withColumnRenamed("event_type", "query")))
 query("failed_searches", "select user_id as query, count(*) as searches, count(*) filter (value < 5) as empty from events group by 1 having count(*) filter (value < 5) > 0")(
     lambda s, d: stats.failed(table(s, d, "events").select(F.col("user_id").alias("query"), F.when(F.col("value") < 5, 0).otherwise(1).alias("results_count")))
@@ -288,9 +365,13 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the whole plan --------------------------------------------------------------------------------------------------------
 
 
-@query("ingestion_chunks")
+_EXTRACTED = f"select page_id as id, content, content_hash, url from ({extract.SQL['extract_lightweight']}) join (select page_id, url from pages) using (page_id) where content <> ''"
+_INGESTED = chunk.sentences_sql(f"select id as page_id, content from ({_EXTRACTED}) where id in ({dedup.first_writer_sql(f'select id, url, content_hash from ({_EXTRACTED})')})")
+
+
+@query("ingestion_chunks", _INGESTED)
 def ingestion_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.chunks(ingestion.stored(table(spark, sf_dir, "pages")))
 
 
-query("ingestion_vectors")(lambda s, d: ingestion.vectors(ingestion.chunks(ingestion.stored(table(s, d, "pages")))))
+query("ingestion_vectors", _embedding_sql(f"select page_id, chunk_index, chunk_text as x from ({_INGESTED})", "page_id, chunk_index"))(lambda s, d: ingestion.vectors(ingestion.chunks(ingestion.stored(table(s, d, "pages")))))

@@ -42,7 +42,7 @@ PAGES_SQL = """stored as (select doc_id as id, 'https://' || source || '.example
 
 def queue_of(orders: DataFrame) -> DataFrame:
     """orders as a crawl queue: status, priority, schedule, and a URL for each customer's order."""
-    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "processing").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "processing").when(F.col("o_orderpriority").startswith("1"), "failed").otherwise("completed")
     return orders.select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("https://c"), (F.col("o_custkey") % 97).cast("string"), F.lit(".example.org/o/"), F.col("o_orderkey").cast("string")).alias("url"), status.alias("status"),
         (F.col("o_orderkey") % 4).cast("int").alias("retries"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("scheduled_at"),
@@ -50,5 +50,5 @@ def queue_of(orders: DataFrame) -> DataFrame:
 
 
 QUEUE_SQL = """queue as (select o_orderkey as id, 'https://c' || (o_custkey % 97)::varchar || '.example.org/o/' || o_orderkey::varchar as url,
-    case o_orderstatus when 'O' then 'queued' when 'P' then 'processing' when 'F' then 'completed' else 'failed' end as status,
+    case o_orderstatus when 'O' then 'queued' when 'P' then 'processing' else case when starts_with(o_orderpriority, '1') then 'failed' else 'completed' end end as status,
     (o_orderkey % 4)::int as retries, substring(o_orderpriority, 1, 1)::int as priority, o_orderdate as scheduled_at from orders)"""

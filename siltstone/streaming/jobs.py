@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions.text import WS
-from siltstone.operators import chunk, extract
+from siltstone.operators import chunk, extract, vector
 
 
 def extraction(raw: DataFrame) -> DataFrame:
@@ -28,6 +28,15 @@ def chunking_to(pages: DataFrame, path: str, checkpoint: str, trigger: dict | No
     return chunking(pages).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def embedding(chunks: DataFrame, embedder=vector.hashing_embedder) -> DataFrame:  # noqa: ANN001
+    """Arriving chunks with their vectors; chunks without text are left out."""
+    return vector.embed(chunks.where("chunk_text <> ''"), embedder)
+
+
+def embedding_to(chunks: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    return embedding(chunks).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def first_pages(pages: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Arriving pages without those whose hash came before within the watermark."""
     return pages.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunk, extract, queue, stats
+from siltstone.operators import chunk, extract, queue, stats, vector
 from siltstone.schemas import pages_of
 from siltstone.sources import landed
 from siltstone.streaming import jobs
@@ -44,6 +44,15 @@ def test_chunking(spark, landing, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(chunk.chunk_by_sentences(pages_of(spark.read.parquet(f"{landing}/documents"))))
 
 
+def test_embedding(spark, landing, tmp_path):
+    chunks = lambda df: df.select("doc_id", F.col("text").alias("chunk_text"))
+    q = jobs.embedding_to(chunks(stream(spark, f"{landing}/documents")), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    batch = spark.read.parquet(f"{landing}/documents")
+    want = batch.where("text <> ''").select("doc_id", "text", vector.hashed_embedding(F.col("text")).cast("array<float>"))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(want)
+
+
 def test_counts(spark, landing):
     events = spark.read.parquet(f"{landing}/events")
     got = run(jobs.windowed_counts(stream(spark, f"{landing}/events"), "ts", "event_type", delay="60 days"), "windows", "complete")
