@@ -7,6 +7,7 @@ so memory follows the longest single text and not Spark's rows per batch.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,12 @@ LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); where none is set, a folder of our own on a single machine only."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="siltstone-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)

@@ -1,10 +1,11 @@
 """Quality rules: fixed counts of each text, and a calibrated logistic regression over hashed n-grams for the verdict.
 
-`counts` computes the rules' numbers of whole texts. The model is linear in the shares of hashed words and of hashed 3- and
-5-byte runs (DIMENSIONS buckets in all), so scoring a text is a gather and a sum over its n-grams; no vector is built. It is
-fitted on a bounded sample (SAMPLE) of labelled rows, whose hashed shares alone go to the driver, by full-batch gradient
-steps with a scale per bucket, and calibrated by Platt's method on rows left out of the fit. Texts are scored in Arrow
-batches against THRESHOLD.
+`base_counts` computes the rules' numbers of whole texts; lines and windows are held to be equal by their 64-bit hashes. The
+model is linear in the shares of hashed words, pairs of words, and runs of 3 and of 5 characters (code points), DIMENSIONS
+buckets each, so scoring a text is a gather and a sum over its n-grams; no vector is built. It is fitted on a bounded sample
+of labelled rows (SAMPLE rows and SAMPLE_BYTES of hashed shares, chosen by a hash of doc_id), whose shares alone go to the
+driver, by full-batch gradient steps with a scale per bucket, and calibrated by Platt's method on rows left out of the fit.
+Texts are scored in Arrow batches against THRESHOLD.
 
 Defined results: null and empty texts have zero counts, fail the base rules and aren't kept; without labelled rows of both
 kinds the verdict is the smoothed rate of label 1 against THRESHOLD; rows with a null label teach nothing; repeated rows are
@@ -18,16 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import BYTE_BASE, Texts, U, Words, covered, lines_of, run_starts, seen_before, slices, spans_hash, windows_hash, words_of
+from siltstone.llm.common import BYTE_BASE, MIX_1, Texts, U, Words, covered, cut, inverse, lines_of, powers, run_starts, seen_before, slices, spans_hash, windows_hash, words_of
 from siltstone.llm.quality import sample
 
 SAMPLE = 4_000
-#: Buckets of each of the three kinds of n-gram.
+#: Of the hashed shares (6 bytes a bucket) that the sample's rows have, in all.
+SAMPLE_BYTES = 60_000_000
+#: Buckets of each kind of n-gram.
 DIMENSIONS = 1 << 13
-RUNS = (3, 5)
+WORDS, RUNS = (1, 2), (3, 5)
+WIDTH = (len(WORDS) + len(RUNS)) * DIMENSIONS
 THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WIDTH = 20, 30, 8
 #: [#*$%&|<>]
@@ -37,14 +41,20 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 def ngram_buckets(texts: Texts, words: Words, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind the text and the bucket of every n-gram."""
-    out = [(words.text(), (hashes >> U(40)).astype(np.int64) % DIMENSIONS)]
-    for k, n in enumerate(RUNS, 1):
-        starts = run_starts(texts.bounds, n)
-        value = np.zeros(max(len(texts.data) - n + 1, 0), U)
-        for i in range(n):
-            value = (value << U(8)) | texts.data[i : len(texts.data) - n + 1 + i].astype(U)
-        out.append((texts.of(starts), ((value[starts] * BYTE_BASE) >> U(40)).astype(np.int64) % DIMENSIONS + k * DIMENSIONS))
-    return out
+    out = []
+    for n in WORDS:
+        firsts, value = (np.arange(len(hashes)), hashes) if n == 1 else windows_hash(words, hashes, n)
+        out.append((np.searchsorted(words.first, firsts, "right") - 1 if n > 1 else words.text(), value))
+    characters = np.flatnonzero((texts.data & 0xC0) != 0x80)  # where code points begin
+    ends = np.append(characters, len(texts.data))
+    bounds = np.searchsorted(characters, texts.bounds)
+    for n in RUNS:
+        firsts = run_starts(bounds, n)
+        low = characters[firsts]
+        # A run's bytes, from the sums that its words' hashes have used, spread by one multiplication.
+        value = (words.prefix[ends[firsts + n]] - words.prefix[low]) * powers(inverse(BYTE_BASE), len(words.prefix))[low] * MIX_1
+        out.append((texts.of(low), value))
+    return [(text, (value >> U(40)).astype(np.int64) % DIMENSIONS + k * DIMENSIONS) for k, (text, value) in enumerate(out)]
 
 
 def base_counts(texts: Texts, words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
@@ -88,7 +98,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Of the sample, every fourth row by hash calibrates and the others teach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,20 +106,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             words = words_of(texts)
             rows: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(texts))]
             for text, bucket in ngram_buckets(texts, words, words.hashes()):
-                key, times = np.unique(text * (len(RUNS) + 1) * DIMENSIONS + bucket, return_counts=True)
-                owner, whole = key // ((len(RUNS) + 1) * DIMENSIONS), np.bincount(text, minlength=len(texts))
+                key, times = np.unique(text * WIDTH + bucket, return_counts=True)
+                owner, whole = key // WIDTH, np.bincount(text, minlength=len(texts))
                 edges = np.searchsorted(owner, np.arange(len(texts) + 1))
                 for i in range(len(texts)):
                     own = slice(edges[i], edges[i + 1])
-                    rows[i].append(((key[own] % ((len(RUNS) + 1) * DIMENSIONS)).astype(np.uint16), (times[own] / max(whole[i], 1)).astype(np.float32)))
+                    rows[i].append(((key[own] % WIDTH).astype(np.uint16), (times[own] / max(whole[i], 1)).astype(np.float32)))
             for name in ("bucket", "share"):
                 part = part.append_column(name, pa.array([np.concatenate([x[name == "share"] for x in r]).tobytes() for r in rows], pa.binary()))
             yield part.select(["doc_id", "label", "bucket", "share"])
 
     taught = sample(docs, labels, label, most).mapInArrow(run, "doc_id long, label int, bucket binary, share binary").withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0)
-    rows = sorted(taught.collect(), key=lambda r: (r.doc_id, r.label))
+    taught = cut(taught)  # at most `most` rows
+    size = F.octet_length("bucket") + F.octet_length("share")
+    within = Window.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0)
+    rows = taught.withColumn("before", F.sum(size).over(within) - size).where(F.col("before") < most_bytes).drop("before").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.label))
     y, apart = np.array([r.label for r in rows], float), np.array([r.apart for r in rows], bool)
-    width, rate = (len(RUNS) + 1) * DIMENSIONS, (y.sum() + 1) / (len(y) + 2)
+    width, rate = WIDTH, (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(rate / (1 - rate)))
     if not all(0 < v.sum() < len(v) for v in (y[~apart], y[apart])):
         return Model(np.zeros(width), bias, 1.0, 0.0)

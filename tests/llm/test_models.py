@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.llm import pii, quality, queries, rules
+from siltstone.llm.common import texts_of, words_of
 
 from . import cases
 
@@ -99,6 +101,55 @@ def test_rules_verdicts(spark):
     assert np.mean([r.kept == truth[r.doc_id] for r in passed]) > 0.97
 
 
+def plain_grams(text):
+    """For words, pairs, 3 and 5 characters: how many n-grams there are, and how many different ones."""
+    w, out = cases.words(text), []
+    for n, x in ((1, w), (2, w), (3, text), (5, text)):
+        grams = [tuple(x[k : k + n]) for k in range(len(x) - n + 1)]
+        out.append((len(grams), len(set(grams))))
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("aé日 \n😀b", max_size=30), min_size=1, max_size=5))
+def test_grams_are_words_and_characters(values):
+    texts = texts_of(pa.array(values, pa.string()))
+    words = words_of(texts)
+    found = rules.ngram_buckets(texts, words, words.hashes())
+    for i, value in enumerate(values):
+        for k, (text, bucket) in enumerate(found):
+            own = bucket[text == i]
+            number, different = plain_grams(value)[k]
+            assert len(own) == number and len(set(own.tolist())) <= different
+            assert not len(own) or (k * rules.DIMENSIONS <= own.min() and own.max() < (k + 1) * rules.DIMENSIONS)
+    again = texts_of(pa.array(["日" + values[-1], values[-1]], pa.string()))  # the same n-grams wherever a text stands
+    same = rules.ngram_buckets(again, words_of(again), words_of(again).hashes())
+    assert all((b[t == 1] == old[u == len(values) - 1]).all() for (t, b), (u, old) in zip(same, found))
+
+
+def plain_verdict(model, text):
+    texts = texts_of(pa.array([text or ""], pa.string()))
+    words = words_of(texts)
+    margin = model.bias
+    for _, bucket in rules.ngram_buckets(texts, words, words.hashes()):
+        counts = Counter(bucket.tolist())
+        margin += sum(model.weights[b] * n for b, n in counts.items()) / max(sum(counts.values()), 1)
+    return 1 / (1 + np.exp(-(model.slope * margin + model.shift))) >= rules.THRESHOLD
+
+
+def test_rules_verdicts_equal_a_plain_sum(odd, labels):
+    model = rules.fit(odd, labels)
+    assert np.abs(model.weights).sum() > 0
+    got = sorted(((r.doc_id, r.base_failed, r.kept) for r in rules.judge(odd, model).collect()), key=repr)
+    want = [(i, f := plain_counts(t)[5], bool(not f and plain_verdict(model, t))) for i, t, *_ in cases.rows()]
+    assert got == sorted(want, key=repr)
+
+
+def test_the_fit_is_bounded_in_bytes(odd, labels):
+    model = rules.fit(odd, labels, most_bytes=1)  # one row: not of both kinds
+    assert not np.abs(model.weights).sum()
+
+
 def test_rules_without_rows_or_labels(odd, labels):
     model = rules.fit(odd, labels.where("false"))
     assert all(r.kept == (not r.base_failed) for r in rules.judge(odd, model).collect())
@@ -177,6 +228,17 @@ def test_decode_is_the_best_segmentation():
     assert field.decode(text) == max(every(0, 0, 0.0), key=lambda x: x[0])[1]
 
 
+def test_secrets_of_the_tables(spark):
+    """Another source than the made-up sentences: the keys in the tables' documents, with what stands around them."""
+    found = wanted = other = 0
+    rows = {r.doc_id: set(r.spans.split(",")) for r in pii.find(spark.read.parquet(f"{MIDDLE}/documents.parquet")).collect()}
+    for d in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect():
+        own = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?:token|key|secret)\s*=\s*"([0-9a-f]{32,64})"', d.text or "")}
+        base = {f"{k}:{a}:{b}" for k, a, b in pii.base_spans(d.text or "")}
+        wanted, found, other = wanted + len(own), found + len(own & rows[d.doc_id]), other + len(rows[d.doc_id] - base - own - {""})
+    assert wanted > 5 and found == wanted and other <= 10
+
+
 def test_pii_over_rows(spark, odd):
     text = 'x 7536784127813050 4845168114407329 y a.b@c.de +1 (706) 555-3138 token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" in 2024 v1.2'
     docs = odd.unionByName(spark.createDataFrame([(999, text, "en", None, None, 1, "s", 2, "k", 0)], cases.SCHEMA))
