@@ -2,6 +2,7 @@
 
 import gzip
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +167,77 @@ def test_runs_of_words_equal_brute_force(spark):
     assert got == want and sum(v is not None for v in want.values()) > 20
 
 
+def plain_links(rows):
+    """rows: (conv, turn, text), distinct places. (parent, link, linked, thread) of each, by the definition."""
+    parsed = {(c, t): quotes.parse(x or "") for c, t, x in rows}
+    words = lambda x: quotes._WORD.findall(x)
+    out = {}
+    for (c, t), (_, passages) in parsed.items():
+        earlier = sorted(u for d, u in parsed if d == c and u < t)
+        bodies = {u: parsed[c, u][0] for u in earlier}
+        entire = {u: {" ".join(x) for x in quotes.sentences(b)} | {quotes.normalised(x) for x in b.split("\n")} for u, b in bodies.items()}
+
+        def holds(part, bodies=bodies, entire=entire):
+            """The latest message that has it whole, else as a run of words."""
+            whole = [u for u, x in entire.items() if part in x]
+            w = words(part)
+            run = [u for u, b in bodies.items() if w and any(words(quotes.normalised(b))[k : k + len(w)] == w for k in range(len(words(quotes.normalised(b)))))]
+            return max(whole or run, default=None)
+
+        votes = {}
+        for level, passage in passages:
+            for parts in quotes.sentences(passage):
+                votes.setdefault((level, " ".join(parts)), parts)
+        leads = {}
+        for (level, sentence), parts in votes.items():
+            to = holds(sentence)
+            if to is None and len(parts) > 1:  # by most words of its own lines, the latest of equals
+                weight = Counter()
+                for part in parts:
+                    if (u := holds(part)) is not None:
+                        weight[u] += len(words(part))
+                to = max(weight, key=lambda u: (weight[u], u), default=None)
+            if to is not None:
+                leads.setdefault(level, Counter())[to] += 1
+        previous = max(earlier, default=None)
+        if leads:
+            own = leads[min(leads)]
+            out[c, t] = (max(own, key=lambda u: (own[u], u)), "quote", sum(own.values()), previous)
+        else:
+            out[c, t] = (previous, "root" if previous is None else "previous", 0, previous)
+    found = {}
+    for c, t in sorted(out):
+        parent, link, linked, previous = out[c, t]
+        jumps = [u for d, u in out if d == c and u <= t and out[d, u][1] == "quote" and out[d, u][0] < out[d, u][3]]
+        found[c, t] = (parent, link, linked, max(jumps, default=min(u for d, u in out if d == c)))
+    return found
+
+
+def test_links_equal_brute_force(spark):
+    """Conversations made of few words, so that ties, nested quotes, wrapped lines and parts of sentences are many."""
+    rng = np.random.default_rng(12)
+    sentence = lambda: " ".join(rng.choice(["a", "bb", "c", "Dd"], rng.integers(1, 5)).tolist()) + str(rng.choice([".", "!", ""]))
+    rows, bodies = [], {}
+    for c in range(6):
+        for t in range(14):
+            lines = []
+            for _ in range(rng.integers(0, 3) if t else 0):
+                source = bodies[c, int(rng.integers(0, t))] if rng.random() < 0.7 else [sentence()]
+                mark = str(rng.choice(["> ", "> > ", ">>> "]))
+                for x in source[: rng.integers(1, 4)]:
+                    w = x.split()
+                    at = int(rng.integers(0, len(w) + 1)) if rng.random() < 0.4 else 0  # wrapped anew
+                    lines += [mark + " ".join(p) for p in (w[:at], w[at:]) if p]
+                lines.append("")
+            bodies[c, t] = [sentence() for _ in range(rng.integers(1, 4))]
+            rows.append((c, t, "\n".join([*lines, *bodies[c, t]])))
+    docs = spark.createDataFrame([(*r, "user") for r in rows], "conv_id long, turn long, text string, role string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.link, r.n_linked, r.thread) for r in quotes.linked(docs.repartition(3)).collect()}
+    want = plain_links(rows)
+    assert got == want
+    assert sum(v[1] == "quote" for v in want.values()) > 25 and len({v[3] for v in want.values()}) > 4
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_last_before_equals_brute_force(spark, inclusive):
     rng = np.random.default_rng(4)
@@ -259,25 +331,3 @@ def test_op10_finds_whole_items(spark, sf):
     tests = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {(d.doc_id, b.item_id) for d in docs for b in tests if b.text in d.text} <= got
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, sf)
-        assert after.columns == docs.columns, name
-        assert after.count() <= docs.count()
-        docs = after
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
-
-
-def test_pipeline_stages_take_odd_rows(spark, sf):
-    import corpus_pipeline
-
-    odd = spark.createDataFrame(cases.rows(), cases.SCHEMA)
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, sf).count()
-        stage(spark, odd.where("false"), sf).count()
