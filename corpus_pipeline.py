@@ -3,6 +3,11 @@
 quality drops what the classifier scores below 0.7; near_duplicates keeps one document of each group of near-duplicates
 (word 5-shingles, Jaccard 0.8); decontaminate drops documents that leak a benchmark item; pii masks personal data; packing
 places the rest in sequences of 2048 tokens. All but the last return the columns of documents.
+
+Defined results: rows with null or empty text are scored and kept or dropped like any other, are linked with nothing, leak
+nothing, stay as they are under masking (null stays null), and are packed as the end token alone; rows without doc_id are
+never dropped as copies; rows that share a doc_id stay or go together as copies; further columns, whatever their names, pass
+through all stages but the last; an empty table gives no rows; ties of texts go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from siltstone.llm import decontaminate, minhash, packing, pii, quality
 from siltstone.llm.common import ensure_checkpoint_dir, remove_folder
 
 QUALITY_AT_LEAST = 0.7
-#: SQL can't express the trained stages and the packing; tests hold each stage against a brute-force version.
+#: SQL can't express the trained stages and the packing; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
