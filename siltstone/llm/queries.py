@@ -67,6 +67,63 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_quotes": op8_quotes, "op9_rules": op9_rules, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": r"""
+        with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        places as (select doc_id, words, unnest(range(1, len(words) + 1)) as k from texts),
+        windows as (
+            select doc_id, k, words[k] as word,
+                case when k + 49 <= len(words) then md5(array_to_string(words[k : k + 49], ' ')) end as hash
+            from places),
+        firsts as (select hash, min(doc_id) as first from windows where hash is not null group by hash),
+        marked as (
+            select doc_id, k, word, coalesce(max(first < doc_id) over (
+                partition by doc_id order by k rows between 49 preceding and current row), false) as removed
+            from windows left join firsts using (hash)),
+        kept as (
+            select doc_id, count(*) as n_words, count(*) filter (where removed) as n_removed,
+                string_agg(word, ' ' order by k) filter (where not removed) as kept
+            from marked group by doc_id)
+        select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from texts left join kept using (doc_id)""",
+    "op4_suffixes": r"""
+        with texts as (select doc_id, encode(coalesce(text, '')) as bytes from documents),
+        places as (select doc_id, bytes, unnest(range(1, octet_length(bytes) + 1)) as k from texts),
+        strings as (
+            select doc_id, k, bytes[k : k] as own,
+                case when k + 399 <= octet_length(bytes) then md5(bytes[k : k + 399]) end as hash
+            from places),
+        repeated as (select hash, count(*) > 1 as more from strings where hash is not null group by hash),
+        marked as (
+            select doc_id, k, own, coalesce(max(more) over (
+                partition by doc_id order by k rows between 399 preceding and current row), false) as removed
+            from strings left join repeated using (hash)),
+        edges as (select *, removed and not lag(removed, 1, false) over (partition by doc_id order by k) as opens from marked),
+        kept as (
+            select doc_id, count(*) as n_bytes, count(*) filter (where removed) as n_removed, count(*) filter (where opens) as n_spans,
+                string_agg(hex(own), '' order by k) filter (where not removed) as kept
+            from edges group by doc_id)
+        select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from texts left join kept using (doc_id)""",
+    "op5_minhash": r"""
+        with recursive texts as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') as words
+            from documents),
+        places as (select doc_id, words, unnest(range(1, greatest(len(words), 2))) as k from texts where len(words) > 0),
+        shingles as (select distinct doc_id, array_to_string(words[k : k + 1], ' ') as shingle from places),
+        sizes as (select doc_id, count(*) as size, md5(string_agg(shingle, chr(10) order by shingle)) as own from shingles group by doc_id),
+        sets as (select own, min(doc_id) as head, any_value(size) as size from sizes group by own),
+        parts as (select head, size, shingle from sets join shingles on head = doc_id),
+        links as (
+            select a.head as a, b.head as b from parts a join parts b using (shingle)
+            where a.head <> b.head and 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+            group by a.head, b.head, a.size, b.size having 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+        reached as (select head, head as other from sets union select head, b as other from reached join links on other = a),
+        classes as (select head, min(other) as component_id from reached group by head)
+        select doc_id, coalesce(sizes.size, 0) as n_shingles, coalesce(component_id, doc_id) as component_id,
+            coalesce(component_id, doc_id) = doc_id as kept
+        from texts left join sizes using (doc_id) left join sets using (own) left join classes using (head)""",
     "op7_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as head from p)
@@ -74,4 +131,49 @@ ORACLE_SQL: dict[str, str] = {
             case when head is not null and page_id < head then 'revisit' else 'response' end as record_type,
             case when head is not null and page_id < head then head end as refers_to
         from q""",
+    "op10_decontaminate": r"""
+        -- for one shard of items, which is all of a benchmark of up to 20,000
+        with words_of as (
+            select id, kind, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') as words
+            from (select doc_id as id, 'text' as kind, text from documents
+                union all select item_id, 'item', text from benchmark
+                union all select item_id, 'question', regexp_extract(text, '(?is)^(.*\n|)[ \t]*(?:answer|a)[ \t]*:', 1) from benchmark
+                where regexp_matches(text, '(?im)^[ \t]*(?:answer|a)[ \t]*:'))),
+        items as (
+            select i.id as item_id, i.words, coalesce(len(q.words), (2 * len(i.words) + 2) // 3) as answer_from,
+                least(5, len(i.words)) as n, length(bin(greatest(len(i.words), 32))) as class
+            from words_of i left join words_of q on q.id = i.id and q.kind = 'question' where i.kind = 'item' and len(i.words) > 0),
+        steps as (select class, max(greatest(len(words), 32)) as step from items group by class),
+        grams as (
+            select distinct item_id, class, n, array_to_string(words[k : k + n - 1], ' ') as gram
+            from (select *, unnest(range(1, len(words) - n + 2)) as k from items)),
+        item_words as (
+            select distinct item_id, k > answer_from as answer, words[k] as word from (select *, unnest(range(1, len(words) + 1)) as k from items)),
+        texts as (select id as doc_id, words, len(words) as size from words_of where kind = 'text' and len(words) > 0),
+        text_grams as (
+            select doc_id, size, k - 1 as k, n, array_to_string(words[k : k + n - 1], ' ') as gram
+            from (select *, unnest(range(1, size - n + 2)) as k from texts cross join (select distinct n from items)) where len(words[k : k + n - 1]) = n),
+        held as (
+            select doc_id, size, item_id, class, step, p, count(distinct gram) as held
+            from (select *, unnest([k // step, k // step - 1]) as p from text_grams join grams using (n, gram) join steps using (class))
+            where p >= 0 and p < greatest((size - 1) // step, 1) and k + n <= (p + 2) * step
+            group by all),
+        near as (
+            select held.*, answer
+            from held join (select item_id, count(*) as wanted from grams group by item_id) using (item_id)
+                join (select distinct item_id, answer from item_words) using (item_id)
+            where 10 * held >= 8 * wanted),
+        passages as (
+            select doc_id, item_id, answer, p, unnest(words[p * step + 1 : (p + 2) * step]) as word
+            from near join texts using (doc_id)),
+        parts as (
+            select near.doc_id, near.item_id, near.p, near.answer, count(distinct passages.word) as held
+            from near join passages using (doc_id, item_id, p, answer) join item_words using (item_id, answer, word) group by all),
+        verified as (
+            select doc_id, item_id, p, count(*) as parts
+            from parts join (select item_id, answer, count(*) as wanted from item_words group by all) using (item_id, answer)
+            where 10 * held >= 8 * wanted group by all)
+        select distinct doc_id, item_id
+        from verified join (select item_id, count(distinct answer) as parts from item_words group by item_id) using (item_id, parts)""",
 }
