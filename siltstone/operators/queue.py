@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.urls import depth
+from siltstone.operators.state import cut
 
 
 def next_item(queue: DataFrame, by_priority: bool = False) -> DataFrame:
@@ -38,16 +39,33 @@ def latest_status(events: DataFrame, key: str, status: str, time: str, tie: str)
     return events.groupBy(key).agg(F.max_by(status, F.struct(time, tie)).alias("status"), F.max(time).alias("at"))
 
 
+def _dealt(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `_part`, dealt by ranges of key and order: parts are of like size, and follow one another, whatever share a key has."""
+    return rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+
+
+def _carried(local: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    """local with the columns of carry (_part, _key, ...), which has one row a part at most: only a part's first key has begun before."""
+    found = carry.withColumnRenamed("_part", "_of")
+    return local.join(F.broadcast(found), (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_of", "_key", "_part")
+
+
 def schedule(requests: DataFrame, domain: str, time: str, tie: str, delay_s: int = 2) -> DataFrame:
     """When each request may start: not before its arrival, nor within delay_s after the one before on its domain.
 
-    Start k is delay * k + the largest of (arrival j - delay * j) over j <= k: a running maximum.
+    Start k is delay * k + the largest of (arrival j - delay * j) over j <= k: a running maximum. It runs within parts; what
+    a domain's earlier parts come to, their count and maximum, is added to the later ones.
     """
-    order = Window.partitionBy(domain).orderBy(time, tie)
-    rows = requests.withColumn("_k", F.row_number().over(order) - 1).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
     step = delay_s * 1_000_000
-    running = F.max(F.col("_t") - step * F.col("_k")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("wait_us", (running + step * F.col("_k") - F.col("_t")).cast("long")).drop("_k", "_t")
+    order = Window.partitionBy("_part", domain).orderBy(time, tie)
+    rows = _dealt(requests, domain, [time, tie]).withColumn("_k", F.row_number().over(order) - 1).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    local = cut(rows.withColumn("_m", F.max(F.col("_t") - step * F.col("_k")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = local.groupBy("_part", F.col(domain).alias("_key")).agg(F.count("*").alias("_n"), F.max("_m").alias("_most"))
+    parts = parts.withColumn("_base", F.sum("_n").over(before)).withColumn("_before", F.max(F.col("_most") - step * F.coalesce("_base", F.lit(0))).over(before))
+    rows = _carried(local, parts.where("_base is not null").select("_part", "_key", "_base", "_before"), domain).withColumn("_base", F.coalesce("_base", F.lit(0)))
+    running = F.greatest(F.col("_m") - step * F.col("_base"), F.col("_before"))
+    return rows.withColumn("wait_us", (running + step * (F.col("_k") + F.col("_base")) - F.col("_t")).cast("long")).drop("_k", "_t", "_m", "_base", "_before")
 
 
 def recrawl(crawls: DataFrame, key: str, time: str, now: str, days: int) -> DataFrame:
@@ -80,6 +98,10 @@ def allowed(requests: DataFrame, rules: DataFrame, host: str, path: str) -> Data
 
 
 def changed(crawls: DataFrame, key: str, time: str, value: str, tie: str) -> DataFrame:
-    """Crawls whose value differs from the one before of their key."""
-    order = Window.partitionBy(key).orderBy(time, tie)
-    return crawls.withColumn("previous", F.lag(value).over(order)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+    """Crawls whose value differs from the one before of their key; a part's first crawl of a key looks at the part before."""
+    order = Window.partitionBy("_part", key).orderBy(time, tie)
+    local = cut(_dealt(crawls, key, [time, tie]).withColumn("previous", F.lag(value).over(order)).withColumn("_k", F.row_number().over(order)))
+    last = local.groupBy("_part", F.col(key).alias("_key")).agg(F.max_by(value, "_k").alias("_last"))
+    carry = last.withColumn("_last", F.lag("_last").over(Window.partitionBy("_key").orderBy("_part"))).where("_last is not null")
+    rows = _carried(local, carry, key).withColumn("previous", F.when(F.col("_k") == 1, F.col("_last")).otherwise(F.col("previous"))).drop("_k", "_last")
+    return rows.where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))

@@ -278,6 +278,31 @@ def test_queue(spark):
     assert [r.id for r in queue.retryable(q, 3).collect()] == [4] and queue.dead_letters(q, 1).count() == 1
 
 
+def test_hot_hosts_are_scanned_in_parts(spark):
+    """One host has most rows, in many parts, and another none to speak of; hosts and values may be null."""
+    hosts = ["hot"] * 40 + ["a", "b", None]
+    rows = [(k, hosts[k * 7 % len(hosts)], 1_000_000 * (k * k * 31 % 97), [None, "x", "y"][k * k % 11 % 3]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, d string, us long, v string").withColumn("t", F.timestamp_micros("us")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert queue._dealt(df, "d", ["t", "id"]).where("d = 'hot'").select("_part").distinct().count() > 2
+        waits = {r.id: r.wait_us for r in queue.schedule(df, "d", "t", "id").collect()}
+        differ = sorted((r.id, r.previous, r.v) for r in queue.changed(df, "d", "t", "v", "id").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, changes, free, last = {}, [], {}, {}
+    for k, host, at, value in sorted(rows, key=lambda r: (r[2], r[0])):
+        start = max(at, free.get(host, at))
+        want[k], free[host] = start - at, start + 2_000_000
+        before = last.get(host)
+        if before is not None and value is not None and before != value:
+            changes.append((k, before, value))
+        last[host] = value
+    assert waits == want and differ == sorted(changes) and changes
+    empty = df.where("false")
+    assert queue.schedule(empty, "d", "t", "id").count() == 0 and queue.changed(empty, "d", "t", "v", "id").count() == 0
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 12)), min_size=1, max_size=25))
 def test_politeness(spark, rows):
