@@ -98,12 +98,23 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("memory_stats", f"with {QUEUE_SQL} select count(*) filter (status = 'queued') as queued, count(*) filter (status <> 'queued') as processed, (select count(*) from documents) as pages, count(*) as total from queue")(
     lambda s, d: stats.memory_stats(crawl_queue(s, d), table(s, d, "documents"))
 )
-query("url_scheme_filter", "select page_id, url from pages where starts_with(url, 'http://') or starts_with(url, 'https://')")(lambda s, d: table(s, d, "pages").where(urls.has_scheme(F.col("url"))).select("page_id", "url"))
-query("url_prefix_filter", "select page_id, url from pages where starts_with(url, 'http')")(lambda s, d: table(s, d, "pages").where(urls.looks_like_url(F.col("url"))).select("page_id", "url"))
+# What a page may link to: its own URL, the same without or with other schemes, its host, and a deeper page of its host.
+_REST = "split_part(url, '://', 2)"
+_SITE = f"split_part({_REST}, '/', 1)"
+_FORMS = ["url", _REST, f"'ftp://' || {_REST}", f"'httpx//' || {_REST}", f"'https://' || {_SITE}", f"'http://' || {_SITE} || '/'", f"'http://' || {_SITE} || '/en/6/x?q=/y/z'"]
+_LINKS = f"links as (select page_id, generate_subscripts([{', '.join(_FORMS)}], 1) - 1 as k, unnest([{', '.join(_FORMS)}]) as url from pages)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"posexplode(array({', '.join(_FORMS)})) as (k, url)")
+
+
+query("url_scheme_filter", f"with {_LINKS} select page_id, k::int as k, url from links where starts_with(url, 'http://') or starts_with(url, 'https://')")(lambda s, d: _links(s, d).where(urls.has_scheme(F.col("url"))))
+query("url_prefix_filter", f"with {_LINKS} select page_id, k::int as k, url from links where starts_with(url, 'http')")(lambda s, d: _links(s, d).where(urls.looks_like_url(F.col("url"))))
 query("url_host", "select page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) as host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) as authority from pages")(
     lambda s, d: table(s, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.authority(F.col("url")).alias("authority"))
 )
-query("url_well_formed", "select page_id, regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?# ]+') as ok from pages")(lambda s, d: table(s, d, "pages").select("page_id", urls.is_well_formed(F.col("url")).alias("ok")))
+query("url_well_formed", f"with {_LINKS} select page_id, k::int as k, regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?# ]+') as ok from links")(lambda s, d: _links(s, d).select("page_id", "k", urls.is_well_formed(F.col("url")).alias("ok")))
 query("word_count", f"select doc_id, len(list_filter(string_split_regex(text, '{text.WS_RE2}+'), lambda w: w <> ''))::bigint as word_count from documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("word_count")))
 query("clean_text", f"select doc_id, {text.sql_clean('text')} as content from documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("content")))
 
@@ -342,7 +353,7 @@ query(
 query("queue_retryable", f"with {QUEUE_SQL} select id, retries from queue where status = 'failed' and retries < 3")(lambda s, d: queue.retryable(crawl_queue(s, d), 3).select("id", "retries"))
 query("queue_dead_letters", f"with {QUEUE_SQL} select id, retries from queue where status = 'failed' and retries >= 3")(lambda s, d: queue.dead_letters(crawl_queue(s, d), 3).select("id", "retries"))
 query("queue_recrawl", "select user_id, max(ts) as last from events group by 1 having max(ts) <= timestamp '2024-01-31' - interval 1 day")(lambda s, d: queue.recrawl(table(s, d, "events"), "user_id", "ts", "2024-01-31", 1))
-query("depth_limit", "select page_id, url from pages where len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) <= 2")(lambda s, d: queue.within_depth(table(s, d, "pages"), "url", 2).select("page_id", "url"))
+query("depth_limit", f"with {_LINKS} select page_id, k::int as k, url from links where len(list_filter(string_split(regexp_extract(url, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1), '/'), lambda x: x <> '')) <= 2")(lambda s, d: queue.within_depth(_links(s, d), "url", 2))
 query("popular_searches", "select event_type as query, count(*) as searches from events group by 1 order by 2 desc, 1 limit 10")(lambda s, d: stats.popular(table(s, d, "events").withColumnRenamed("event_type", "query")))
 query("failed_searches", "select user_id as query, count(*) as searches, count(*) filter (value < 5) as empty from events group by 1 having count(*) filter (value < 5) > 0")(
     lambda s, d: stats.failed(table(s, d, "events").select(F.col("user_id").alias("query"), F.when(F.col("value") < 5, 0).otherwise(1).alias("results_count")))
@@ -355,11 +366,15 @@ query("change_detection", "select event_id, previous, event_type from (select *,
 )
 
 
-@query("robots_filter", "select page_id from pages where not (contains(url, '/1') and regexp_matches(url, '^[a-z]+://[^/]*/1'))")
+_ROBOTS = {"/": True, "/en": False, "/en/6": True}  # prefix: whether it may be fetched; the same for every host
+
+
+@query("robots_filter", f"with {_LINKS} select page_id, k::int as k from links where not regexp_matches(url, '^[a-z]+://[^/?#]+/en') or regexp_matches(url, '^[a-z]+://[^/?#]+/en/6')")
 def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("h"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))
-    rules = pages.select(F.col("h").alias("host")).distinct().select("host", F.explode(F.array(F.struct(F.lit("/").alias("prefix"), F.lit(True).alias("allow")), F.struct(F.lit("/1").alias("prefix"), F.lit(False).alias("allow")))).alias("r")).select("host", "r.*")
-    return queue.allowed(pages, rules, "h", "path").select("page_id")
+    links = _links(spark, sf_dir).select("page_id", "k", urls.host(F.col("url")).alias("h"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(ok).alias("allow")) for p, ok in _ROBOTS.items())))
+    rules = links.select(F.col("h").alias("host")).distinct().select("host", each.alias("r")).select("host", "r.*")
+    return queue.allowed(links, rules, "h", "path").select("page_id", "k")
 
 
 # ---- the whole plan --------------------------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Sources: landed pages, crawl requests and page JSON as DataFrames, batch or stream; and sinks.
 
-Fetching is outside the engine: whatever fetches lands (page_id, url, html) files, and these are the source.
+Whatever fetches (siltstone.sources.fetch, or a crawler) lands (page_id, url, html) files, and these are the source.
 """
 
 from __future__ import annotations

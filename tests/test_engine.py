@@ -1,9 +1,11 @@
 """The engine's operators against plain versions on small fixtures, and their invariants."""
 
 import hashlib
+import http.server
 import json
 import re
 import sqlite3
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -14,7 +16,7 @@ from siltstone import queries, schemas
 from siltstone.functions import text, urls
 from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, vector, worklist
 from siltstone.plans import ingestion
-from siltstone.sources import landed
+from siltstone.sources import fetch, landed
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
 
@@ -332,6 +334,44 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
 
 
+class _Site(http.server.BaseHTTPRequestHandler):
+    """Answers of its own machine: /ok, /latin (another charset), /moved (to /ok), /accepted (202), /gone (404), /cut (too short)."""
+
+    def do_GET(self):
+        status = {"/moved": 302, "/accepted": 202, "/gone": 404}.get(self.path, 200)
+        text = "é of /latin".encode("latin-1") if self.path == "/latin" else f"é of {self.path}".encode() + (b"\xff" if self.path == "/odd" else b"")
+        self.send_response(status)
+        self.send_header("Content-Type", "text/html; charset=iso-8859-1" if self.path == "/latin" else "text/html")
+        self.send_header("Content-Length", str(len(text) + (9 if self.path == "/cut" else 0)))
+        if status == 302:
+            self.send_header("Location", "/ok")
+        self.end_headers()
+        self.wfile.write(text)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_fetched_pages(spark, tmp_path):
+    site = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{site.server_port}"
+    (tmp_path / "secret").write_text("a file of the executor")
+    urls_ = [*(base + p for p in ("/ok", "/latin", "/odd", "/moved", "/accepted", "/gone", "/cut")), "http://127.0.0.1:1/", f"file://{tmp_path}/secret", "http://[", "", None, base + "/ok"]
+    asks = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls_)], "page_id int, url string, html string").repartition(3)
+    try:
+        got = {p: {r.page_id: r.html for r in fetch.fetched(asks, p, at_once=2).collect()} for p in (fetch.ONLY_OK, fetch.NO_ERRORS, fetch.ANY_STATUS)}
+    finally:
+        site.shutdown()
+        site.server_close()
+    some = {0: "é of /ok", 1: "é of /latin", 2: "é of /odd\ufffd", 3: "é of /ok", 12: "é of /ok"}
+    for policy, more in ((fetch.ONLY_OK, {}), (fetch.NO_ERRORS, {4: "é of /accepted"}), (fetch.ANY_STATUS, {4: "é of /accepted", 5: "é of /gone"})):
+        assert got[policy] == {k: "" for k in range(13)} | some | more
+    pages = fetch.fetched(asks.where("page_id < 2"), fetch=lambda url, policy: f"<title>T</title><body><article><p>A page that was fetched from {url[-2:]}</p></article></body>")
+    assert pages.schema == spark.createDataFrame([], landed.RAW_PAGES).schema and ingestion.stored(pages).count() == 2
+    assert fetch.fetched(asks.where("false")).count() == 0
+
+
 def test_ingestion_plan(spark, sf):
     raw = landed.raw_pages(spark, f"{sf}/pages.parquet")
     for extractor in ingestion.EXTRACTORS:
