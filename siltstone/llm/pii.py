@@ -11,8 +11,8 @@ made-up sentences from a fixed seed, as no table has labels for personal data: l
 e-mail addresses, IPv6, access keys, social security numbers and IBANs among look-alikes (years, dates, versions, prices,
 order numbers, card-like numbers that fail Luhn) that must stay. Training is cached for the life of the driver.
 
-Defined results: null and empty texts have no spans and stay as they are; text of any length is read whole, in linear time;
-rows that repeat are treated alike; an empty table gives no rows.
+Defined results: null and empty texts have no spans and stay as they are; text of any length is read whole, in linear time and
+with candidates held for STEP tokens at a time; rows that repeat are treated alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
 BASE_KINDS = KINDS[:4]
 LONGEST, AROUND, SENTENCES, EPOCHS, SEED = 16, 60, 900, 6, 11
+#: Tokens whose candidates are held at a time.
+STEP = 512
 
 Span = tuple[str, int, int]
 
@@ -163,10 +165,11 @@ def outer_features(text: str, token: Token) -> list[str]:
     return ["bias", f"shape {shape(own, True)}" if own[0].isdigit() else f"outer {shape(own, False)}", *(f"word {w}" for w in before(text, token[0])[-1:])]
 
 
-def segments(text: str, tokens: list[Token]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate entities, within one line and with one space at most between tokens; 0 for each label they can have."""
+def segments(text: str, tokens: list[Token], first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate entities that begin at tokens first to last - 1, within one line and with one space at most between tokens; 0 for each label they can have."""
     out, masks = [], []
-    for i, (start, _) in enumerate(tokens):
+    for i in range(first, len(tokens) if last is None else last):
+        start = tokens[i][0]
         head = text[start]
         if not (head.isalnum() or head in "+(:"):
             continue
@@ -191,32 +194,37 @@ class Field:
         names = self.names
         return np.array([self.weights[[names[f] for f in x if f in names]].sum(0) for x in features]).reshape(-1, len(KINDS) + 1)
 
-    def decode(self, text: str) -> list[Span]:
-        """The likeliest segmentation's entities."""
+    def decode(self, text: str, step: int = STEP) -> list[Span]:
+        """The likeliest segmentation's entities.
+
+        Candidates and their features are made for `step` tokens at a time; of the others only best scores and the way back are held.
+        """
         tokens = [m.span() for m in _TOKEN.finditer(text)]
-        spans, mask = segments(text, tokens)
-        if not spans:
-            return []
-        inner, outer = mask + self.scores([span_features(text, tokens, i, j) for i, j in spans]), self.scores([outer_features(text, t) for t in tokens])
-        starts: dict[int, list[int]] = {}
-        for k, (i, _) in enumerate(spans):
-            starts.setdefault(i, []).append(k)
-        labels = len(KINDS) + 1
-        best = np.full((len(tokens) + 1, labels), -np.inf)
-        back: list[list[tuple[int, int]]] = [[(0, 0)] * labels for _ in range(len(tokens) + 1)]
+        n, labels = len(tokens), len(KINDS) + 1
+        best = np.full((n + 1, labels), -np.inf)
+        back, back_label = np.zeros((n + 1, labels), np.int32), np.zeros((n + 1, labels), np.int8)
         best[0, 0] = 0
-        for i in range(len(tokens)):
-            arrive = best[i][:, None] + self.moves
-            come, value = arrive.argmax(0).tolist(), arrive.max(0)
-            if value[0] + outer[i, 0] > best[i + 1, 0]:
-                best[i + 1, 0], back[i + 1][0] = value[0] + outer[i, 0], (i, come[0])
-            for k in starts.get(i, ()):
-                j, total = spans[k][1], value + inner[k]
-                for y in np.flatnonzero(total[1:] > best[j, 1:]) + 1:
-                    best[j, y], back[j][y] = total[y], (i, come[y])
-        out, at, y = [], len(tokens), int(best[-1].argmax())
+        for low in range(0, n, step):
+            high = min(low + step, n)
+            spans, mask = segments(text, tokens, low, high)
+            if not spans and n <= step:
+                return []
+            inner, outer = mask + self.scores([span_features(text, tokens, i, j) for i, j in spans]), self.scores([outer_features(text, t) for t in tokens[low:high]])
+            starts: dict[int, list[int]] = {}
+            for k, (i, _) in enumerate(spans):
+                starts.setdefault(i, []).append(k)
+            for i in range(low, high):
+                arrive = best[i][:, None] + self.moves
+                come, value = arrive.argmax(0), arrive.max(0)
+                if value[0] + outer[i - low, 0] > best[i + 1, 0]:
+                    best[i + 1, 0], back[i + 1, 0], back_label[i + 1, 0] = value[0] + outer[i - low, 0], i, come[0]
+                for k in starts.get(i, ()):
+                    j, total = spans[k][1], value + inner[k]
+                    for y in np.flatnonzero(total[1:] > best[j, 1:]) + 1:
+                        best[j, y], back[j, y], back_label[j, y] = total[y], i, come[y]
+        out, at, y = [], n, int(best[-1].argmax())
         while at:
-            i, from_ = back[at][y]
+            i, from_ = int(back[at, y]), int(back_label[at, y])
             if y:
                 out.append((KINDS[y - 1], tokens[i][0], tokens[at - 1][1]))
             at, y = i, from_

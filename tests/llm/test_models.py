@@ -1,6 +1,7 @@
 """The trained operators: quality trees, quality rules, personal data."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -228,6 +229,25 @@ def test_decode_is_the_best_segmentation():
     assert field.decode(text) == max(every(0, 0, 0.0), key=lambda x: x[0])[1]
 
 
+def test_decoding_in_steps_is_decoding_whole():
+    field, rng = pii.trained(), np.random.default_rng(5)
+    text = " ".join(pii.example(rng)[0] for _ in range(60)) + " 12" * 300 + " 4111 1111 1111 1111 call +1 (212) 555-0100"
+    whole = field.decode(text, 10**9)
+    assert len(whole) > 40
+    for step in (1, 7, 64, pii.STEP):
+        assert field.decode(text, step) == whole
+    assert field.decode("", 3) == [] and field.decode("no digits here " * 50, 7) == []
+
+
+def test_a_long_table_of_numbers_is_decoded_in_bounded_memory():
+    field, text = pii.trained(), "12 34 " * 3_000
+    tracemalloc.start()
+    field.decode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+
+
 def test_secrets_of_the_tables(spark):
     """Another source than the made-up sentences: the keys in the tables' documents, with what stands around them."""
     found = wanted = other = 0
