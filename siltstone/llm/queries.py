@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, minhash, packing, pii, quality, quotes, rules, substrings, suffixes, warc
+from siltstone.llm import decontaminate, exact, middle, minhash, packing, pii, quality, quotes, rules, substrings, suffixes, tries, warc
+from siltstone.llm.common import Scratch, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +66,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_quotes": op8_quotes, "op9_rules": op9_rules, "op10_decontaminate": op10_decontaminate}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One half of the documents is the history, the other the batch that meets it."""
+    docs = table(spark, sf_dir, "documents")
+    later = F.xxhash64("doc_id") < 0
+    with Scratch(spark) as scratch:
+        done = exact.dedup(docs.where(later), docs.where(~later), scratch)
+        return cut(done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return cut(tries.audit(table(spark, sf_dir, "documents"), scratch))
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(middle.restored()).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_substrings": op2_substrings, "op3_quality": op3_quality, "op4_suffixes": op4_suffixes, "op5_minhash": op5_minhash, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_quotes": op8_quotes, "op9_rules": op9_rules, "op10_decontaminate": op10_decontaminate,
+    "op11_exact": op11_exact, "op12_divergence": op12_divergence, "op13_middle": op13_middle}
 ORACLE_SQL: dict[str, str] = {
     "op2_substrings": r"""
         with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
@@ -176,4 +198,65 @@ ORACLE_SQL: dict[str, str] = {
             where 10 * held >= 8 * wanted group by all)
         select distinct doc_id, item_id
         from verified join (select item_id, count(distinct answer) as parts from item_words group by item_id) using (item_id, parts)""",
+    "op11_exact": r"""
+        with t as (
+            select doc_id, length(coalesce(text, '')) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256
+            from documents),
+        g as (
+            select *, first_value(doc_id) over (partition by text_sha256 order by n_chars desc, doc_id) as keep_id,
+                count(*) over (partition by text_sha256) as group_size
+            from t)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g""",
+    "op12_divergence": r"""
+        with d as (
+            select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents),
+        terms as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as item from d),
+        counts as (select lang, source, item, count(*)::hugeint as n from terms group by all),
+        kept as (select lang, item from terms group by all having count(distinct r) >= 3),
+        groups as (select distinct lang, source from d),
+        sizes as (select lang, count(*) as v from kept group by all),
+        cells as (
+            select lang, source, item, coalesce(n, 0)::hugeint as n
+            from groups join kept using (lang) left join counts using (lang, source, item)),
+        totals as (select lang, source, sum(n)::hugeint as total from cells group by all),
+        p as (
+            select lang, source, item, n, 1 + 1000000000::hugeint * (n + 1) // (total + v) as p
+            from cells join totals using (lang, source) join sizes using (lang)),
+        whole as (select lang, item, sum(n)::hugeint as n from cells group by all),
+        q as (
+            select lang, item, 1 + 1000000000::hugeint * (n + 1) // (total + v) as q
+            from whole join (select lang, sum(total)::hugeint as total from totals group by all) using (lang) join sizes using (lang)),
+        pairs as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+            from p a join p b on a.lang = b.lang and a.item = b.item and a.source <> b.source group by all),
+        every_pair as (
+            select g.lang, g.source, h.source as item, coalesce(value, 0) as value
+            from groups g join groups h on g.lang = h.lang and g.source <> h.source
+                left join pairs on pairs.lang = g.lang and pairs.source = g.source and pairs.item = h.source),
+        every as (
+            select lang, source, 'pair' as part, item, value from every_pair
+            union all select lang, source, 'term', item, ((p - q) * (p - q) // q)::bigint from p join q using (lang, item) where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+        select * from ranked where part = 'pair' or rank <= 200""",
+    "op13_middle": r"""
+        with t as (
+            select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units
+            from documents),
+        d as (
+            select *, len(units) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+                ('0x' || h[25:32])::bigint as h4
+            from t),
+        c as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+                    when h4 % 100 < 20 then 'spm' else 'psm' end as form
+            from d),
+        p as (select *, array_to_string(units[1:a], '') as x, array_to_string(units[a + 1:b], '') as y, array_to_string(units[b + 1:], '') as z from c)
+        select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end)
+                as output_sha256,
+            sha256(text) as restored_sha256
+        from p""",
 }

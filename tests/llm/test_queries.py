@@ -38,7 +38,7 @@ def test_tables(spark, sf, name):
     assert same(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf, ["documents", "pages", "benchmark", "conversations"])
 
 
-@pytest.mark.parametrize("name", ["op2_substrings", "op4_suffixes", "op5_minhash"])
+@pytest.mark.parametrize("name", ["op2_substrings", "op4_suffixes", "op5_minhash", "op11_exact", "op13_middle"])
 def test_odd_documents(spark, tmp_path, name):
     ids, texts = zip(*odd_documents())
     pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
