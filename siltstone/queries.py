@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
 from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, vector, worklist
+from siltstone.operators.state import Folder, cut
 from siltstone.plans import ingestion
 from siltstone.schemas import PAGES_SQL, QUEUE_SQL, pages_of, queue_of, table
+from siltstone.sources.store import PageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,6 +160,26 @@ def ingest_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.ingest(d.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("url"), F.sha2("text", 256).alias("content_hash")))
 
 
+@query(
+    "save_pages",
+    f"""with w as ({_WRITES}), accepted as (select w.* from w where id in ({dedup.first_writer_sql(_WRITES)}))
+    select w.id, w.url, w.content_hash, w.id in (select id from accepted) as stored,
+        case when w.id in (select id from accepted) then w.id else coalesce(a.id, 0) end as page_id
+    from w left join accepted a on a.content_hash = w.content_hash and a.id < w.id and a.content_hash <> ''""",
+)
+def save_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same writes in three batches, by ranges of ids, merged into a new store one after the other; the second comes twice."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("url"), F.sha2("text", 256).alias("content_hash"))
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    part = F.floor((F.col("id") - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    with Folder(spark, "store") as path:
+        store = PageStore(spark, path)
+        for batch in (0, 1, 1, 2):
+            store.merge(rows.where(part == batch), batch)
+        return cut(store.decisions(0).unionByName(store.decisions(1)).unionByName(store.decisions(2)))
+
+
 @query("is_duplicate", "with s as (select distinct sha256(text) as h from documents where lang = 'en') select doc_id, coalesce(sha256(text) in (select h from s), false) as duplicate from documents")
 def is_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"))
