@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
-from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, vector, worklist
+from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, trigram, vector, worklist
 from siltstone.operators.state import Folder, cut
 from siltstone.plans import ingestion
 from siltstone.schemas import PAGES_SQL, QUEUE_SQL, pages_of, queue_of, table
@@ -59,6 +59,30 @@ query("search_memory", f"with {PAGES_SQL} select id, url, title, content, conten
     lambda s, d: search.memory_search(stored(s, d), "CIÓN")
 )
 query("pages_paginated", f"with {PAGES_SQL} select * from stored order by id limit 50 offset 100")(lambda s, d: search.paginated(stored(s, d), 100, 50))
+#: What is asked of the index: frequent and rare words, wildcards, a literal per cent, a phrase, what is in no page, under three characters.
+INDEXED = {
+    "frequent": ("the", False), "upper case": ("TION", False), "rare": ("license", False), "phrase": ("permission is hereby", False), "wildcards": ("e%mail_", False), "literal": ("100%", True),
+    "not there": ("qzxqzxqzx", False), "wide": ("ünd", False), "two": ("a%b", False), "one": ("@", False),
+}
+
+
+def _indexed_sql() -> str:
+    def one(name: str, q: str, literal: bool) -> str:
+        pattern = "%" + (q.replace("%", "$%").replace("_", "$_") if literal else q).translate(str.maketrans(text.UPPER, text.LOWER)) + "%"
+        own = [f"translate({c}, '{text.UPPER}', '{text.LOWER}') like '{pattern}' escape '$'" for c in ("title", "content")]
+        return f"select '{name}' as query, id, url from stored where {' or '.join(own)}"
+
+    return f"with {PAGES_SQL} " + " union all ".join(one(name, *q) for name, q in INDEXED.items())
+
+
+@query("search_indexed", _indexed_sql())
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all pages is built, and ten queries are asked of it."""
+    with Folder(spark, "trigrams") as path:
+        trigram.build(stored(spark, sf_dir).select("id", "url", "title", "content"), path)
+        return cut(trigram.search_many(spark, path, INDEXED).select("query", "id", "url"))
+
+
 query("page_projection", f"with {PAGES_SQL} select id, url, title, content, content_hash as hash from stored")(lambda s, d: search.page_row(stored(s, d)))
 query("snippet_web", f"with {PAGES_SQL} select id, url, coalesce(nullif(title, ''), 'No title') as title, case when length(content) > 200 then left(content, 200) || '...' else content end as snippet from stored")(
     lambda s, d: search.web_snippet(stored(s, d))
