@@ -3,8 +3,9 @@
 The index holds each item's words (ASCII lower case, ASCII punctuation as space) with BM25 weights, divided by the least
 score that a passage can have which holds SHARE of the item's shingles. So the threshold is 1 for every item and retrieving
 all above it loses nothing: at most (1 - SHARE) of the shingles, hence as many words, can be missing, and the bound takes
-the heaviest. Postings are cut into blocks with their largest weight. Items are indexed by length class, and a class's
-passages are twice its longest item with half of that as step, so any place that holds an item lies within a passage.
+the heaviest. Postings are cut into blocks with their largest weight. Items are indexed by length class (the bits of the number
+of words), and a class's passages are twice the power of two above all its lengths with half of that as step, so any place that
+holds an item lies within a passage, and passages don't depend on the other items.
 
 A passage's distinct words first meet the bounds, for a whole batch of passages at once: the sum of their lists' maxima, then
 for each block of BLOCK neighbouring items the sum of the maxima there. What can still reach the threshold goes through the
@@ -13,7 +14,8 @@ words, and SHARE of the distinct words of its question and of its answer, must b
 its last "Answer:" or "A:" line mark; without one, it is the last third of its words.
 
 The index is fitted on at most ITEMS items, as it goes to all executors; larger benchmarks are taken in shards of about
-that many, one after the other, so nothing is left out. Documents are read once a shard and need no shuffle.
+that many, one after the other: a shard's leaks are checkpointed before the next shard is collected, so one index at a time is
+held, and the results are those of one shard. Documents are read once a shard and need no shuffle.
 
 Defined results: null or empty text, and text without words, leaks nothing; items without words are leaked by nothing;
 items with fewer words than a shingle are one shingle; rows without item_id count for `clean`,
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import LOWER, WORD_BASE, Texts, U, Words, prefix_sums, ranges, slices, spans_hash, texts_of, windows_hash, words_of
+from siltstone.llm.common import LOWER, WORD_BASE, Texts, U, Words, cut, prefix_sums, ranges, slices, spans_hash, texts_of, windows_hash, words_of
 
 K1, B = 1.2, 0.75
 SHINGLE, SHARE = 5, 0.8
@@ -75,7 +77,8 @@ class Index:
 
     def __init__(self, ids: list[int], items: list[Item]) -> None:
         self.ids, self.items = ids, items
-        self.step = max(SHORTEST_CLASS, max(len(x.words) for x in items))
+        # of the length class, not of the items in it: what leaks doesn't depend on the other items
+        self.step = 1 << max(SHORTEST_CLASS, max(len(x.words) for x in items)).bit_length()
         df = Counter(w for x in items for w in np.unique(x.words).tolist())
         mean = sum(len(x.words) for x in items) / len(items)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -228,26 +231,38 @@ def leaks_column(docs: DataFrame, found: list[Index]) -> DataFrame:
     return docs.select(names).mapInArrow(run, f"{schema}, _leaks array<bigint>")
 
 
-def shards(benchmark: DataFrame, most: int = ITEMS) -> Iterator[list[Index]]:
+def shards(benchmark: DataFrame, most: int = ITEMS) -> tuple[int, Iterator[list[Index]]]:
+    """How many there are, and each one's indexes, collected when it is asked for."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-benchmark.count() // most))
-    for k in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
-        yield indexes([r.item_id for r in rows], [r.text for r in rows])
+
+    def each() -> Iterator[list[Index]]:
+        for k in range(parts):
+            rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+            rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
+            yield indexes([r.item_id for r in rows], [r.text for r in rows])
+
+    return parts, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS) -> DataFrame:
     """(doc_id, item_id) for every leak."""
     docs, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for found in shards(benchmark, most):
+    parts, each = shards(benchmark, most)
+    for found in each:
         part = leaks_column(docs, found).select("doc_id", F.explode("_leaks").alias("item_id")).where("item_id is not null")
+        part = cut(part) if parts > 1 else part
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS) -> DataFrame:
-    """The rows of docs that leak no item."""
-    for found in shards(benchmark, most):
-        docs = leaks_column(docs, found).where(F.size("_leaks") == 0).drop("_leaks")
-    return docs
+    """The rows of docs that leak no item. With several shards, 128 bits of hash of the texts that leak are held against all texts."""
+    parts, each = shards(benchmark, most)
+    if parts == 1:
+        return leaks_column(docs, next(each)).where(F.size("_leaks") == 0).drop("_leaks")
+    name, out = [F.xxhash64("text").alias("_id_1"), F.xxhash64(F.lit(1), "text").alias("_id_2")], None
+    for found in each:
+        part = cut(leaks_column(docs.select("text"), found).where(F.size("_leaks") > 0).select(*name).distinct())
+        out = part if out is None else out.unionAll(part)
+    return docs.select("*", *name).join(out.distinct(), ["_id_1", "_id_2"], "left_anti").select(docs.columns)

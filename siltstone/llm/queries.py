@@ -154,7 +154,6 @@ ORACLE_SQL: dict[str, str] = {
             case when head is not null and page_id < head then head end as refers_to
         from q""",
     "op10_decontaminate": r"""
-        -- for one shard of items, which is all of a benchmark of up to 20,000
         with words_of as (
             select id, kind, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') as words
@@ -166,7 +165,7 @@ ORACLE_SQL: dict[str, str] = {
             select i.id as item_id, i.words, coalesce(len(q.words), (2 * len(i.words) + 2) // 3) as answer_from,
                 least(5, len(i.words)) as n, length(bin(greatest(len(i.words), 32))) as class
             from words_of i left join words_of q on q.id = i.id and q.kind = 'question' where i.kind = 'item' and len(i.words) > 0),
-        steps as (select class, max(greatest(len(words), 32)) as step from items group by class),
+        steps as (select distinct class, 1::bigint << class as step from items),
         grams as (
             select distinct item_id, class, n, array_to_string(words[k : k + n - 1], ' ') as gram
             from (select *, unnest(range(1, len(words) - n + 2)) as k from items)),

@@ -265,6 +265,13 @@ def items():
     return [(1, cases.prose(30, 501)), (2, cases.prose(44, 502) + "\nAnswer: forty two of them"), (3, "Tiny item here"), (4, None), (5, " \n"), (6, cases.prose(200, 506)), (7, cases.prose(30, 501))]
 
 
+def scattered():
+    """Items of one length class, and texts that hold the first in two places far apart: which passages there are decides."""
+    first, rows = cases.prose(20, 601).split(), [(31, cases.prose(20, 601)), (32, cases.prose(63, 602)), (33, cases.prose(40, 603)), (34, cases.prose(64, 604))]
+    far = [(60 + gap, " ".join([*first[:12], *(f"g{k}" for k in range(gap)), *first[8:]])) for gap in (30, 60, 90, 110, 130)]
+    return rows, far
+
+
 def upper(text):
     return "".join(c.upper() if c.isascii() else c for c in text)
 
@@ -296,17 +303,19 @@ def cases_array(text):
     return pa.array([text], pa.string())
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
+@pytest.mark.parametrize("most", [20_000, 5, 1])
 def test_leaks_equal_brute_force(spark, most):
-    docs = spark.createDataFrame(passages(), "doc_id long, text string, item_id string, _leaks string")
-    tests = spark.createDataFrame([(*r, "z") for r in items()], "item_id long, text string, doc_id string")
+    more, far = scattered()
+    own = passages() + [(i, t, "x", "y") for i, t in far]
+    docs = spark.createDataFrame(own, "doc_id long, text string, item_id string, _leaks string")
+    tests = spark.createDataFrame([(*r, "z") for r in items() + more], "item_id long, text string, doc_id string")
     got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, tests, most).collect()), key=repr)
-    if most == 20_000:
-        assert got == plain_leaks([(r[0], r[1]) for r in passages()], items())
+    assert got == plain_leaks([(r[0], r[1]) for r in own], items() + more)
+    assert 0 < len({i for i, _ in got} & {i for i, _ in far}) < len(far)
     assert {(1, 1), (1, 7), (2, 1), (4, 2), (7, 3), (8, 6), (11, 6), (None, 1)} <= set(got)
     assert not {i for i, _ in got} & {3, 6, 9, 10, 12}
     kept = decontaminate.clean(docs, tests, most)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({3, 5, 6, 9, 10, 12} - {i for i, _ in got})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(({3, 5, 6, 9, 10, 12} | {i for i, _ in far}) - {i for i, _ in got})
     assert decontaminate.leaks(docs, tests.where("false")).collect() == []
     assert decontaminate.clean(docs, tests.where("false")).count() == docs.count()
     assert decontaminate.leaks(docs.where("false"), tests).collect() == []
