@@ -1,9 +1,11 @@
 """Divergence of sources: the trie, and whole results against a plain version."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,25 +18,40 @@ from . import cases
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.text("abé😀", min_size=1, max_size=6), st.sampled_from("xyz"), st.integers(1, 4)), max_size=60), st.integers(0, 60))
-def test_trie_counts_merges_and_walks_in_order(items, cut):
-    a, b, want = tries.Trie(), tries.Trie(), defaultdict(Counter)
-    for k, (term, source, n) in enumerate(items):
-        (a if k < cut else b).add(term.encode(), 1, {source: n})
-        want[term.encode()][source] += n
-    a.merge(b)
-    got = list(a.walk())
-    assert [t for t, _ in got] == sorted(want)
-    assert {t: c for t, (_, c) in got} == want and a.leaves == len(want)
-    assert sum(d for _, (d, _) in got) == len(items)
-    assert all(len(node[0]) and (node[2] or len(node[1]) > 1) for node in inner(a.root))  # edges are as long as can be
+def trie(items):
+    """Of (term, source, count), each one document."""
+    items = sorted((t.encode(), x, n) for t, x, n in items)
+    one = lambda t, x, n: tries.Trie.of(pa.array([t], pa.large_binary()), np.ones(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64), np.array([n]), [x])
+    return tries.merge([one(*x) for x in items]) if items else tries.Trie.of(pa.array([], pa.large_binary()), *(np.zeros(0, np.int64) for _ in range(4)), [])
+
+
+def leaves(t):
+    ends = np.concatenate([[0], np.cumsum(t.fan)])
+    own = [{t.sources[s]: n for s, n in zip(t.source[a:b], t.count[a:b])} for a, b in zip(ends, ends[1:])]
+    return list(zip(t.terms().to_pylist(), t.docs.tolist(), own))
 
 
-def inner(node):
-    for below in node[1].values():
-        yield below
-        yield from inner(below)
+TERMS = st.text("abé😀", min_size=1, max_size=6) | st.sampled_from(["a" * 60, "a" * 61, "a" * 60 + "b", "a" * 200, "a" * 60 + "bc"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(TERMS, st.sampled_from("xyz"), st.integers(1, 4)), max_size=60), st.integers(0, 60), st.lists(TERMS, max_size=3), st.integers(1, 9))
+def test_tries_count_merge_and_cut_in_order(items, cut, borders, chunk):
+    want = defaultdict(Counter)
+    for term, source, n in items:
+        want[term.encode()][source] += n
+    whole = tries.merge([trie(items[:cut]), trie(items[cut:])])
+    got = leaves(whole)
+    assert [t for t, _, _ in got] == sorted(want) and {t: c for t, _, c in got} == want
+    assert sum(d for _, d, _ in got) == len(items)
+    # an inner node has several edges: what a leaf shares with the one before is all that it could
+    own = [t for t, _, _ in got]
+    assert whole.depth.tolist() == [0] * bool(own) + [len(os.path.commonprefix([a, b])) for a, b in zip(own, own[1:])]
+    borders = sorted({x.encode() for x in borders})
+    rows = tries.pieces("en", whole, borders, 0, chunk)
+    cut_up = [(n, leaves(t)) for _, n, t in tries.tries_of(iter([rows]))]
+    assert [x for _, own in cut_up for x in own] == got and all(len(own) <= chunk for _, own in cut_up)
+    assert all(n == sum(x <= t for x in borders) for n, own in cut_up for t, _, _ in own)
 
 
 def plain(rows, min_docs=3, top=200):
@@ -69,12 +86,12 @@ def odd_rows():
     return rows + [(" ".join(f"{a}{b}" for a in "abcdefgh" for b in "äbcdefghijklmnopqrstuvwxyzßø") * (1 + k % 2), "fr", f"s{k % 4}") for k in range(8)]
 
 
-@pytest.mark.parametrize("leaves", [100_000, 5])
-def test_rows_equal_brute_force(spark, leaves):
+@pytest.mark.parametrize(("most", "slice_bytes"), [(tries.RANGE, tries.SLICE), (300, 2000)])
+def test_rows_equal_brute_force(spark, most, slice_bytes):
     rows = odd_rows()
     docs = spark.createDataFrame([(t, x, s, "k", 1) for t, x, s in rows], "text string, lang string, source string, term string, value int").repartition(3)
     with Scratch(spark) as scratch:
-        got = sorted(tuple(r) for r in tries.audit(docs, scratch, top=50, leaves=leaves).select("lang", "source", "part", "item", "value", "rank").collect())
+        got = sorted(tuple(r) for r in tries.audit(docs, scratch, top=50, leaves=most, slice_bytes=slice_bytes).select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == plain(rows, top=50)
     assert Counter(r[2] for r in got)["term"] > 150
 
