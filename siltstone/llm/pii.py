@@ -4,11 +4,13 @@ Base spans (email, ip, card, phone) follow fixed patterns, leftmost and not over
 then looks at the neighbourhood of every digit and at-sign: candidate segments of up to LONGEST tokens get scores from
 features of the whole span (digit and letter counts, shape, separators, Luhn, value ranges, known prefixes, the words
 before), single tokens outside an entity get their own, and a dynamic program over segment ends, labels and label
-transitions picks boundaries and types jointly. Its segments that don't touch a base span are added.
+transitions picks boundaries and types jointly. Its segments that don't touch a base span are added. A label's segments are
+limited by length and character class alone. A neighbourhood ends at white space, so no token is cut, and a run of the characters
+of keys is a candidate whole, whatever its length; other entities of over LONGEST tokens are none (an address in words may be).
 
 Weights are learned by stochastic gradient on the conditional log-likelihood (forward-backward over segments), on SENTENCES
 made-up sentences from a fixed seed, as no table has labels for personal data: local phone numbers, spaced or bracketed
-e-mail addresses, IPv6, access keys, social security numbers and IBANs among look-alikes (years, dates, versions, prices,
+e-mail addresses, IPv6, access keys of 16 to 200 characters, social security numbers and IBANs among look-alikes (years, dates, versions, prices,
 order numbers, card-like numbers that fail Luhn) that must stay. Training is cached for the life of the driver.
 
 Defined results: null and empty texts have no spans and stay as they are; text of any length is read whole, in linear time and
@@ -88,10 +90,17 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field -------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_GAP = re.compile(r"\s")
 _TRIGGER = re.compile(r"[0-9]+|@|[\[(]at[\])]")
 _AT = re.compile(r"@|[\[(]\s*at\s*[\])]")
 #: Words that may announce an entity.
 CUES = {"email": ["mail", "contact"], "ip": ["host", "ip"], "card": ["card", "visa"], "phone": ["call", "tel", "phone"], "secret": ["key", "token", "secret"], "ssn": ["ssn", "social"], "iban": ["iban", "account"]}
+#: For each label the characters that its segments consist of, and how many there are.
+LIMITS = [
+    (1, re.compile(r"[^\s,;:<>\"']{6,}|[^,;:<>\"'\n]{6,120}")), (2, re.compile("[0-9A-Fa-f.:]{7,45}")), (3, re.compile("[0-9 -]{12,37}")), (4, re.compile("[0-9 +().-]{7,30}")),
+    (5, re.compile("[A-Za-z0-9_-]{16,}")), (6, re.compile("[0-9 -]{9,11}")), (7, re.compile("[A-Z0-9 ]{15,44}")),
+]
+_KEY_RUN = re.compile("[A-Za-z0-9_-]+")
 _CUE_WORDS = {w for x in CUES.values() for w in x} | {"order", "page", "version", "license", "total"}
 Token = tuple[int, int]
 
@@ -111,24 +120,8 @@ def before(text: str, at: int) -> list[str]:
 
 
 def admissible(own: str) -> list[int]:
-    """Labels that a segment can have at all."""
-    digits, letters, spaced = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own), " " in own
-    out = []
-    if _AT.search(own):
-        out.append(1)
-    if own.count(".") == 3 and digits >= 4 and not letters or own.count(":") >= 2 and re.fullmatch("[0-9A-Fa-f:]+", own):
-        out.append(2)
-    if 12 <= digits <= 19 and not letters and re.fullmatch("[0-9 -]+", own):
-        out.append(3)
-    if 7 <= digits <= 15 and not letters and re.fullmatch(r"[+(]*[0-9][ ().0-9-]*", own):
-        out.append(4)
-    if not spaced and digits and len(own) >= 16 and letters and re.fullmatch(r"[A-Za-z0-9_-]+", own):
-        out.append(5)
-    if digits == 9 and not letters and re.fullmatch("[0-9 -]+", own):
-        out.append(6)
-    if re.match("[A-Z]{2}[0-9]{2}", own) and 15 <= digits + letters <= 34 and re.fullmatch("[A-Z0-9 ]+", own):
-        out.append(7)
-    return out
+    """Labels that a segment can have at all, by its length and characters alone; an address has a mark for "at" besides."""
+    return [label for label, limit in LIMITS if limit.fullmatch(own) and (label != 1 or _AT.search(own))]
 
 
 def span_features(text: str, tokens: list[Token], i: int, j: int) -> list[str]:
@@ -142,7 +135,7 @@ def span_features(text: str, tokens: list[Token], i: int, j: int) -> list[str]:
     out = [
         "bias", f"digits {bucket(len(digits), (1, 4, 7, 9, 10, 11, 12, 13, 15, 16, 17, 20))}", f"letters {bucket(letters, (1, 2, 3, 5, 9, 15, 20))}", f"shape {shape(own, True)}", f"kind {shape(own, False)}",
         f"marks {''.join(sorted(set(re.findall(r'[^A-Za-z0-9]', own))))[:12]}", f"tokens {bucket(j - i, (2, 3, 5, 7, 9, 12))}", f"groups {min(len(groups), 9)}",
-        f"cut {last.isalnum() or last in ('_', '+', '@') and bool(last)} {next_.isalnum() or next_ in ('_', '@') and bool(next_)}", f"longer {bool(re.match(r'[.-]?[0-9]', text[end : end + 2]))} {bool(re.search(r'[0-9][ .-]?$', text[max(0, start - 2) : start]))}",
+        f"run {bool(_KEY_RUN.match(last))} {bool(_KEY_RUN.match(next_))}", f"cut {last.isalnum() or last in ('_', '+', '@') and bool(last)} {next_.isalnum() or next_ in ('_', '@') and bool(next_)}", f"longer {bool(re.match(r'[.-]?[0-9]', text[end : end + 2]))} {bool(re.search(r'[0-9][ .-]?$', text[max(0, start - 2) : start]))}",
     ]
     if 12 <= len(digits) <= 19 and not letters:
         out.append(f"luhn {luhn(''.join(digits))}")
@@ -166,8 +159,12 @@ def outer_features(text: str, token: Token) -> list[str]:
 
 
 def segments(text: str, tokens: list[Token], first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate entities that begin at tokens first to last - 1, within one line and with one space at most between tokens; 0 for each label they can have."""
+    """Candidate entities that begin at tokens first to last - 1, within one line and with one space at most between tokens; 0 for each label they can have.
+
+    They have LONGEST tokens at most; what keys consist of is also one candidate from end to end, however long it is.
+    """
     out, masks = [], []
+    end_at = {b: j for j, (_, b) in enumerate(tokens, 1)}
     for i in range(first, len(tokens) if last is None else last):
         start = tokens[i][0]
         head = text[start]
@@ -181,6 +178,12 @@ def segments(text: str, tokens: list[Token], first: int = 0, last: int | None =
                 out.append((i, j))
                 masks.append(np.full(len(KINDS) + 1, -np.inf))
                 masks[-1][labels] = 0
+        run = None if start and _KEY_RUN.match(text[start - 1]) else _KEY_RUN.match(text, start)
+        j = end_at.get(run.end(), 0) if run else 0
+        if j > i + LONGEST and (labels := admissible(run[0])):
+            out.append((i, j))
+            masks.append(np.full(len(KINDS) + 1, -np.inf))
+            masks[-1][labels] = 0
     return out, np.array(masks).reshape(-1, len(KINDS) + 1)
 
 
@@ -194,35 +197,36 @@ class Field:
         names = self.names
         return np.array([self.weights[[names[f] for f in x if f in names]].sum(0) for x in features]).reshape(-1, len(KINDS) + 1)
 
-    def decode(self, text: str, step: int = STEP) -> list[Span]:
-        """The likeliest segmentation's entities.
+    def decode(self, text: str, low: int = 0, high: int | None = None, step: int = STEP) -> list[Span]:
+        """The entities of the likeliest segmentation of text[low:high], an edge of which cuts no token; features see the whole text.
 
         Candidates and their features are made for `step` tokens at a time; of the others only best scores and the way back are held.
         """
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        tokens = [m.span() for m in _TOKEN.finditer(text, low, len(text) if high is None else high)]
         n, labels = len(tokens), len(KINDS) + 1
         best = np.full((n + 1, labels), -np.inf)
         back, back_label = np.zeros((n + 1, labels), np.int32), np.zeros((n + 1, labels), np.int8)
         best[0, 0] = 0
-        for low in range(0, n, step):
-            high = min(low + step, n)
-            spans, mask = segments(text, tokens, low, high)
+        for first in range(0, n, step):
+            last = min(first + step, n)
+            spans, mask = segments(text, tokens, first, last)
             if not spans and n <= step:
                 return []
-            inner, outer = mask + self.scores([span_features(text, tokens, i, j) for i, j in spans]), self.scores([outer_features(text, t) for t in tokens[low:high]])
+            inner, outer = mask + self.scores([span_features(text, tokens, i, j) for i, j in spans]), self.scores([outer_features(text, t) for t in tokens[first:last]])
             starts: dict[int, list[int]] = {}
             for k, (i, _) in enumerate(spans):
                 starts.setdefault(i, []).append(k)
-            for i in range(low, high):
+            for i in range(first, last):
                 arrive = best[i][:, None] + self.moves
                 come, value = arrive.argmax(0), arrive.max(0)
-                if value[0] + outer[i - low, 0] > best[i + 1, 0]:
-                    best[i + 1, 0], back[i + 1, 0], back_label[i + 1, 0] = value[0] + outer[i - low, 0], i, come[0]
+                if value[0] + outer[i - first, 0] > best[i + 1, 0]:
+                    best[i + 1, 0], back[i + 1, 0], back_label[i + 1, 0] = value[0] + outer[i - first, 0], i, come[0]
                 for k in starts.get(i, ()):
                     j, total = spans[k][1], value + inner[k]
                     for y in np.flatnonzero(total[1:] > best[j, 1:]) + 1:
                         best[j, y], back[j, y], back_label[j, y] = total[y], i, come[y]
-        out, at, y = [], n, int(best[-1].argmax())
+        follows = high is not None and _TOKEN.search(text, high)  # the next token is outside
+        out, at, y = [], n, int((best[-1] + self.moves[:, 0] if follows else best[-1]).argmax())
         while at:
             i, from_ = int(back[at, y]), int(back_label[at, y])
             if y:
@@ -342,20 +346,31 @@ def example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         name, host, tld = pick([word() + digits(2), f"{word()}.{word()}", word()]), word(), pick(["com", "org", "net", "de", "fr", "example"])
         return pick([f"{name}@{host}.{tld}", f"{name} (at) {host} (dot) {tld}", f"{name} [at] {host} [dot] {tld}", f"{name} @ {host}.{tld}"])
 
+    def long_key() -> str:
+        """Mixed letters with few or many digits, and some with marks in between."""
+        letters = pick(["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+        own = [pick(letters) for _ in range(int(pick([18, 24, 32, 40, 64, 100, 200, 400]) + rng.integers(9)))]
+        share, marks = pick([0.0, 0.03, 0.1, 0.3]), pick([0.0, 0.0, 0.03, 0.1])
+        for k in range(1, len(own) - 1):
+            own[k] = digits(1) if rng.random() < share else pick("-_") if rng.random() < marks else own[k]
+        own[int(rng.integers(len(own)))] = digits(1)
+        return pick(["", "", "", "ghp_", "sk-"]) + "".join(own)
+
     entity = {
         "email": email,
         "ip": lambda: pick([".".join(str(rng.integers(256)) for _ in range(4)), ":".join(f"{int(rng.integers(65536)):x}" for _ in range(8)), f"2001:db8::{int(rng.integers(65536)):x}"]),
         "card": lambda: card(True),
         "phone": phone,
-        "secret": lambda: pick([f"AKIA{upper(16)}", f"ghp_{''.join(pick('abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789') for _ in range(36))}", "".join(pick("0123456789ABCDEF") for _ in range(40)), "".join(pick("0123456789abcdef") for _ in range(40))]),
+        "secret": lambda: pick([f"AKIA{upper(16)}", f"ghp_{''.join(pick('abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789') for _ in range(36))}", "".join(pick("0123456789ABCDEF") for _ in range(40)), "".join(pick("0123456789abcdef") for _ in range(40)), long_key(), long_key(), long_key()]),
         "ssn": lambda: f"{rng.integers(100, 899)}-{rng.integers(10, 99)}-{digits(4)}",
-        "iban": lambda: (lambda x: pick([x, " ".join(x[k : k + 4] for k in range(0, len(x), 4))]))(pick(["DE", "FR", "ES", "GB"]) + digits(pick([20, 18, 22]))),
+        "iban": lambda: (lambda x: pick([x, " ".join(x[k : k + 4] for k in range(0, len(x), 4))]))(pick([pick(["DE", "FR", "ES"]) + digits(pick([20, 18, 22])), f"{pick(['GB', 'NL'])}{digits(2)}{''.join(pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ') for _ in range(4))}{digits(14)}"])),
     }
     alike = [
         lambda: str(rng.integers(1, 300)), lambda: str(rng.integers(1900, 2030)), lambda: f"{rng.integers(2000, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"{rng.integers(1, 9)}.{rng.integers(0, 20)}", lambda: f"v{rng.integers(1, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}",
         lambda: f"${rng.integers(1, 999)}.{digits(2)}", lambda: f"{rng.integers(1, 24)}:{digits(2)}", lambda: card(False), lambda: digits(int(rng.integers(5, 22))), lambda: f"{rng.integers(256, 999)}.{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256, 999)}", lambda: f"{rng.integers(1, 99)}/{rng.integers(1, 99)}/{rng.integers(1900, 2030)}",
         lambda: f"{word()}{rng.integers(1, 99)}", lambda: f"{rng.integers(1, 99)}%", lambda: f"@{word()}", lambda: f"{rng.integers(1, 999)},{digits(3)}", lambda: f"CC BY-NC {rng.integers(1, 5)}.0", lambda: f"License {rng.integers(1, 4)}", lambda: f"{word()} at {word()} {rng.integers(1, 9)}", lambda: f"{digits(3)}*** {digits(2)}&&&", lambda: f"{digits(2)} | {digits(3)} | {digits(2)}",
-        lambda: f"ISO-{rng.integers(100, 9999)}", lambda: f"{upper(3)}-{digits(4)}", lambda: f"{digits(4)}-{digits(4)}",
+        lambda: f"ISO-{rng.integers(100, 9999)}", lambda: f"{upper(3)}-{digits(4)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{word()}-{word()}-{word()}-{digits(1)}", lambda: f"{word()}_{word()}_{word()}{digits(2)}", lambda: f"{word()}{word()}{word()}{word()}{digits(2)}", lambda: f"{digits(4)}-{word()}-{word()}-{word()}",
+        lambda: f"{word()}-{digits(4)}-{word()}-{word()}-{digits(1)}", lambda: f"97{pick('89')}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: f"97{pick('89')}{digits(10)}",
     ]
     text, gold = "", []
     for _ in range(int(rng.integers(2, 5))):
@@ -375,16 +390,21 @@ def example(rng: np.random.Generator) -> tuple[str, list[Span]]:
 
 
 def neighbourhoods(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at-signs, in order, not overlapping, cut at white space where there is some near."""
+    """Stretches of AROUND characters and more around digits and at-signs, in order, not overlapping, from white space to white space however far."""
     low = high = -1
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if a > high:
+        if m.end() + AROUND <= high:
+            continue
+        a = max(0, m.start() - AROUND)
+        if a > high and (high < 0 or _TOKEN.search(text, high, a)):
             if high > 0:
                 yield low, high
-            space = text.find(" ", a, m.start()) if a else -1
-            low = a if space < 0 else space + 1
-        high = b if b == len(text) or (space := text.rfind(" ", m.end(), b)) < 0 else max(high, space)
+            least = max(high, 0)
+            while a > least and not text[a - 1].isspace():
+                a -= 1
+            low = a
+        gap = _GAP.search(text, min(len(text), m.end() + AROUND))
+        high = gap.start() if gap else len(text)
     if high > 0:
         yield low, high
 
@@ -392,10 +412,7 @@ def neighbourhoods(text: str) -> Iterator[tuple[int, int]]:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans; base and added ones."""
     base = base_spans(text)
-    added = []
-    for low, high in neighbourhoods(text):
-        for kind, a, b in field.decode(text[low:high]):
-            added.append((kind, a + low, b + low))
+    added = [span for low, high in neighbourhoods(text) for span in field.decode(text, low, high)]
     return base, sorted(base + apart(added, base), key=lambda s: (s[1], KINDS.index(s[0])))
 
 

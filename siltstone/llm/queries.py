@@ -45,7 +45,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     kinds = [(F.size(F.split("base", f"{k}:")) - 1).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *kinds, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", *kinds, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", n_spans)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
