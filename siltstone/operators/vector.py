@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import WS, ascii_lower
 
-#: Query vectors that one pass over the data holds, as bytes.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors and of vectors that meet in one cell of the grid.
+QUERY_BYTES, VECTOR_BYTES = 16 << 20, 64 << 20
 EMBEDDING_SIZE = 64
-#: The approximate search's cells, how many of them a query asks, and how many vectors its centres are fitted on.
-CELLS, PROBES, FIT_ROWS = 32, 24, 10_000
 _SPACES = re.compile(r"\s+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -49,116 +47,81 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return scored.where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """query_id, vec_id, score: the k nearest other vectors of every query, exactly unless cells' centres are given.
+def units(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding of the rows that have both, embedding of its own element type; all of one length."""
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("embedding is not null and vec_id is not null")
 
-    Queries go in blocks of a checked size, each scored by a matrix product against every partition of the data, where only
-    its k best stay; the blocks' number grows with the queries. Zero vectors neither ask nor answer.
-    """
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and vec_id is not null")
-    size = queries.select(F.count("*"), F.max(F.size("embedding"))).first()
-    if not size[0]:
-        return queries.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"))
-    parts = max(1, -(-size[0] * size[1] * 8 // query_bytes))
-    out = None
-    for part in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).collect()  # at most about query_bytes
-        found = _block(vectors, np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows]), k, centres, probes)
-        out = found if out is None else out.unionAll(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
+def matrix_of(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(rows, -1)
 
-def _block(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, centres: np.ndarray | None, probes: int) -> DataFrame:
-    norm = np.sqrt((asked * asked).sum(1)) if len(ids) else np.zeros(0)
-    if centres is not None and len(ids):
-        nearest = np.argsort(-(asked @ centres.T), axis=1, kind="stable")[:, :probes]
-        return _in_cells(vectors, ids, asked / np.maximum(norm, 1e-300)[:, None], k, centres, nearest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, np.ndarray]] = []  # for groups of queries, the best ids and scores so far
-        width = 512
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                if not part.num_rows or not len(ids):
-                    continue
-                own = np.asarray(part.column("vec_id"))
-                matrix = np.asarray(part.column("embedding").flatten()).reshape(len(own), -1)
-                length = np.sqrt((matrix * matrix).sum(1))
-                for g, low in enumerate(range(0, len(ids), width)):
-                    q = slice(low, low + width)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        score = np.round((asked[q] @ matrix.T) / (norm[q][:, None] * length[None, :]), 6)
-                    score[~np.isfinite(score) | (ids[q][:, None] == own[None, :])] = -np.inf
-                    who = np.broadcast_to(own, score.shape)
-                    if g < len(have):
-                        who, score = np.concatenate([have[g][0], who], 1), np.concatenate([have[g][1], score], 1)
-                    order = np.lexsort((who, -score), axis=1)[:, :k]
-                    kept = np.take_along_axis(who, order, 1), np.take_along_axis(score, order, 1)
-                    if g < len(have):
-                        have[g] = kept
-                    else:
-                        have.append(kept)
-        for g, (who, score) in enumerate(have):
-            asks = np.repeat(ids[g * width : (g + 1) * width], who.shape[1])
-            keep = np.isfinite(score.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(asks[keep]), pa.array(who.ravel()[keep]), pa.array(score.ravel()[keep])], ["query_id", "vec_id", "score"])
-
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and vec_id is not null")
-    return own.mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def approximate_top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """query_id, vec_id, score: about the k nearest other vectors of every query; recall is below 1.
-
-    An inverted file: spherical k-means on at most FIT_ROWS vectors, chosen by a hash of their id, gives the cells. Every vector
-    goes to the cell of its nearest centre, every query asks its nearest `probes` cells and is scored there alone.
-    """
-    return top_k_each(vectors, queries, k, centres=centres(vectors, cells), probes=probes)
+def dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """rows dealt to `parts` parts by their id, each part once for each part of the other side: a grid of cells of a bounded size."""
+    return rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def centres(vectors: DataFrame, cells: int, rounds: int = 10) -> np.ndarray | None:
-    rows = vectors.where("embedding is not null and vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
-    own = np.array([r.embedding for r in chosen], float)
-    if not len(own):
-        return None
-    own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-    middle = own[:cells]
-    for _ in range(rounds):
-        nearest = (own @ middle.T).argmax(1)
-        total = np.stack([np.bincount(nearest, own[:, i], minlength=len(middle)) for i in range(own.shape[1])], 1)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        middle = np.where(norm > 0, total / np.maximum(norm, 1e-300), middle)
-    return middle
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's k best scores and their ids, ties by id. ids: like scores."""
+    if scores.shape[1] > 4 * k:  # what can't be among the best goes first
+        least = np.partition(scores, -k, axis=1)[:, -k, None]
+        width = int((scores >= least).sum(1).max(initial=0))
+        near = np.argpartition(-scores, width - 1, axis=1)[:, :width] if width < scores.shape[1] else np.broadcast_to(np.arange(width), scores.shape)
+        scores, ids = np.take_along_axis(scores, near, 1), np.take_along_axis(ids, near, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _in_cells(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, centres: np.ndarray, nearest: np.ndarray) -> DataFrame:
-    """The best k of each partition, a query being scored in its cells alone. asked: unit vectors."""
-    asks = [np.flatnonzero((nearest == c).any(1)) for c in range(len(centres))]
+def pairs(asks: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.Table:
+    keep = np.isfinite(scores.ravel())
+    return pa.table([pa.array(np.broadcast_to(asks[:, None], scores.shape).ravel()[keep]), pa.array(ids.ravel()[keep]), pa.array(scores.ravel()[keep])], names=["query_id", "vec_id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids, best = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                own = np.asarray(part.column("vec_id"))
-                matrix = np.asarray(part.column("embedding").flatten()).reshape(len(own), -1)
-                matrix = matrix / np.where((length := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, length, np.nan)
-                cell = np.where(np.isnan(matrix[:, 0]), -1, np.nan_to_num(matrix @ centres.T).argmax(1))
-                for c in np.unique(cell[cell >= 0]).tolist():
-                    q, here = asks[c], np.flatnonzero(cell == c)
-                    score = np.round(asked[q] @ matrix[here].T, 6)
-                    score[(ids[q][:, None] == own[here][None, :]) | ~(np.abs(asked[q]).sum(1) > 0)[:, None]] = -np.inf
-                    who, score = np.concatenate([best_ids[q], np.broadcast_to(own[here], score.shape)], 1), np.concatenate([best[q], score], 1)
-                    order = np.lexsort((who, -score), axis=1)[:, :k]
-                    best_ids[q], best[q] = np.take_along_axis(who, order, 1), np.take_along_axis(score, order, 1)
-        keep = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_ids[keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
-
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and vec_id is not null")
-    return own.mapInArrow(run, "query_id long, vec_id long, score double")
+
+PAIRS = "query_id long, vec_id long, score double"
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, vector_bytes: int = VECTOR_BYTES) -> DataFrame:
+    """query_id, vec_id, score: the k nearest other vectors of every query, exactly.
+
+    Both sides stay DataFrames: queries in parts of about query_bytes meet vectors in parts of about vector_bytes in the cells of a
+    grid, one matrix product a cell, of which a query's k best leave the cell; the best of all its cells are the answer. Only the
+    two counts go to the driver. Vectors travel once for each part of the queries. Zero vectors neither ask nor answer.
+    """
+    asked, own = units(queries), units(vectors)
+    n, size = asked.select(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return own.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    many = own.count()
+    parts = max(1, -(-n * size * 8 // query_bytes))
+    spread = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-many // 1000))
+    cells = max(1, -(-many * size * 8 // vector_bytes), -(-spread // parts))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pairs(np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1)))
+        ids, others = np.asarray(left.column("vec_id")), np.asarray(right.column("vec_id"))
+        ask, have = matrix_of(left.column("embedding"), len(ids)), matrix_of(right.column("embedding"), len(others))
+        norm, length = np.sqrt((ask * ask).sum(1)), np.sqrt((have * have).sum(1))
+        out = []
+        for a in range(0, len(ids), 512):
+            q = slice(a, a + 512)
+            best = np.full((len(ids[q]), 0), -np.inf), np.zeros((len(ids[q]), 0), np.int64)
+            for b in range(0, len(others), 4096):
+                v = slice(b, b + 4096)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    now = np.round((ask[q] @ have[v].T) / (norm[q][:, None] * length[v][None, :]), 6)
+                now[~np.isfinite(now) | (ids[q][:, None] == others[v][None, :])] = -np.inf
+                best = best_of(np.concatenate([best[0], now], 1), np.concatenate([best[1], np.broadcast_to(others[v], now.shape)], 1), k)
+            out.append(pairs(ids[q], best[1], best[0]))
+        return pa.concat_tables(out)
+
+    left, right = dealt(asked, "_q", parts, "_v", cells), dealt(own, "_v", cells, "_q", parts)
+    return ranked(left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(score, PAIRS), k)
 
 
 def mean_by(vectors: DataFrame, group: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
-from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, trigram, vector, worklist
+from siltstone.operators import chunk, dedup, extract, ivf, lease, queue, rank, search, stats, trigram, vector, worklist
 from siltstone.operators.state import Folder, cut
 from siltstone.plans import ingestion
 from siltstone.schemas import PAGES_SQL, QUEUE_SQL, pages_of, queue_of, table
@@ -273,6 +273,63 @@ query("page_chunk_navigation", f"with {_CHUNKS}, {_PG}, {_EM} select pg.id as pa
     lambda s, d: (lambda p, c, e: p.select(F.col("id").alias("page_id"), "content").join(c.select(F.col("id").alias("chunk_id"), "page_id"), "page_id").join(e, "chunk_id").select("page_id", "chunk_id", "content"))(*_work(s, d))
 )
 
+# ---- claims that expire: users' events as what is asked of the queue -----------------------------------------------------------
+
+_RULES = lease.Rules()
+
+
+def _lease_sql() -> str:
+    """One step an event and URL: a lease that has run out first, then the event; both may be changes."""
+    expired = "s.status = 'processing' and s.lease_until <= coalesce(e.us, 9000000000000000000)"
+    retries = f"(s.retries + case when {expired} then 1 else 0 end)"
+    status = f"case when {expired} then case when {retries} > {_RULES.most} then 'dead' else 'queued' end else s.status end"
+    due = f"case when {expired} then s.lease_until + {_RULES.backoff_us} * (1::bigint << (s.retries)) else s.due end"
+    mine = "t.status = 'processing' and t.worker = t.asks"
+    return f"""with recursive e as (
+            select 'https://u' || user_id::varchar || '.example.org/' as url, epoch_us(ts) as us, value,
+                case event_type when 'signup' then 'add' when 'purchase' then 'done' when 'error' then 'fail' else 'claim' end as kind,
+                case when value < 20 then 'b' else 'a' end as worker
+            from events),
+        n as (select *, row_number() over (partition by url order by us, kind, worker) as k from e),
+        last as (select url, max(k) as most from n group by url),
+        ends as (select url, us, kind, worker, k from n union all select url, null, null, null, most + 1 from last),
+        steps as (
+            select url, 0::bigint as k, null::varchar as status, 0 as retries, 0::bigint as due, 0::bigint as lease_until, null::varchar as worker,
+                null::struct(us bigint, status varchar, retries int, worker varchar) as one, null::struct(us bigint, status varchar, retries int, worker varchar) as two
+            from last
+            union all
+            select url, k,
+                case when added then 'queued' when claimed then 'processing' when done then 'completed' when failed and retries + 1 > {_RULES.most} then 'dead'
+                    when failed then 'queued' else status end,
+                retries + failed::int,
+                case when added then us when failed then us + {_RULES.backoff_us} * (1::bigint << retries) else due end,
+                case when claimed then us + {_RULES.lease_us} else lease_until end,
+                case when claimed then asks when failed then null else worker end,
+                one,
+                case when added then {{'us': us, 'status': 'queued', 'retries': 0, 'worker': null}}
+                    when claimed then {{'us': us, 'status': 'processing', 'retries': retries, 'worker': asks}}
+                    when done then {{'us': us, 'status': 'completed', 'retries': retries, 'worker': asks}}
+                    when failed then {{'us': us, 'status': case when retries + 1 > {_RULES.most} then 'dead' else 'queued' end, 'retries': retries + 1, 'worker': asks}} end
+            from (
+                select *, coalesce(kind = 'add' and status is null, false) as added, coalesce(kind = 'claim' and status = 'queued' and due <= us, false) as claimed,
+                    coalesce(kind = 'done' and {mine}, false) as done, coalesce(kind = 'fail' and {mine}, false) as failed
+                from (
+                    select s.url, e.k, e.us, e.kind, e.worker as asks, {status} as status, {retries} as retries, {due} as due, s.lease_until,
+                        case when {expired} then null else s.worker end as worker,
+                        case when {expired} then {{'us': s.lease_until, 'status': {status}, 'retries': {retries}, 'worker': s.worker}} end as one
+                    from steps s join ends e on e.url = s.url and e.k = s.k + 1) t) t)
+        select url, make_timestamp(c.us) as at, c.status as status, c.retries::int as retries, c.worker as worker
+        from (select url, unnest([one, two]) as c from steps) where c is not null"""
+
+
+@query("queue_leases", _lease_sql())
+def queue_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("claim")
+    url = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.org/"))
+    events = table(spark, sf_dir, "events").select(url.alias("url"), kind.alias("kind"), F.when(F.col("value") < 20, "b").otherwise("a").alias("worker"), F.col("ts").cast("timestamp").alias("at"))
+    return lease.replay(events, _RULES).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 # ---- vectors and ranking ---------------------------------------------------------------------------------------------------
 
 _COS = "list_cosine_similarity({a}::double[], {b}::double[])"
@@ -297,7 +354,17 @@ query(
     "page_embedding_mean",
     "with c as (select label, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, round(avg(x), 6) as x from c group by 1, 2) select label, list(x order by i) as vector from m group by 1",
 )(lambda s, d: vector.mean_by(table(s, d, "embeddings"), "label"))
-query("vector_ann")(lambda s, d: vector.approximate_top_k_each(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 20 = 0")))
+
+
+@query("vector_ann")
+def vector_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors are indexed, and every id divisible by 20 asks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    with Folder(spark, "vectors") as path:
+        ivf.build(vectors, path)
+        return cut(ivf.search(spark, path, vectors.where("vec_id % 20 = 0")))
+
+
 query("vector_clusters")(lambda s, d: vector.clusters(table(s, d, "embeddings"), 8))
 
 

@@ -7,6 +7,7 @@ import re
 import sqlite3
 import threading
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone import queries, schemas
 from siltstone.functions import text, urls
-from siltstone.operators import chunk, dedup, extract, queue, rank, search, stats, vector, worklist
+from siltstone.operators import chunk, dedup, extract, ivf, queue, rank, search, stats, vector, worklist
 from siltstone.plans import ingestion
 from siltstone.sources import fetch, landed
 
@@ -224,7 +225,7 @@ def test_vectors(spark, sf):
     assert [(r.vec_id, r.score) for r in vector.top_k(v, [2.0, 0.0], 3).collect()] == [(1, 1.0), (5, 1.0), (2, 0.6)]
     each = vector.top_k_each(v, v.where("vec_id in (1, 3, 4)"), 2).collect()
     assert sorted((r.query_id, r.vec_id, r.score) for r in each) == [(1, 2, 0.6), (1, 5, 1.0)]
-    small = vector.top_k_each(v, v, 2, query_bytes=16).collect()
+    small = vector.top_k_each(v, v, 2, query_bytes=16, vector_bytes=16).collect()
     assert sorted((r.query_id, r.vec_id) for r in small) == sorted((r.query_id, r.vec_id) for r in vector.top_k_each(v, v, 2).collect())
     assert vector.top_k_each(v, v.where("false")).collect() == []
     text_ = v.select(vector.to_json(F.col("embedding")).alias("j")).first().j
@@ -245,11 +246,41 @@ def test_recall_of_the_approximate_search(spark, d):
     assert len(near) == len(exact) and len(exact & near.keys()) / len(exact) >= 0.9
 
 
-def test_approximate_search_of_odd_rows(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.vec_id, r.score) for r in vector.approximate_top_k_each(v, v, 2, cells=2, probes=2).collect()}
+def test_a_quarter_of_the_lists_is_read(spark, tmp_path):
+    """Recall of at least 0.9 for single queries, each of which reads a quarter of the index's partitions at most."""
+    real = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    ivf.build(real, str(tmp_path))
+    hit = 0
+    for i in (0, 20, 40):
+        one = real.where(f"vec_id = {i}")
+        near = ivf.search(spark, str(tmp_path), one)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        asked = re.search(r"PartitionFilters: \[[^\]]*?cell#\d+ (?:IN \(|INSET )([\d, ]+)", plan)
+        assert len(asked[1].split(",")) <= ivf.CELLS // 4, plan
+        hit += len({r.vec_id for r in near.collect()} & {r.vec_id for r in vector.top_k_each(real, one).collect()})
+    assert hit >= 27
+
+
+def test_scores_by_codes_are_sums_of_table_entries():
+    rng = np.random.default_rng(2)
+    rows = ivf.unit(rng.normal(size=(400, 10)))
+    split = ivf.Model.split(rows, 4)
+    model = ivf.Model(ivf.means(rows, 5, True), np.stack([ivf.means(split[:, p], ivf.ENTRIES, False) for p in range(4)]))
+    codes, query = model.codes(rows), rows[7]
+    by_table = model.table(query)[np.arange(4), codes].sum(1)
+    assert np.allclose(by_table, model.decoded(codes) @ query) and np.abs(by_table - rows @ query).mean() < 0.05
+
+
+@pytest.mark.parametrize("rows", [200_000, 2])
+def test_approximate_search_of_odd_rows(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(ivf, "LIST_ROWS", rows)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", rows)
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, None), (5, [2.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    ivf.build(v, f"{tmp_path}/a", cells=2, copies=2)
+    got = {(r.query_id, r.vec_id, r.score) for r in ivf.search(spark, f"{tmp_path}/a", v, 2, probes=2).collect()}
     assert got == {(1, 5, 1.0), (1, 2, 0.6), (5, 1, 1.0), (5, 2, 0.6), (2, 1, 0.6), (2, 5, 0.6)}
-    assert vector.approximate_top_k_each(v.where("false"), v, 2).collect() == []
+    ivf.build(v.where("false"), f"{tmp_path}/b")
+    assert ivf.search(spark, f"{tmp_path}/b", v, 2).collect() == [] and ivf.search(spark, f"{tmp_path}/a", v.where("false"), 2).collect() == []
 
 
 def test_results_are_pages(spark):

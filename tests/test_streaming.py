@@ -1,9 +1,11 @@
 """Each stream, run over what is there, gives the batch result."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunk, extract, queue, stats, vector
+from siltstone.operators import chunk, extract, lease, queue, stats, vector
 from siltstone.schemas import pages_of
 from siltstone.sources import landed
 from siltstone.streaming import jobs
@@ -74,3 +76,59 @@ def test_polite(spark, sf, tmp_path):
     got = run(jobs.polite(stream(spark, base), "host", "ts", 86_400), "polite")
     want = queue.schedule(events, "host", "ts", "event_id", 86_400).select("host", (F.unix_micros("ts") + F.col("wait_us")).alias("start"))
     assert rows(got.select("host", F.unix_micros("start"))) == rows(want)
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def at(minutes):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+
+EVENT = "url string, kind string, worker string, at timestamp"
+RULES = lease.Rules(30 * 60_000_000, 10 * 60_000_000, 2)
+
+
+def lease_events():
+    """u1: a worker that never finishes, three times over; u2: done in time; u3: done too late, then again; u4: fails at once; u5: others ask."""
+    rows = [("u1", "add", None, 0)] + [("u1", "claim", "lazy", t) for t in (1, 20, 35, 45, 100, 105, 300)]
+    rows += [("u2", "add", None, 2), ("u2", "claim", "a", 3), ("u2", "add", None, 4), ("u2", "done", "a", 32), ("u2", "claim", "a", 40)]
+    rows += [("u3", "claim", "a", 1), ("u3", "add", None, 5), ("u3", "claim", "a", 5), ("u3", "done", "a", 35), ("u3", "claim", "b", 60), ("u3", "done", "a", 61), ("u3", "done", "b", 62)]
+    rows += [("u4", "add", None, 0)] + [x for t in (1, 12, 50) for x in (("u4", "claim", "c", t), ("u4", "fail", "c", t + 1))]
+    rows += [("u5", "add", None, 0), ("u5", "claim", "a", 2), ("u5", "fail", "b", 3), ("u5", "done", None, 3), (None, "add", None, 1), ("u6", "none", "a", 3), ("u6", None, "a", 3)]
+    return sorted(rows, key=lambda r: r[3])
+
+
+def test_leases_equal_a_replay(spark, tmp_path, rocks):
+    events = lease_events() + [("far", "add", None, 10_000)]
+    for k in range(0, len(events), 4):
+        spark.createDataFrame([(*r[:3], at(r[3])) for r in events[k : k + 4]], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = jobs.leases(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), RULES, "1 minute").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        if k % 8 or k + 4 >= len(events):  # several files at times, and each start goes on where the last one stopped
+            q.trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.parquet(f"{tmp_path}/out"))
+    want = rows(lease.replay(spark.createDataFrame([(*r[:3], at(r[3])) for r in events], EVENT).repartition(3), RULES))
+    assert got == want
+    ends = {}
+    for r in sorted(got, key=lambda r: r[1]):
+        ends[r[0]] = r[2:]
+    assert ends == {"u1": ("dead", 3, "lazy"), "u2": ("completed", 0, "a"), "u3": ("completed", 1, "b"), "u4": ("dead", 3, "c"), "u5": ("queued", 1, "a"), "far": ("queued", 0, None)}
+    assert [(r[1].minute + 60 * r[1].hour, r[2]) for r in got if r[0] == "u1"] == [(0, "queued"), (1, "processing"), (31, "queued"), (45, "processing"), (75, "queued"), (100, "processing"), (130, "dead")]
+
+
+def test_late_and_missing_chunks(spark, tmp_path):
+    """Page 1 has a chunk in time, 2 none, 3 one that comes too late, 4 one of an older time, 5 no content, 6 two; 99 moves the time on."""
+    pages = [(1, "x", 0), (2, "x", 1), (3, "x", 2), (4, "x", 5), (5, "", 5), (6, "x", 6), (7, None, 6), (99, "x", 5000), (100, "x", 9000)]
+    chunks = [(1, 50), (3, 90), (4, 1), (6, 7), (6, 8), (99, 5001), (100, 9001)]
+    spark.createDataFrame([(i, c, at(t)) for i, c, t in pages], "id long, content string, crawl_time timestamp").repartitionByRange(3, "crawl_time").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([(i, at(t)) for i, t in chunks], "page_id long, created_at timestamp").repartitionByRange(3, "created_at").write.parquet(f"{tmp_path}/chunks")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    found = jobs.pages_without_chunks(read("pages", "id long, content string, crawl_time timestamp"), read("chunks", "page_id long, created_at timestamp"))
+    assert sorted(r.id for r in run(found, "waiting").collect()) == [2, 3, 4]
+    own = read("pages", "id long, content string, crawl_time timestamp").select("id", F.col("content").alias("chunk_text"), F.col("crawl_time").alias("created_at"))
+    have = read("chunks", "page_id long, created_at timestamp").select(F.col("page_id").alias("chunk_id"), F.col("created_at").alias("embedded_at"))
+    assert sorted(r.id for r in run(jobs.chunks_without_vectors(own, have), "waiting_chunks").collect()) == [2, 3, 4]
