@@ -40,3 +40,14 @@ def host_share(pages: DataFrame, host: str) -> DataFrame:
     """Each host's pages as a share of the largest host's."""
     counts = pages.groupBy(host).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(counts.agg(F.max("n").alias("most"))), how="cross").select(host, (F.col("n") / F.col("most")).alias("domain_score"))
+
+
+def freshness(crawled: Column, now: Column, half_life_days: float = 30.0) -> Column:
+    """1 for what was crawled now, half of that for each half-life of age; 0 without a time, 1 for a later one."""
+    days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(crawled.cast("timestamp"))) / F.lit(86_400_000_000.0)
+    return F.when(days.isNull(), 0.0).otherwise(F.least(F.pow(F.lit(0.5), days / F.lit(float(half_life_days))), F.lit(1.0)))
+
+
+def relative(value: Column, most: Column) -> Column:
+    """A value as a share of the largest; 0 without one."""
+    return F.coalesce(value / F.nullif(most, F.lit(0)), F.lit(0.0))

@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,16 +29,21 @@ from siltstone.operators import search
 from siltstone.operators.state import cut
 
 BLOCK, SLOTS = 1 << 14, 32
-#: Characters of text that are turned into trigrams at a time, one longer text excepted.
-SLICE_CHARS = 1_000_000
+#: Postings that a task gathers before it makes lists of them; one text's are never parted.
+SLICE_CHARS = 2_000_000
 #: Up to so many blocks with candidates are named in the pages' scan; beyond, pages are read whole and joined.
 NAMED_BLOCKS = 1000
 POSTINGS = "trigram long, block long, ids binary"
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Ascending non-negative numbers as differences of 7 bits a byte, the lowest first; the eighth bit says that more follow."""
-    gaps = np.diff(numbers, prepend=0).astype(np.uint64)
+def pack(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of ascending non-negative numbers, end to end, to one binary value each.
+
+    A number is its difference to the one before in its list, 7 bits a byte, the lowest first; the eighth bit says that more follow.
+    """
+    gaps = np.diff(numbers, prepend=0)
+    gaps[starts] = numbers[starts]
+    gaps = gaps.astype(np.uint64)
     size = np.ones(len(gaps), np.int64)
     for k in range(1, 10):
         size += gaps >= np.uint64(1 << (7 * k))
@@ -46,16 +52,24 @@ def pack(numbers: np.ndarray) -> bytes:
     for k in range(int(size.max(initial=0))):
         own = np.flatnonzero(size > k)
         out[ends[own] - size[own] + k] = ((gaps[own] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
-    return out.tobytes()
+    bounds = np.append((ends - size)[starts], len(out))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpack(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of binary values, and which value each is of."""
+    lists = lists.cast(pa.large_binary())
+    bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int64)
+    raw = np.frombuffer(lists.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.concatenate([[0], np.flatnonzero(raw < 128)[:-1] + 1])
     shift = 7 * (np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))))
-    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << shift, first))
+    gaps = np.add.reduceat((raw & 127).astype(np.int64) << shift, first)
+    owner = np.searchsorted(bounds - bounds[0], first, "right") - 1
+    total = np.cumsum(gaps)
+    at = np.flatnonzero(np.diff(owner, prepend=-1))
+    return total - np.repeat(total[at] - gaps[at], np.diff(np.append(at, len(owner)))), owner
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -90,9 +104,7 @@ def _posted(trigram: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
     new = np.ones(len(ids), bool)
     new[1:] = (trigram[1:] != trigram[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(new)
-    edges = np.append(at, len(ids)).tolist()
-    inside = ids - own * block
-    return pa.record_batch([pa.array(trigram[at]), pa.array(own[at]), pa.array([pack(inside[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())], names=["trigram", "block", "ids"])
+    return pa.record_batch([pa.array(trigram[at]), pa.array(own[at]), pack(ids - own * block, at)], names=["trigram", "block", "ids"])
 
 
 def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
@@ -103,7 +115,8 @@ def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFr
         held = 0
         for batch in batches:
             for i, *fields in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "content"))):
-                own = np.unique(np.concatenate([trigrams(x) for x in fields if x] or [np.zeros(0, np.int64)]))
+                own = np.sort(np.concatenate([trigrams(x) for x in fields if x] or [np.zeros(0, np.int64)]))
+                own = own[np.diff(own, prepend=-1) != 0]
                 found.append((own, np.full(len(own), i)))
                 held += len(own)
                 if held >= SLICE_CHARS:
@@ -114,8 +127,15 @@ def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFr
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [x[0] if len(x) == 1 else pack(np.unique(np.concatenate([unpack(y) for y in x]))) for x in batch.column("lists").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in ("trigram", "block")), pa.array(lists, pa.binary())], names=["trigram", "block", "ids"])
+            lists = batch.column("lists")
+            numbers, value = unpack(lists.flatten())
+            owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))[value]
+            order = np.lexsort((numbers, owner))
+            numbers, owner = numbers[order], owner[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (numbers[1:] != numbers[:-1])  # rows that repeat
+            numbers, owner = numbers[new], owner[new]
+            yield pa.record_batch([*(batch.column(c) for c in ("trigram", "block")), pack(numbers, np.flatnonzero(np.diff(owner, prepend=-1)))], names=["trigram", "block", "ids"])
 
     own = pages.where("id >= 0").select(F.col("id").cast("long"), ascii_lower(F.col("title")).alias("title"), ascii_lower(F.col("content")).alias("content"))
     lists = own.mapInArrow(post, POSTINGS).groupBy("trigram", "block").agg(F.collect_list("ids").alias("lists")).mapInArrow(join, POSTINGS)
@@ -147,16 +167,13 @@ def candidates(spark: SparkSession, path: str, wanted: dict[str, list[int]]) ->
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 query, own, ids = [], [], []
-                for q, b, lists in zip(*(part.column(c).to_pylist() for c in ("query", "block", "lists"))):
-                    lists = sorted(lists, key=len)
-                    left = unpack(lists[0])
-                    for x in lists[1:]:
-                        if not len(left):
-                            break
-                        left = np.intersect1d(left, unpack(x), assume_unique=True)
-                    query.append(np.repeat(q, len(left)))
-                    own.append(np.full(len(left), b))
-                    ids.append(left + b * block)
+                for q, b, lists in zip(*(part.column(c) for c in ("query", "block", "lists"))):
+                    numbers, _ = unpack(lists.values)
+                    numbers, times = np.unique(numbers, return_counts=True)
+                    left = numbers[times == len(lists)]  # in every list
+                    query.append(np.repeat(q.as_py(), len(left)))
+                    own.append(np.full(len(left), b.as_py()))
+                    ids.append(left + b.as_py() * block)
                 yield pa.record_batch([pa.array(np.concatenate(query).tolist(), pa.string()), pa.array(np.concatenate(own)), pa.array(np.concatenate(ids))], names=["query", "block", "id"])
 
     return whole.select("query", "block", "lists").mapInArrow(meet, "query string, block long, id long")

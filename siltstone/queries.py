@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, urls
-from siltstone.operators import chunk, dedup, extract, ivf, lease, queue, rank, search, stats, trigram, vector, worklist
+from siltstone.operators import chunk, dedup, extract, ivf, lease, links, queue, rank, robots, search, stats, trigram, vector, worklist
 from siltstone.operators.state import Folder, cut
 from siltstone.plans import ingestion
 from siltstone.schemas import PAGES_SQL, QUEUE_SQL, pages_of, queue_of, table
@@ -402,16 +402,53 @@ query(
     "rank_basic",
     f"with {_VECTOR}, {_HOSTS} select doc_id, round(0.6::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.1::double * least(length(text) / 500.0::double, 1.0::double) + 0.1::double * domain_score, 6) as score from documents left join vec on vec_id = doc_id join hosts using (source) order by 2 desc, 1 limit 20",
 )(lambda s, d: _factors(s, d).select("doc_id", F.round(rank.basic(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), rank.length_factor(F.col("text")), F.col("domain_score")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20))
+# A link graph of the tables: a part's page links to the supplier's of each order line, and that to the part's of the order's next line.
+_NODES = "select 'p' || p_partkey::varchar as node from part union all select 's' || s_suppkey::varchar from supplier"
+_LINES = "select *, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as next_part from lineitem"
+_EDGES = f"""select 'p' || l_partkey::varchar as source, 's' || l_suppkey::varchar as target from lineitem
+    union select 's' || l_suppkey::varchar, 'p' || next_part::varchar from ({_LINES}) where next_part is not null"""
+
+
+def _authority(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nodes = table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("node")).unionAll(table(spark, sf_dir, "supplier").select(name("s", "s_suppkey")))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.lead("l_partkey").over(order).alias("next_part"))
+    edges = lines.select(name("p", "l_partkey").alias("source"), name("s", "l_suppkey").alias("target")).unionAll(lines.where("next_part is not null").select(name("s", "l_suppkey"), name("p", "next_part")))
+    return links.authority(nodes, edges.distinct(), rounds, tolerance=0)
+
+
+query("link_authority", f"with {links.authority_sql(_NODES, _EDGES, 6)} select node, mass from authority")(lambda s, d: _authority(s, d, 6))
+_HREFS = """select url, unnest(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)) as href from pages"""
+query(
+    "page_links",
+    # the tables' links are either from the root of the site, beside the page, or absolute
+    f"""with h as (select url, regexp_replace(href, '^["'']|["'']$', '', 'g') as href from ({_HREFS})), p as (
+        select url, href, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder from h)
+    select distinct url, target from (
+        select url, regexp_replace(case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then site || href else site || coalesce(nullif(folder, ''), '/') || href end, '#.*$', '') as target from p)
+    where target <> url""",
+)(lambda s, d: links.links(table(s, d, "pages")))
+
+# A document was crawled when the event of its number was, and its page has the authority of the part of its number.
 query(
     "rank_extended",
-    f"with {_VECTOR}, {_HOSTS} select doc_id, round(0.4::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.15::double * domain_score + 0.15::double * ((doc_id % 30) / 30.0::double) + 0.1::double * coalesce(quality, 0), 6) as score from documents left join vec on vec_id = doc_id join hosts using (source) left join labels using (doc_id) order by 2 desc, 1 limit 20",
-)(
-    lambda s, d: _factors(s, d)
-    .join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    .select("doc_id", F.round(rank.extended(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), F.col("domain_score"), F.pmod("doc_id", F.lit(30)) / F.lit(30.0), F.coalesce("quality", F.lit(0))), 6).alias("score"))
-    .orderBy(F.desc("score"), "doc_id")
-    .limit(20)
-)
+    f"""with {_VECTOR}, {links.authority_sql(_NODES, _EDGES, 3)}, au as (select node, mass::double / (select max(mass) from authority) as a from authority),
+        fresh as (select event_id, least(pow(0.5::double, (epoch_us((select max(ts) from events)) - epoch_us(ts)) / 86400000000.0::double / 30.0::double), 1.0::double) as f from events)
+    select doc_id, round(0.4::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.15::double * coalesce(a, 0) + 0.15::double * coalesce(f, 0) + 0.1::double * coalesce(quality, 0), 6) as score
+    from documents left join vec on vec_id = doc_id left join au on node = 'p' || doc_id::varchar left join fresh on event_id = doc_id left join labels using (doc_id) order by 2 desc, 1 limit 20""",
+)(lambda s, d: _rank_extended(s, d))
+
+
+def _rank_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mass, events = _authority(spark, sf_dir, 3), table(spark, sf_dir, "events")
+    one = F.broadcast(mass.agg(F.max("mass").alias("most")).crossJoin(events.agg(F.max("ts").alias("now"))))  # a single row
+    rows = _factors(spark, sf_dir).withColumn("node", F.concat(F.lit("p"), F.col("doc_id").cast("string")))
+    rows = rows.join(mass, "node", "left").join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").crossJoin(one)
+    score = rank.extended(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), rank.relative(F.col("mass"), F.col("most")), rank.freshness(F.col("ts"), F.col("now")), F.coalesce("quality", F.lit(0)))
+    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 query(
     "hybrid_search",
     f"with {_VECTOR}, h as (select doc_id, substring(text, 1, 200) as snippet, {_KEYWORD} as k from documents) select doc_id, snippet, round(0.7::double * coalesce(v, 0) + 0.3::double * k, 6) as score from h left join vec on vec_id = doc_id where k > 0 or v > 0.2 order by 3 desc, 1 limit 20",
@@ -482,6 +519,50 @@ query("change_detection", "select event_id, previous, event_type from (select *,
 _ROBOTS = {"/": True, "/en": False, "/en/6": True}  # prefix: whether it may be fetched; the same for every host
 
 
+# Each host's robots.txt, made of what its pages are called: groups of several agents, wildcards, ends, comments, longer rules that allow.
+_SITE_PATH = "'^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)'"
+_SITE_HOST = "'^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)'"
+_ROBOTS_LINES = [
+    "'# ' || host", "'User-agent: other-bot'", "'Disallow: /'", "''", "'USER-AGENT : *  # all'", "'Disallow: ' || substring(low, 1, 4)", "'Allow: ' || high || '$'", "'Disallow:'", "'Disallow: /*?page='",
+    "case when length(host) % 2 = 0 then 'User-agent: siltstone/1.0' else 'Sitemap: /map' end", "'User-agent: third'", "'disallow: /*' || right(low, 1) || '$'", "'Allow: /*/' || substring(high, 5, 2)", "'Disallow: ' || high", "'Crawl-delay: 2'",
+    "'User-agent: *'", "'Disallow: /de/*5'", "'no rule'",
+]
+_ROBOTS_TEXT = " || chr(10) || ".join(_ROBOTS_LINES)
+_SITES = f"""(select page_id, url, regexp_extract(url, {_SITE_HOST}, 1) as host,
+    case when starts_with(regexp_extract(url, {_SITE_PATH}, 1), '/') then regexp_extract(url, {_SITE_PATH}, 1) else '/' || regexp_extract(url, {_SITE_PATH}, 1) end as path from pages)"""
+
+
+@query(
+    "robots_txt",
+    f"""with sites as {_SITES}, texts as (select host, {_ROBOTS_TEXT} as text from (select host, min(path) as low, max(path) as high from sites group by 1)),
+    lines as (select host, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as line from texts),
+    parts as (
+        select host, k, lower(trim(split_part(split_part(line, '#', 1), ':', 1))) as key, trim(substring(split_part(line, '#', 1), instr(split_part(line, '#', 1), ':') + 1)) as value
+        from lines where contains(split_part(line, '#', 1), ':')),
+    known as (select * from parts where key in ('user-agent', 'allow', 'disallow')),
+    opened as (select *, key = 'user-agent' and coalesce(lag(key) over (partition by host order by k), '') <> 'user-agent' as opens from known),
+    numbered as (select *, sum(opens::int) over (partition by host order by k) as number from opened),
+    agents as (select host, number, lower(regexp_extract(value, '^([A-Za-z_-]+|[*])', 1)) as agent from numbered where key = 'user-agent'),
+    named as (select host, max((agent = 'siltstone')::int) as own from agents group by 1),
+    rules as (
+        select distinct host, value as pattern, key = 'allow' as allow
+        from numbered join agents using (host, number) join named using (host)
+        where key <> 'user-agent' and value <> '' and agent = case when own = 1 then 'siltstone' else '*' end),
+    tests as (
+        select *, '^' || replace(regexp_escape(case when ends_with(pattern, '$') then left(pattern, length(pattern) - 1) else pattern end), '\\*', '.*')
+            || case when ends_with(pattern, '$') then '$' else '' end as test
+        from rules),
+    verdicts as (
+        select host, path, arg_max(allow, length(pattern) * 2 + allow::int) as allow
+        from (select distinct host, path from sites) join tests using (host) where regexp_matches(path, test) group by 1, 2)
+    select page_id, host, path from sites left join verdicts using (host, path) where coalesce(allow, true) or path = '/robots.txt'""",
+)
+def robots_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host"), robots.path_of(F.col("url")).alias("path"))
+    texts = pages.groupBy("host").agg(F.min("path").alias("low"), F.max("path").alias("high")).selectExpr("host", f"{_ROBOTS_TEXT} as text")
+    return robots.allowed(pages, robots.parsed(texts, "siltstone"))
+
+
 @query("robots_filter", f"with {_LINKS} select page_id, k::int as k from links where not regexp_matches(url, '^[a-z]+://[^/?#]+/en') or regexp_matches(url, '^[a-z]+://[^/?#]+/en/6')")
 def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir).select("page_id", "k", urls.host(F.col("url")).alias("h"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))

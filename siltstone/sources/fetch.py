@@ -7,6 +7,7 @@ requests are sent again. When a request may be sent is decided before: `operator
 from __future__ import annotations
 
 import http.client
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -24,24 +25,43 @@ AGENT = "siltstone/1"
 
 @dataclass(frozen=True)
 class Policy:
-    """How long one read may take, and which statuses' bodies are kept (of redirects, that of where they end)."""
+    """How long one read may take, which statuses' bodies are kept (of redirects, that of where they end), and how long and large a body may be.
+
+    A body is read in pieces; one that is larger than most_bytes or takes longer than whole_s is refused, so that no answer
+    holds or fills a task.
+    """
 
     timeout_s: float
     keeps: Callable[[int], bool]
+    most_bytes: int = 32 << 20
+    whole_s: float = 120
 
 
-ONLY_OK = Policy(30, lambda status: status == 200)
-NO_ERRORS = Policy(10, lambda status: status < 400)
-ANY_STATUS = Policy(10, lambda status: True)
+def _ok(status: int) -> bool:
+    return status == 200
 
 
-def body(url: str | None, policy: Policy) -> str:
-    """The body as text, by the charset that the answer names, else UTF-8, with U+FFFD for what is not; '' on any failure.
+def _no_error(status: int) -> bool:
+    return status < 400
+
+
+def _any(status: int) -> bool:  # noqa: ARG001
+    return True
+
+
+ONLY_OK, NO_ERRORS, ANY_STATUS = Policy(30, _ok), Policy(10, _no_error), Policy(10, _any)
+PIECE = 1 << 16
+OUTCOMES = ["ok", "no url", "status", "too large", "too slow", "failed"]
+
+
+def answered(url: str | None, policy: Policy) -> tuple[str, str]:
+    """The body as text, by the charset that the answer names, else UTF-8, with U+FFFD for what is not, and one of OUTCOMES; '' unless ok.
 
     Only http and https are fetched: a URL never reads a file of the executor.
     """
     if not (url or "").startswith(("http://", "https://")):
-        return ""
+        return "", "no url"
+    until = time.monotonic() + policy.whole_s
     try:
         request = urllib.request.Request(url, headers={"User-Agent": AGENT})
         try:
@@ -50,10 +70,25 @@ def body(url: str | None, policy: Policy) -> str:
             answer = error
         with answer:
             if not policy.keeps(answer.status):
-                return ""
-            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+                return "", "status"
+            pieces, size = [], 0
+            while piece := answer.read1(PIECE):
+                pieces.append(piece)
+                size += len(piece)
+                if size > policy.most_bytes:
+                    return "", "too large"
+                if time.monotonic() > until:
+                    return "", "too slow"
+            if answer.length:  # fewer bytes than the answer said
+                return "", "failed"
+            return b"".join(pieces).decode(answer.headers.get_content_charset() or "utf-8", "replace"), "ok"
     except (OSError, http.client.HTTPException, ValueError, LookupError):
-        return ""
+        return "", "failed"
+
+
+def body(url: str | None, policy: Policy) -> str:
+    """The body alone; '' on any failure."""
+    return answered(url, policy)[0]
 
 
 def fetched(requests: DataFrame, policy: Policy = ONLY_OK, at_once: int = 8, fetch: Callable[[str | None, Policy], str] = body) -> DataFrame:
@@ -71,3 +106,9 @@ def fetched(requests: DataFrame, policy: Policy = ONLY_OK, at_once: int = 8, fet
                     yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(html, pa.string())], ["page_id", "url", "html"])
 
     return requests.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, RAW_PAGES)
+
+
+def fetched_with_outcome(requests: DataFrame, policy: Policy = ONLY_OK, at_once: int = 8) -> DataFrame:
+    """As `fetched`, with `outcome`: why an html is empty, one of OUTCOMES."""
+    told = fetched(requests, policy, at_once, lambda url, own: "\0".join(answered(url, own)[::-1]))
+    return told.select("page_id", "url", F.expr("substring(html, instr(html, char(0)) + 1)").alias("html"), F.substring_index("html", "\0", 1).alias("outcome"))

@@ -6,6 +6,7 @@ import json
 import re
 import sqlite3
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from siltstone import queries, schemas
 from siltstone.functions import text, urls
-from siltstone.operators import chunk, dedup, extract, ivf, queue, rank, search, stats, vector, worklist
+from siltstone.operators import chunk, dedup, extract, ivf, links, queue, rank, robots, search, stats, vector, worklist
 from siltstone.plans import ingestion
-from siltstone.sources import fetch, landed
+from siltstone.sources import fetch, landed, web
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
 
@@ -403,6 +404,132 @@ def test_fetched_pages(spark, tmp_path):
     assert fetch.fetched(asks.where("false")).count() == 0
 
 
+class _Endless(http.server.BaseHTTPRequestHandler):
+    """/slow and /large never end; /fine does; pages are numbered, and /newest tells how far they go."""
+
+    newest = 0
+    asked: list[str] = []
+
+    def do_GET(self):
+        self.asked.append(self.path)
+        self.send_response(200)
+        self.end_headers()
+        try:
+            for k in range(10**6):
+                if self.path == "/newest":
+                    self.wfile.write(str(self.newest).encode())
+                elif self.path in ("/slow", "/large"):
+                    self.wfile.write(b"x" * (1 if self.path == "/slow" else 100_000))
+                    time.sleep(0.05 if self.path == "/slow" else 0)
+                    continue
+                else:
+                    self.wfile.write(f"<title>{self.path}</title>".encode())
+                break
+        except OSError:
+            pass
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def endless():
+    site = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Endless)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{site.server_port}"
+    site.shutdown()
+    site.server_close()
+
+
+def test_answers_without_end_are_refused(spark, endless):
+    policy = fetch.Policy(5, fetch._any, most_bytes=1_000_000, whole_s=1)
+    asks = spark.createDataFrame([(1, f"{endless}/slow"), (2, f"{endless}/large"), (3, f"{endless}/fine"), (4, None), (5, "http://127.0.0.1:1/")], "page_id long, url string")
+    got = {r.page_id: (r.html, r.outcome) for r in fetch.fetched_with_outcome(asks, policy).collect()}
+    assert got == {1: ("", "too slow"), 2: ("", "too large"), 3: ("<title>/fine</title>", "ok"), 4: ("", "no url"), 5: ("", "failed")}
+
+
+def test_pages_of_the_web_as_a_source(spark, tmp_path, endless):
+    web.register(spark)
+    want = lambda *numbers: sorted((n, f"{endless}/p{n}", f"<title>/p{n}</title>") for n in numbers)
+    read = spark.read.format("web").option("template", f"{endless}/p{{}}").option("first", 3).option("last", 12).option("per_partition", 4).load()
+    assert read.rdd.getNumPartitions() == 3 and sorted(map(tuple, read.collect())) == want(*range(3, 13))
+    listed = spark.read.format("web").option("urls", json.dumps([f"{endless}/p0", "file:///etc/hosts", f"{endless}/p2"])).load()
+    assert [r.html for r in listed.orderBy("page_id").collect()] == ["<title>/p0</title>", "", "<title>/p2</title>"]
+
+    def go_on():
+        stream = spark.readStream.format("web").option("template", f"{endless}/p{{}}").option("newest", f"{endless}/newest").option("first", 1).option("per_partition", 3).load()
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, spark.read.schema(landed.RAW_PAGES).parquet(f"{tmp_path}/out").collect()))
+
+    for newest in (7, 7, 20):  # each start goes on where the last one stopped: every page once
+        _Endless.newest = newest
+        assert go_on() == want(*range(1, newest + 1))
+
+
+ROBOTS = {
+    "plain": "User-agent: *\nDisallow: /a\nAllow: /a/b\n",
+    "groups": "\ufeffuser-AGENT: x\r\nUser-agent: Siltstone/2 # us\r\nDisallow: /*.php$\r\nCrawl-delay: 5\r\nDisallow: /q?*=1\r\n\r\nUser-agent: *\r\nDisallow: /\r\nUser-agent: siltstone\nAllow: /x.php\nDisallow: /x",
+    "odd": "Disallow: /before\nnonsense\nUser-agent:\nDisallow: /\nUser-agent: *\nDisallow:\nDisallow: /$\nDisallow: /a*b*c\nAllow: /a*b*c$\nDisallow: *z\nDisallow: /e%20\nDisallow: /(.+)[\n",
+    "empty": "", "none": None,
+}
+PATHS = ["/", "/a", "/ab", "/a/b", "/a/bc", "/x", "/x.php", "/x.phpx", "/y.php", "/y.php?a", "/q?a=1", "/q?a=12", "/q", "/abc", "/aXbXc", "/aXbXcX", "/z", "/yz/", "/e%20x", "/e x", "/(.+)[a", "/before", "/robots.txt", ""]
+
+
+def by_every_rule(rules, path):
+    """Every rule tried, by a regular expression."""
+    hits = [(len(p), allow) for p, allow in rules if re.match("".join(".*" if c == "*" else re.escape(c) for c in p.removesuffix("$")) + (r"\Z" if p.endswith("$") else ""), path, re.DOTALL)]
+    return path == "/robots.txt" or max(hits, default=(0, True))[1]
+
+
+def test_robots(spark, monkeypatch):
+    monkeypatch.setattr(robots, "PIECE_PATHS", 5)
+    assert robots.rules_for(ROBOTS["groups"], "siltstone") == [("/*.php$", False), ("/q?*=1", False), ("/x", False), ("/x.php", True)]
+    assert robots.rules_for(ROBOTS["groups"], "other") == [("/", False)] and robots.rules_for("", "x") == [] and robots.rules_for(ROBOTS["odd"], "x")[0] == ("*z", False)
+    texts = spark.createDataFrame(list(ROBOTS.items()) + [(None, "User-agent: *\nDisallow: /")], "host string, text string")
+    asks = [(h, p, k) for h in [*ROBOTS, "unknown", None] for p in [*PATHS, None] for k in (1, 2)]
+    requests = spark.createDataFrame(asks, "host string, path string, n int").repartition(3)
+    got = sorted(((r.host, r.path, r.n) for r in robots.allowed(requests, robots.parsed(texts, "Siltstone")).collect()), key=repr)
+    rules = {h: robots.rules_for(t or "", "siltstone") for h, t in ROBOTS.items()}
+    assert got == sorted(((h, p, k) for h, p, k in asks if p is None or h not in rules or by_every_rule(rules[h], p)), key=repr)
+    assert 0 < len(got) < len(asks) - 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("/ab*$", min_size=1, max_size=5), st.booleans()), max_size=6), st.text("/ab\n", max_size=6))
+def test_a_trie_decides_as_every_rule_does(rules, path):
+    assert robots.Trie(rules).allows(path) == by_every_rule(rules, path)
+
+
+def test_links_of_pages(spark):
+    html = """<A HREF='/top'>x</a><a class=b href=rel>y</a><a href="http://o.example/p#f">z</a><a href=" ?q=1 ">q</a><a href="mailto:x@y">m</a><a name=n>n</a><a href="">e</a><a href="//h/x/../y">s</a><link href="/no"><a
+      href = "/top">again</a><a href="http://[bad">b</a>"""
+    pages = spark.createDataFrame([("https://s.example/d/e", html), ("u", None), (None, html), ("no base", '<a href="x">y</a>')], "url string, html string")
+    got = sorted(map(tuple, links.links(pages).collect()))
+    assert got == sorted(("https://s.example/d/e", t) for t in ("https://s.example/top", "https://s.example/d/rel", "http://o.example/p", "https://s.example/d/e?q=1", "https://h/x/../y"))
+
+
+def test_authority_is_the_stationary_share(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "a"), ("a", "a"), ("x", "a"), ("a", "y"), ("e", "f")]
+    nodes = spark.createDataFrame([(n,) for n in "abcdef"], "node string")
+    got = {r.node: r.mass / links.MASS for r in links.authority(nodes, spark.createDataFrame(edges, "source string, target string"), 12, 1e-9).collect()}
+    own = [(a, b) for a, b in edges if a != b and {a, b} <= set("abcdef")]
+    mass = dict.fromkeys("abcdef", 1 / 6)
+    for _ in range(12):
+        new = dict.fromkeys("abcdef", 0.0)
+        for a, b in own:
+            new[b] += 0.85 * mass[a] / sum(x == a for x, _ in own)
+        rest = (1 - sum(new.values())) / 6
+        mass = {n: v + rest for n, v in new.items()}
+    assert all(abs(got[n] - mass[n]) < 1e-6 for n in mass) and abs(sum(got.values()) - 1) < 1e-9
+    assert links.authority(nodes.where("false"), spark.createDataFrame(edges, "source string, target string")).collect() == []
+
+
+def test_freshness(spark):
+    rows = spark.sql("select * from values (timestamp'2024-01-31 00:00:00'), (timestamp'2024-01-01 00:00:00'), (null), (timestamp'2024-02-09 00:00:00') as t(at)")
+    got = [r[0] for r in rows.select(rank.freshness(F.col("at"), F.lit("2024-01-31").cast("timestamp"), 30)).collect()]
+    assert got == [1.0, 0.5, 0.0, 1.0]
+
+
 def test_ingestion_plan(spark, sf):
     raw = landed.raw_pages(spark, f"{sf}/pages.parquet")
     for extractor in ingestion.EXTRACTORS:
