@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import like
+from siltstone.operators.stats import counted
 
 
 def matching(pages: DataFrame, query: str, literal: bool = False) -> DataFrame:
@@ -14,9 +15,9 @@ def matching(pages: DataFrame, query: str, literal: bool = False) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, limit: int = 10, literal: bool = False) -> DataFrame:
-    """The first hits by id, with 500 characters of content."""
-    hits = matching(pages, query, literal).orderBy("id")
-    hits = hits.limit(limit) if limit >= 0 else hits
+    """The first hits by id, with 500 characters of content; with a negative limit all of them, in no order."""
+    hits = matching(pages, query, literal)
+    hits = hits.orderBy("id").limit(limit) if limit >= 0 else hits
     return hits.select("id", "url", "title", F.substring("content", 1, 500).alias("content"), F.col("content_hash").alias("hash"))
 
 
@@ -31,6 +32,15 @@ def log_entry(hits: DataFrame, query: str) -> DataFrame:
     return hits.agg(F.count("*").cast("int").alias("results_count")).select(F.lit(query).alias("query"), "results_count", F.current_timestamp().alias("timestamp"))
 
 
+def logged(hits: DataFrame, query: str, path: str, log: str) -> DataFrame:
+    """Writes the hits to `path` and appends their number to the search log, counted while they are written; returns the log's new row."""
+    seen, observation = counted(hits)
+    seen.write.mode("overwrite").parquet(path)
+    entry = hits.sparkSession.createDataFrame([(query, observation.get["n"])], "query string, results_count int").withColumn("timestamp", F.current_timestamp())
+    entry.coalesce(1).write.mode("append").parquet(log)
+    return entry
+
+
 def paginated(pages: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
     return pages.orderBy("id").offset(skip).limit(limit)
 

@@ -108,6 +108,14 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.log_entry(search.search(stored(spark, sf_dir), "The"), "The").drop("timestamp")
 
 
+@query("search_logged", f"with {PAGES_SQL} select 'The' as query, count(*)::int as results_count from stored where translate(title, '{text.UPPER}', '{text.LOWER}') like '%the%' or translate(content, '{text.UPPER}', '{text.LOWER}') like '%the%'")
+def search_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits are written, and counted while they are."""
+    with Folder(spark, "search") as path:
+        search.logged(search.search(stored(spark, sf_dir), "The", -1), "The", f"{path}/hits", f"{path}/log")
+        return cut(spark.read.parquet(f"{path}/log").select("query", "results_count"))
+
+
 # ---- statistics and URLs -------------------------------------------------------------------------------------------------
 
 
@@ -156,17 +164,25 @@ _BODIES = [
 ]
 _HAND_MADE = [(k, f"http://h/{k}", f"<html><head><title> A &amp; {k} </title>{'<meta name=\"description\" content=\"What &lt;it&gt; is\">' if k % 2 else ''}</head><body>{b}</body></html>") for k, b in enumerate(_BODIES)]
 _HAND_MADE += [(100, "http://h/100", ""), (101, "http://h/101", "<p>no body, no title</p>"), (102, "http://h/102", f"<TITLE></TITLE><BODY class='content'>{_KEEP} and no end"), (103, "http://h/103", None)]
-_HAND_MADE_SQL = "pages(page_id, url, html) as (values " + ", ".join(f"({k}::bigint, '{u}', {'null' if h is None else extract._quote(h)})" for k, u, h in _HAND_MADE) + ")"
+_HAND_MADE = [(k, None if h is None else h.replace("Enough words to stay in here.", "@")) for k, (_, _, h) in enumerate(_HAND_MADE)]
+_FIRST_WORDS = "replace(regexp_extract(html, '<p>([^<>]*)', 1), '@', '')"
+#: Each page's first paragraph in the container that its number picks.
+_LAID_SQL = f"""hand(k, body) as (values {", ".join(f"({k}, {'null' if h is None else extract._quote(h)})" for k, h in _HAND_MADE)}),
+    laid as (select page_id, url, replace(body, '@', {_FIRST_WORDS} || ' and enough words to stay in here.') as html from pages join hand on k = page_id % {len(_HAND_MADE)})"""
 
 
-def _hand_made(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_HAND_MADE, "page_id long, url string, html string")
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hand = F.broadcast(spark.createDataFrame(_HAND_MADE, "k int, body string"))  # the containers above
+    rows = table(spark, sf_dir, "pages").withColumn("k", (F.col("page_id") % len(_HAND_MADE)).cast("int")).join(hand, "k")
+    return rows.select("page_id", "url", F.replace("body", F.lit("@"), F.expr(f"{_FIRST_WORDS} || ' and enough words to stay in here.'")).alias("html"))
 
 
 _EXTRACTORS = (("extract_lightweight", extract.lightweight), ("extract_minimal", extract.minimal), ("extract_worker", extract.worker), ("extract_body", extract.body_text), ("extract_direct", extract.direct))
 for _name, _f in _EXTRACTORS[:2]:
-    query(f"{_name}_containers", f"with {_HAND_MADE_SQL}, {extract.SQL[_name].removeprefix('with ')} where page_id not in (100, 103) union all select page_id, {repr('Failed to fetch' if _f is extract.lightweight else 'Failed')}, '', '', 0 from pages where page_id in (100, 103)")(
-        lambda s, d, f=_f: f(_hand_made(s))
+    _own = extract.SQL[_name].removeprefix("with ").replace(" from pages", " from laid")
+    _failed = repr("Failed to fetch" if _f is extract.lightweight else "Failed")
+    query(f"{_name}_containers", f"with {_LAID_SQL}, {_own} where page_id in (select page_id from laid where html <> '') union all select page_id, {_failed}, '', '', 0 from laid where coalesce(html, '') = ''")(
+        lambda s, d, f=_f: f(_laid(s, d))
     )
 for _name, _f in _EXTRACTORS:
     query(_name, extract.SQL[_name])(lambda s, d, f=_f: f(table(s, d, "pages")))
@@ -509,6 +525,29 @@ query("failed_searches", "select user_id as query, count(*) as searches, count(*
     lambda s, d: stats.failed(table(s, d, "events").select(F.col("user_id").alias("query"), F.when(F.col("value") < 5, 0).otherwise(1).alias("results_count")))
 )
 query("trend_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")(lambda s, d: stats.trend(table(s, d, "events"), "ts", "event_type"))
+# Windows of a day that begin every six hours; earlier ones are those that begin one to seven days before.
+_PANE, _PANES, _EARLIER, _N_EARLIER = 21_600, 4, (7 * 86_400, 86_400), 25
+query(
+    "trend_bursts",
+    f"""with panes as (select (epoch_us(ts) // 1000000 // {_PANE}) * {_PANE} as pane, user_id as key, count(*) as n from events group by all),
+    counts as (select pane - k * {_PANE} as start, key, sum(n)::bigint as n from panes cross join (select unnest(range({_PANES})) as k) group by all),
+    scored as (
+        select start, key, n, coalesce(sum(n) over (partition by key order by start range between {_EARLIER[0]} preceding and {_EARLIER[1]} preceding), 0)::double / {_N_EARLIER} as expected
+        from counts)
+    select make_timestamp(start * 1000000) as start, key, n, round(expected, 6) as expected, round((n - expected) / sqrt(expected + 1), 6) as score from scored""",
+)(
+    lambda s, d: stats.bursts(stats.sliding(stats.sketches(table(s, d, "events"), "ts", "user_id", f"{_PANE} seconds"), _PANE, _PANES), _EARLIER, _N_EARLIER).select(
+        F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("expected", 6).alias("expected"), F.round("score", 6).alias("score")
+    )
+)
+query(
+    "trend_sessions",
+    """with g as (select user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) >= 21600000000, true) as opens from events),
+    n as (select user_id, ts, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) as n from n group by user_id, k""",
+)(
+    lambda s, d: stats.sessions(table(s, d, "events"), "ts", "user_id", "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+)
 query("recent_logs", "select event_id, event_type, ts from events order by ts desc, event_id desc limit 200")(lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "event_type", "ts"))
 query("domain_limit", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents) where n <= 5")(lambda s, d: dedup.domain_limit(table(s, d, "documents"), "source", ["doc_id"], 5).select("doc_id", "source"))
 query("change_detection", "select event_id, previous, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as previous from events) where previous is not null and previous <> event_type")(

@@ -1,14 +1,16 @@
 """Each stream, run over what is there, gives the batch result."""
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunk, extract, lease, queue, stats, vector
 from siltstone.schemas import pages_of
 from siltstone.sources import landed
-from siltstone.streaming import jobs
+from siltstone.streaming import jobs, metrics
 
 
 def run(df, name, mode="append"):
@@ -132,3 +134,23 @@ def test_late_and_missing_chunks(spark, tmp_path):
     own = read("pages", "id long, content string, crawl_time timestamp").select("id", F.col("content").alias("chunk_text"), F.col("crawl_time").alias("created_at"))
     have = read("chunks", "page_id long, created_at timestamp").select(F.col("page_id").alias("chunk_id"), F.col("created_at").alias("embedded_at"))
     assert sorted(r.id for r in run(jobs.chunks_without_vectors(own, have), "waiting_chunks").collect()) == [2, 3, 4]
+
+
+def test_metrics_of_a_stream(spark, landing, tmp_path):
+    sink = metrics.MetricSink(spark, str(tmp_path / "metrics"))
+    spark.streams.addListener(sink)
+    try:
+        found = metrics.observed(stream(spark, f"{landing}/events"), "events", rows=F.count(F.lit(1)), errors=F.count_if(F.col("event_type") == "error"))
+        run(found.groupBy("event_type").count(), "observed", "complete")
+        want = spark.read.parquet(f"{landing}/events")
+        for _ in range(100):  # the listener is told after the batch
+            try:
+                got = {r.metric: (r.n, r.batches) for r in spark.read.parquet(str(tmp_path / "metrics")).groupBy("metric").agg(F.sum("value").alias("n"), F.count_distinct("batch").alias("batches")).collect()}
+            except AnalysisException:
+                got = {}
+            if got.get("rows", (0,))[0] == want.count():
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(sink)
+    assert got == {"rows": (want.count(), 3), "errors": (want.where("event_type = 'error'").count(), 3)}
