@@ -33,6 +33,17 @@ def like(c: Column, query: str, literal: bool = False) -> Column:
     return ascii_lower(c).like(f"%{pattern}%")
 
 
+def like_pattern(query: str, literal: bool = False) -> str:
+    """A Java pattern that is found in a text just where `like` holds, ASCII case ignored, without a lower-case copy of the text.
+
+    Wildcards part the query into runs, and each run's first place after the one before is the right one to take: atomic
+    groups never look for another, so the search is linear.
+    """
+    quote = lambda run: "".join("." if c == "_" and not literal else c if c.isalnum() or ord(c) > 127 else f"\\{c}" for c in run)
+    runs = [r for r in ([query] if literal else query.split("%")) if r]
+    return "(?is)" + (quote(runs[0]) if len(runs) == 1 else "".join(["\\A", *(f"(?>.*?{quote(r)})" for r in runs)]))
+
+
 def word_count(c: Column) -> Column:
     """Words between white space."""
     return F.size(F.filter(F.split(c, f"{WS}+"), lambda w: w != "")).cast("long")

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.functions.text import LOWER, UPPER, ascii_lower, like
-from siltstone.operators import search
+from siltstone.functions.text import LOWER, UPPER, like_pattern
 from siltstone.operators.state import cut
 
 BLOCK, SLOTS = 1 << 14, 32
@@ -73,8 +72,9 @@ def unpack(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Each three neighbouring characters as one number of 63 bits."""
+    """Each three neighbouring characters, ASCII-lowered, as one number of 63 bits."""
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    points += np.where((points >= 65) & (points <= 90), 32, 0)
     return points[:-2] << 42 | points[1:-1] << 21 | points[2:] if len(points) > 2 else np.zeros(0, np.int64)
 
 
@@ -137,7 +137,7 @@ def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFr
             numbers, owner = numbers[new], owner[new]
             yield pa.record_batch([*(batch.column(c) for c in ("trigram", "block")), pack(numbers, np.flatnonzero(np.diff(owner, prepend=-1)))], names=["trigram", "block", "ids"])
 
-    own = pages.where("id >= 0").select(F.col("id").cast("long"), ascii_lower(F.col("title")).alias("title"), ascii_lower(F.col("content")).alias("content"))
+    own = pages.where("id >= 0").select(F.col("id").cast("long"), F.col("title"), F.col("content"))
     lists = own.mapInArrow(post, POSTINGS).groupBy("trigram", "block").agg(F.collect_list("ids").alias("lists")).mapInArrow(join, POSTINGS)
     return lists.withColumn("slot", slot_of(F.col("trigram"), slots))
 
@@ -179,6 +179,12 @@ def candidates(spark: SparkSession, path: str, wanted: dict[str, list[int]]) ->
     return whole.select("query", "block", "lists").mapInArrow(meet, "query string, block long, id long")
 
 
+def _matches(query: str, literal: bool) -> Column:
+    """As `search.matching` decides; what both do is tested."""
+    pattern = like_pattern(query, literal)
+    return F.col("title").rlike(pattern) | F.col("content").rlike(pattern)
+
+
 def search_many(spark: SparkSession, path: str, queries: dict[str, tuple[str, bool]]) -> DataFrame:
     """`query` (a name) and the page's columns, of every page that matches; queries: name to (query, literal).
 
@@ -188,14 +194,14 @@ def search_many(spark: SparkSession, path: str, queries: dict[str, tuple[str, bo
     pages = spark.read.schema(columns.add("block", "long")).parquet(f"{path}/pages")
     wanted = {name: query_trigrams(*q) for name, q in queries.items()}
     indexed = {name: own for name, own in wanted.items() if own}
-    scans = [search.matching(pages if name not in indexed else pages.where("block = -1"), *q).withColumn("query", F.lit(name)) for name, q in queries.items()]
+    scans = [(pages if name not in indexed else pages.where("block = -1")).where(_matches(*q)).withColumn("query", F.lit(name)) for name, q in queries.items()]
     if indexed:
         found = cut(candidates(spark, path, indexed))
         blocks = [r.block for r in found.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()]
         near = pages.where(F.col("block").isin(blocks)) if len(blocks) <= NAMED_BLOCKS else pages
         rows = near.join(found, ["block", "id"])
-        hit = [(F.col("query") == name) & (like(F.col("title"), *queries[name]) | like(F.col("content"), *queries[name])) for name in indexed]
-        scans.append(rows.where(reduce(Column.__or__, hit)).select(*pages.columns, "query"))
+        hit = reduce(lambda c, name: c.when(F.col("query") == name, _matches(*queries[name])), indexed, F.when(F.lit(False), F.lit(False)))
+        scans.append(rows.where(hit).select(*pages.columns, "query"))
     return reduce(DataFrame.unionByName, scans).drop("block")
 
 
