@@ -7,13 +7,10 @@ the same in whatever order they are added up, in Spark and in SQL; what rounding
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urljoin, urlsplit
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.urls import canonical, resolve
 from siltstone.operators.state import cut
 
 MASS, DAMPING = 10**15, 85
@@ -26,26 +23,12 @@ def hrefs(html: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
 
 
-def resolved(base: str | None, href: str | None) -> str | None:
-    """The http or https URL that a link means on its page, without fragment; null if there is none."""
-    try:
-        url = urljoin(base or "", re.sub(r"[\t\r\n]", "", href or "").strip())
-        parts = urlsplit(url)
-    except ValueError:
-        return None
-    return url.partition("#")[0] if parts.scheme in ("http", "https") and parts.netloc else None
-
-
 def links(pages: DataFrame) -> DataFrame:
-    """url, target: each different link of pages (url, html); a link to the page itself is none."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            urls, targets = (batch.column(c).to_pylist() for c in ("url", "href"))
-            yield pa.record_batch([pa.array(urls, pa.string()), pa.array([resolved(u, h) for u, h in zip(urls, targets)], pa.string())], names=["url", "target"])
-
-    found = pages.where("url is not null").select("url", F.explode(hrefs(F.col("html"))).alias("href")).mapInArrow(run, "url string, target string")
-    return found.where("target is not null and target <> url").distinct()
+    """url, target: each different http or https link of pages (url, html), resolved and in canonical form; a link to the page itself is none."""
+    found = pages.where("url is not null").select("url", F.explode(hrefs(F.col("html"))).alias("href"))
+    meant = found.select("url", F.array(canonical(resolve(F.col("url"), F.regexp_replace(F.trim("href"), "[\\t\\r\\n]", ""))), canonical(F.col("url"))).alias("both")).distinct()
+    different = meant.where(F.element_at("both", 1).rlike("^https?://[^/?#]") & (F.element_at("both", 1) != F.element_at("both", 2)))
+    return different.select("url", F.element_at("both", 1).alias("target"))
 
 
 def authority(nodes: DataFrame, edges: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:

@@ -436,14 +436,25 @@ def _authority(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
 
 query("link_authority", f"with {links.authority_sql(_NODES, _EDGES, 6)} select node, mass from authority")(lambda s, d: _authority(s, d, 6))
 _HREFS = """select url, unnest(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)) as href from pages"""
+
+
+def _canonical_sql(x: str) -> str:
+    """SQL for the canonical form of an absolute http or https URL without user and port."""
+    encode = lambda t: f"list_aggregate(list_transform(string_split({t}, ''), lambda c: case when regexp_matches(c, '[^!-~]') then url_encode(c) else c end), 'string_agg', '')"
+    parts = f"string_split(substring(regexp_extract({x}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), 2), '/')"
+    path = f"'/' || list_aggregate(list_reduce(list_transform({parts}, lambda s: [s]), lambda a, s: case when s[1] = '..' then a[1 : greatest(len(a) - 1, 0)] when s[1] = '.' then a else a || s end), 'string_agg', '/')"
+    query = rf"regexp_extract({x}, '^[^?#]*(\?[^#]*)', 1)"
+    return f"(lower(regexp_extract({x}, '^[a-zA-Z]+://[^/?#]*')) || coalesce({encode(f'({path})')}, '/') || coalesce({encode(query)}, ''))"
+
+
+query("url_canonical", f"select page_id, {_canonical_sql('url')} as canonical from pages")(lambda s, d: table(s, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical")))
 query(
     "page_links",
     # the tables' links are either from the root of the site, beside the page, or absolute
     f"""with h as (select url, regexp_replace(href, '^["'']|["'']$', '', 'g') as href from ({_HREFS})), p as (
-        select url, href, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder from h)
-    select distinct url, target from (
-        select url, regexp_replace(case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then site || href else site || coalesce(nullif(folder, ''), '/') || href end, '#.*$', '') as target from p)
-    where target <> url""",
+        select url, href, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder from h),
+    t as (select url, case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then site || href else site || coalesce(nullif(folder, ''), '/') || href end as target from p)
+    select distinct url, {_canonical_sql("target")} as target from t where {_canonical_sql("target")} <> {_canonical_sql("url")}""",
 )(lambda s, d: links.links(table(s, d, "pages")))
 
 # A document was crawled when the event of its number was, and its page has the authority of the part of its number.

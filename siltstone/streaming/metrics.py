@@ -9,10 +9,10 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 METRICS = "query string, batch long, metric string, value long, at timestamp"
 
 
-def observed(rows: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """rows with aggregates (of whole numbers) that each micro-batch reports under the name; without any, the number of rows."""
+def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """df with aggregates (of whole numbers) that each micro-batch reports under the name; without any, the number of rows."""
     own = metrics or {"rows": F.count(F.lit(1))}
-    return rows.observe(name, *(c.cast("long").alias(k) for k, c in own.items()))
+    return df.observe(name, *(c.cast("long").alias(k) for k, c in own.items()))
 
 
 class MetricSink(StreamingQueryListener):

@@ -500,12 +500,34 @@ def test_a_trie_decides_as_every_rule_does(rules, path):
     assert robots.Trie(rules).allows(path) == by_every_rule(rules, path)
 
 
+#: The examples of RFC 3986, 5.4, for the base http://a/b/c/d;p?q.
+RESOLVED = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s",
+    "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/",
+    "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g",
+    "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y",
+    "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x", "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http:g",
+}
+CANONICAL = {
+    "HTTP://User@Example.COM:80/%7Euser/a%2fb/../c?x=%61&y=ü ß#frag": "http://User@example.com/~user/c?x=a&y=%C3%BC%20%C3%9F", "https://h:443": "https://h/", "https://h:80/": "https://h:80/", "http://h:/x": "http://h/x", "ftp://h:21/a/./b/": "ftp://h/a/b/",
+    "http://h/%zz%4": "http://h/%zz%4", "http://h/a?": "http://h/a?", "http://h?q=%e4": "http://h/?q=%E4", "mailto:A@B": "mailto:A@B", "http://h/😀": "http://h/%F0%9F%98%80", "/only/../path": "/only/../path",
+}
+
+
+def test_urls_are_resolved_and_canonical(spark):
+    rows = spark.createDataFrame(list(RESOLVED.items()), "ref string, want string").withColumn("got", urls.resolve(F.lit("http://a/b/c/d;p?q"), F.col("ref")))
+    assert {r.ref: r.got for r in rows.collect()} == RESOLVED
+    rows = spark.createDataFrame([(u,) for u in [*CANONICAL, None]], "url string").withColumn("got", urls.canonical(F.col("url")))
+    assert {r.url: r.got for r in rows.collect()} == CANONICAL | {None: None}
+    assert spark.range(1).select(urls.resolve(F.lit("http://h"), F.lit("x"))).first()[0] == "http://h/x"
+
+
 def test_links_of_pages(spark):
     html = """<A HREF='/top'>x</a><a class=b href=rel>y</a><a href="http://o.example/p#f">z</a><a href=" ?q=1 ">q</a><a href="mailto:x@y">m</a><a name=n>n</a><a href="">e</a><a href="//h/x/../y">s</a><link href="/no"><a
       href = "/top">again</a><a href="http://[bad">b</a>"""
     pages = spark.createDataFrame([("https://s.example/d/e", html), ("u", None), (None, html), ("no base", '<a href="x">y</a>')], "url string, html string")
     got = sorted(map(tuple, links.links(pages).collect()))
-    assert got == sorted(("https://s.example/d/e", t) for t in ("https://s.example/top", "https://s.example/d/rel", "http://o.example/p", "https://s.example/d/e?q=1", "https://h/x/../y"))
+    assert got == sorted(("https://s.example/d/e", t) for t in ("https://s.example/top", "https://s.example/d/rel", "http://o.example/p", "https://s.example/d/e?q=1", "https://h/y", "http://[bad/"))
 
 
 def test_authority_is_the_stationary_share(spark):
