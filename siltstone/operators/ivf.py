@@ -55,7 +55,7 @@ def nearest(rows: np.ndarray, middle: np.ndarray, spherical: bool, n: int = 1) -
     """Each row's n nearest centres, the nearest first."""
     near = rows @ middle.T
     near = near if spherical else near - (middle * middle).sum(1) / 2
-    return np.argsort(-near, axis=1, kind="stable")[:, :n]
+    return near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
 
 
 @dataclass
