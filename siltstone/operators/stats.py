@@ -42,31 +42,27 @@ def trend(logs: DataFrame, time: str, key: str, width: str = "1 day") -> DataFra
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), key, "n")
 
 
-#: Different keys that a window's sketch tells apart exactly; with more, counts are upper bounds and rare keys may be missing.
-TRACKED = 10_000
+def panes(logs: DataFrame, time: str, key: str, pane: str) -> DataFrame:
+    """start, key, n: exact counts by pane and key, combined on the map side; to be kept, and added up."""
+    rows = logs.groupBy(F.window(F.col(time).cast("timestamp"), pane), F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return rows.select(F.col("window.start").alias("start"), "key", "n")
 
 
-def sketches(logs: DataFrame, time: str, key: str, pane: str, tracked: int = TRACKED) -> DataFrame:
-    """start, sketch: a frequent-items sketch of each pane's keys, of a bounded size; combined on the map side, and to be kept and merged."""
-    rows = logs.where(F.col(key).isNotNull()).groupBy(F.window(F.col(time).cast("timestamp"), pane))
-    return rows.agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch")).select(F.col("window.start").alias("start"), "sketch")
+def sliding(counts: DataFrame, pane_s: int, width: int) -> DataFrame:
+    """start, key, n of windows of `width` panes that begin at every pane: added up from the panes' counts, not counted again."""
+    moved = counts.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.timestamp_micros(F.unix_micros("start") - k * F.lit(pane_s * 1_000_000)))))
+    return moved.groupBy("start", "key").agg(F.sum("n").alias("n"))
 
 
-def sliding(panes: DataFrame, pane_s: int, width: int, tracked: int = TRACKED) -> DataFrame:
-    """start, sketch of windows of `width` panes that begin at every pane: merged from the panes' sketches, not counted again."""
-    moved = panes.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.timestamp_micros(F.unix_micros("start") - k * F.lit(pane_s * 1_000_000)))))
-    return moved.groupBy("start").agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-
-
-def bursts(windows: DataFrame, earlier_s: tuple[int, int], n_earlier: int, tracked: int = TRACKED) -> DataFrame:
+def bursts(windows: DataFrame, earlier_s: tuple[int, int], n_earlier: int) -> DataFrame:
     """start, key, n, expected, score of each window's keys: how far n is from the mean of the earlier windows, in roots of it.
 
     Earlier windows are the n_earlier that begin from earlier_s[0] to earlier_s[1] seconds before; a key that one lacks counts 0 there.
+    A task holds one key's windows, of which there are no more than panes in the time that is looked at.
     """
-    rows = windows.select("start", F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("e")).select("start", F.col("e.item").alias("key"), F.col("e.count").alias("n"))
     before = Window.partitionBy("key").orderBy(F.unix_seconds("start")).rangeBetween(-earlier_s[0], -earlier_s[1])
     expected = F.coalesce(F.sum("n").over(before), F.lit(0)) / n_earlier
-    return rows.withColumn("expected", expected).withColumn("score", (F.col("n") - F.col("expected")) / F.sqrt(F.col("expected") + 1))
+    return windows.withColumn("expected", expected).withColumn("score", (F.col("n") - F.col("expected")) / F.sqrt(F.col("expected") + 1))
 
 
 def sessions(logs: DataFrame, time: str, key: str, gap: str) -> DataFrame:

@@ -547,7 +547,7 @@ query(
         from counts)
     select make_timestamp(start * 1000000) as start, key, n, round(expected, 6) as expected, round((n - expected) / sqrt(expected + 1), 6) as score from scored""",
 )(
-    lambda s, d: stats.bursts(stats.sliding(stats.sketches(table(s, d, "events"), "ts", "user_id", f"{_PANE} seconds"), _PANE, _PANES), _EARLIER, _N_EARLIER).select(
+    lambda s, d: stats.bursts(stats.sliding(stats.panes(table(s, d, "events"), "ts", "user_id", f"{_PANE} seconds"), _PANE, _PANES), _EARLIER, _N_EARLIER).select(
         F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("expected", 6).alias("expected"), F.round("score", 6).alias("score")
     )
 )

@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone import queries
@@ -41,6 +42,14 @@ def test_all_hits_are_all(spark, tmp_path):
     assert queries.QUERIES["search_all_hits"](spark, str(tmp_path)).count() == n
 
 
+def test_bursts_count_every_key(spark, tmp_path):
+    n = 25_000
+    rows = spark.range(2 * n).selectExpr("id as event_id", f"id % {n} as user_id", "timestamp_ntz'2024-01-01 01:00:00' as ts")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["trend_bursts"](spark, str(tmp_path)).groupBy("start", "n").agg(F.count("*").alias("keys")).collect()
+    assert len(got) == 4 and {(r.n, r["keys"]) for r in got} == {(2, n)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
