@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +11,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from siltstone.functions.text import WS, ascii_lower
+from pyspark.sql.functions import ArrowUDFType
 
 #: Bytes of query vectors and of vectors that meet in one cell of the grid.
 QUERY_BYTES, VECTOR_BYTES = 16 << 20, 64 << 20
 EMBEDDING_SIZE = 64
-_SPACES = re.compile(r"\s+")
+#: Words whose places a task holds.
+KNOWN_WORDS = 1 << 18
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -137,36 +135,53 @@ def clusters(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=10).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+class _Places(dict):
+    """Of each word its dimension, and `size` more for a negative sign; by md5 once a word, held for KNOWN_WORDS of them."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.translate(_LOWER).encode()).hexdigest()
+        found = int(digest[:8], 16) % self.size + (self.size if digest[8] >= "8" else 0)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        """A row a text: words with a positive sign less those with a negative one, by dimension."""
+        out = np.zeros((len(texts), self.size), np.int32)
+        for row, x in zip(out, texts):
+            words = x.split()  # at the characters of WS
+            if words:
+                both = np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=2 * self.size)
+                row[:] = both[: self.size] - both[self.size :]
+        return out
+
+
 def hashed_embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:
-    """A deterministic offline embedding: signed feature hashing of lower-cased words, before normalisation.
+    """A deterministic offline embedding: signed feature hashing of lower-cased words, before normalisation; of null as of ''.
 
-    A word's md5 gives its dimension (first 8 hex digits) and sign (ninth).
+    A word's md5 gives its dimension (first 8 hex digits) and sign (ninth). In Arrow batches: as an expression, each word copies the
+    whole vector.
     """
-    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), f"{WS}+"), lambda w: w != "")
-    place = F.transform(words, lambda w: F.struct((F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("int").alias("i"), F.when(F.substring(F.md5(w), 9, 1) < "8", 1).otherwise(-1).alias("s")))
-    zero = F.array_repeat(F.lit(0), size)
-    # One pass over the words; each step replaces one cell.
-    return F.aggregate(place, zero, lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["i"]), F.array(F.element_at(acc, p["i"] + 1) + p["s"]), F.slice(acc, p["i"] + 2, F.lit(size))))
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = _Places(size)
+        for batch in batches:
+            found = [places.matrix([x or "" for x in batch.slice(at, 256).to_pylist()]) for at in range(0, len(batch), 256)]
+            flat = np.concatenate(found).ravel() if found else np.zeros(0, np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * size), pa.array(flat))
 
-def hashing_embedder(size: int = EMBEDDING_SIZE):  # noqa: ANN201
-    """`hashed_embedding` as an embedder for `embed`."""
-
-    @lru_cache(maxsize=1 << 16)
-    def place(word: str) -> tuple[int, int]:
-        digest = hashlib.md5(word.encode()).hexdigest()
-        return int(digest[:8], 16) % size, 1 if digest[8] < "8" else -1
+    return F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER)(text)
 
-    def model(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), np.float32)
-        for row, x in zip(out, texts):
-            for word in _SPACES.split(x.translate(_LOWER)):
-                if word:
-                    i, sign = place(word)
-                    row[i] += sign
-        return out
 
-    return model
+def hashing_embedder(size: int = EMBEDDING_SIZE):  # noqa: ANN201
+    """`hashed_embedding` as an embedder for `embed`."""
+    places = _Places(size)
+    return lambda texts: places.matrix(texts).astype(np.float32)
 
 
 def embed(chunks: DataFrame, embedder, text: str = "chunk_text", size: int = EMBEDDING_SIZE) -> DataFrame:  # noqa: ANN001

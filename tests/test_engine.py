@@ -559,3 +559,14 @@ def test_ingestion_plan(spark, sf):
     chunks = ingestion.chunks(ingestion.stored(raw))
     vectors = ingestion.vectors(chunks)
     assert vectors.count() == chunks.count() and len(vectors.first().vector) == 64
+
+
+def test_embedding_of_a_long_text(spark):
+    begin = time.monotonic()
+    rows = spark.range(1).select(F.expr("repeat('Ab cd ', 1000000)").alias("x"))
+    got = rows.select(vector.hashed_embedding(F.col("x")).alias("v")).first().v
+    want = [0] * 64
+    for w in ("ab", "cd"):
+        digest = hashlib.md5(w.encode()).hexdigest()
+        want[int(digest[:8], 16) % 64] += 1_000_000 if digest[8] < "8" else -1_000_000
+    assert got == want and time.monotonic() - begin < 10  # about a second; each word once copied the vector
