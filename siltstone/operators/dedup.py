@@ -31,10 +31,10 @@ def ingest(pages: DataFrame, seq: str = "id") -> DataFrame:
     Each round accepts what is the first undecided row of both its groups and refuses what shares a group with it. A null
     hash is nobody's rival, an empty one is like any other; rows with a null url are refused. Rows of one seq go by hash
     within a url and by url within a hash; rows equal in all three are one row, and all stay or none. Rounds are few: a chain
-    of refusals is what makes another one necessary. Lineage is cut each round.
+    of refusals is what makes another one necessary. Lineage is cut before the first round and in each: pages are evaluated twice.
     """
     same = [seq, "url", "content_hash"]
-    left = pages.where("url is not null").select(same)
+    left = cut(pages.where("url is not null").select(same))
     accepted = None
     while True:
         by_url, by_hash = (left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(F.struct(seq, other)).alias(f"_{k}")) for k, other in (("url", "content_hash"), ("content_hash", "url")))

@@ -112,7 +112,7 @@ def lightweight(pages: DataFrame) -> DataFrame:
             body = F.regexp_replace(body, of_class(c), "")
         found = first_of(h, [element("article"), element("main"), ROLE_MAIN, *map(of_class, CONTENT_CLASSES)])
         found = bound(found, lambda f: F.when(f == "", body).otherwise(f))
-        return clean_text(F.concat_ws("\n", title(h, F.col("url")), description(h), clean_text(joined_text(found, "\n"))))
+        return bound(F.concat_ws("\n", title(h, F.col("url")), description(h), bound(joined_text(found, "\n"), clean_text)), clean_text)
 
     return _out(read(pages, BOILERPLATE, F.col("url"), content), "Failed to fetch")
 

@@ -1,4 +1,4 @@
-"""The ingestion plan as one lazy graph: raw pages, extracted text, deduplicated pages, chunks, vectors."""
+"""The ingestion plan: raw pages, extracted text, deduplicated pages, chunks, vectors."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunk, dedup, extract, vector
+from siltstone.operators.state import cut
 
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"lightweight": extract.lightweight, "minimal": extract.minimal, "worker": extract.worker, "body": extract.body_text, "direct": extract.direct}
 
 
 def extracted(raw: DataFrame, extractor: str = "lightweight") -> DataFrame:
-    """Stored-page rows of raw pages; those without any content are left out."""
-    found = EXTRACTORS[extractor](raw).where("content <> ''")
+    """Stored-page rows of raw pages; those without any content are left out. Text is extracted once: what follows reads it back."""
+    found = cut(EXTRACTORS[extractor](raw)).where("content <> ''")
     return found.join(raw.select("page_id", "url"), "page_id").select(F.col("page_id").alias("id"), "url", "title", "content", "content_hash", F.lit("en").alias("language"))
 
 

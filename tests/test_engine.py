@@ -561,6 +561,22 @@ def test_ingestion_plan(spark, sf):
     assert vectors.count() == chunks.count() and len(vectors.first().vector) == 64
 
 
+def test_pages_are_extracted_once(spark, sf, monkeypatch):
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        times.add(1)
+        return x
+
+    own = lambda raw: extract.lightweight(raw).withColumn("content", seen("content"))
+    raw = landed.raw_pages(spark, f"{sf}/pages.parquet")
+    want = sorted(r.id for r in ingestion.stored(raw).collect())
+    monkeypatch.setitem(ingestion.EXTRACTORS, "counted", own)
+    assert sorted(r.id for r in ingestion.stored(raw, "counted").collect()) == want
+    assert times.value == raw.count()
+
+
 def test_embedding_of_a_long_text(spark):
     begin = time.monotonic()
     rows = spark.range(1).select(F.expr("repeat('Ab cd ', 1000000)").alias("x"))
