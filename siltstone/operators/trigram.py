@@ -30,6 +30,8 @@ from siltstone.operators.state import cut
 BLOCK, SLOTS = 1 << 14, 32
 #: Postings that a task gathers before it makes lists of them; one text's are never parted.
 SLICE_CHARS = 2_000_000
+#: Bytes of lists that are joined or intersected at a time.
+JOINED = 1 << 20
 #: Up to so many blocks with candidates are named in the pages' scan; beyond, pages are read whole and joined.
 NAMED_BLOCKS = 1000
 POSTINGS = "trigram long, block long, ids binary"
@@ -107,6 +109,20 @@ def _posted(trigram: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(trigram[at]), pa.array(own[at]), pack(ids - own * block, at)], names=["trigram", "block", "ids"])
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose `lists` have JOINED bytes, or one row: a number takes a byte at least, and some hundred while it is joined."""
+    lists = batch.column("lists")
+    sizes = np.asarray(pc.fill_null(pc.binary_length(lists.flatten()), 0), np.int64)
+    ends = np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
+    total = np.concatenate([[0], np.cumsum(sizes)])[ends]
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + JOINED, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """POSTINGS and slot of pages (id, title, content), ids not negative: tasks post slices, lists of one trigram and block are joined."""
 
@@ -126,7 +142,7 @@ def postings(pages: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFr
             yield _posted(*map(np.concatenate, zip(*found)), block)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             lists = batch.column("lists")
             numbers, value = unpack(lists.flatten())
             owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))[value]
@@ -164,8 +180,7 @@ def candidates(spark: SparkSession, path: str, wanted: dict[str, list[int]]) ->
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts(batch):
                 query, own, ids = [], [], []
                 for q, b, lists in zip(*(part.column(c) for c in ("query", "block", "lists"))):
                     numbers, _ = unpack(lists.values)

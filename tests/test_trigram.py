@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -32,6 +33,15 @@ def test_no_match_lacks_a_trigram(query, content, literal):
         assert set(trigram.query_trigrams(query.upper() if query.isascii() else query, literal)) <= set(trigram.trigrams(content).tolist())
 
 
+def test_lists_are_joined_in_pieces(monkeypatch):
+    monkeypatch.setattr(trigram, "JOINED", 1000)
+    lists = [[b"x" * (k * 37 % 400)] * (k % 4) for k in range(200)] + [[b"x" * 5000], [], [b"y"]]
+    batch = pa.record_batch([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.binary()))], names=["k", "lists"]).slice(3)
+    found = [p.to_pydict() for p in trigram.parts(batch)]
+    assert sum((p["k"] for p in found), []) == list(range(3, len(lists)))
+    assert all(len(p["k"]) == 1 or sum(len(b) for x in p["lists"] for b in x) <= 1000 for p in found) and len(found) < 80
+
+
 def pages():
     words = "The quick brown Fox jumps over Lazy dogs ÄÖÜ straße 漢字かな 😀😀😀 100% a_b a%b back\\slash".split()
     rows = [(k * 7, " ".join(words[k % 5 : k % 5 + 2]), " ".join(words[(k * j) % len(words)] for j in range(k % 13)), "mine", 1) for k in range(300)]
