@@ -406,12 +406,16 @@ _VECTOR = f"vec as (select vec_id, {_COS.format(a='embedding', b='(select embedd
 _HOSTS = "hosts as (select source, count(*)::double / (select max(n) from (select count(*) as n from documents group by source)) as domain_score from documents group by source)"
 
 
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, v: the similarity of the vector with the document's id to the first vector."""
+    vectors, first = table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)
+    return vectors.select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, map(float, first)))).alias("v"))
+
+
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, source, v (similarity of the vector with the document's id to the first vector), domain_score."""
-    docs, vectors, first = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)
-    own = F.col("embedding").cast("array<double>")
-    scored = vectors.select(F.col("vec_id").alias("doc_id"), vector.cosine(own, F.array(*map(F.lit, map(float, first)))).alias("v"))
-    return docs.select("doc_id", "text", "source").join(scored, "doc_id", "left").withColumn("v", F.coalesce("v", F.lit(0.0))).join(rank.host_share(docs, "source"), "source")
+    """doc_id, text, source, v, domain_score."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "text", "source").join(_similar(spark, sf_dir), "doc_id", "left").withColumn("v", F.coalesce("v", F.lit(0.0))).join(rank.host_share(docs, "source"), "source")
 
 
 query(
@@ -426,15 +430,22 @@ _EDGES = f"""select 'p' || l_partkey::varchar as source, 's' || l_suppkey::varch
 
 
 def _authority(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    nodes = table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("node")).unionAll(table(spark, sf_dir, "supplier").select(name("s", "s_suppkey")))
+    """node (twice a part's number, or twice a supplier's and one), mass: numbers travel in half the bytes of names."""
+    number = lambda kind, c: (F.col(c) * 2 + kind)
+    nodes = table(spark, sf_dir, "part").select(number(0, "p_partkey").alias("node")).unionAll(table(spark, sf_dir, "supplier").select(number(1, "s_suppkey")))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.lead("l_partkey").over(order).alias("next_part"))
-    edges = lines.select(name("p", "l_partkey").alias("source"), name("s", "l_suppkey").alias("target")).unionAll(lines.where("next_part is not null").select(name("s", "l_suppkey"), name("p", "next_part")))
+    both = F.array(F.struct(number(0, "l_partkey").alias("source"), number(1, "l_suppkey").alias("target")), F.struct(number(1, "l_suppkey").alias("source"), number(0, "next_part").alias("target")))
+    edges = lines.select(F.explode(both).alias("e")).select("e.*").where("source is not null and target is not null")  # one pass over the lines
     return links.authority(nodes, edges.distinct(), rounds, tolerance=0)
 
 
-query("link_authority", f"with {links.authority_sql(_NODES, _EDGES, 6)} select node, mass from authority")(lambda s, d: _authority(s, d, 6))
+def _link_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.pmod("node", F.lit(2)) == 0, "p").otherwise("s")
+    return _authority(spark, sf_dir, 6).select(F.concat(kind, F.shiftright("node", 1).cast("string")).alias("node"), "mass")
+
+
+query("link_authority", f"with {links.authority_sql(_NODES, _EDGES, 6)} select node, mass from authority")(_link_authority)
 _HREFS = """select url, unnest(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)) as href from pages"""
 
 
@@ -470,9 +481,10 @@ query(
 def _rank_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     mass, events = _authority(spark, sf_dir, 3), table(spark, sf_dir, "events")
     one = F.broadcast(mass.agg(F.max("mass").alias("most")).crossJoin(events.agg(F.max("ts").alias("now"))))  # a single row
-    rows = _factors(spark, sf_dir).withColumn("node", F.concat(F.lit("p"), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", rank.keyword_share(F.col("text"), _TERMS).alias("k"), (F.col("doc_id") * 2).alias("node"))  # texts don't travel
+    rows = docs.join(_similar(spark, sf_dir), "doc_id", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     rows = rows.join(mass, "node", "left").join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").crossJoin(one)
-    score = rank.extended(F.col("v"), rank.keyword_share(F.col("text"), _TERMS), rank.relative(F.col("mass"), F.col("most")), rank.freshness(F.col("ts"), F.col("now")), F.coalesce("quality", F.lit(0)))
+    score = rank.extended(F.col("v"), F.col("k"), rank.relative(F.col("mass"), F.col("most")), rank.freshness(F.col("ts"), F.col("now")), F.coalesce("quality", F.lit(0)))
     return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 

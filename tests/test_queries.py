@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone import queries
+from siltstone.operators import links
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -50,6 +51,15 @@ def test_bursts_count_every_key(spark, tmp_path):
     assert len(got) == 4 and {(r.n, r["keys"]) for r in got} == {(2, n)}
 
 
+def test_authority_goes_by_numbers(spark, sf, monkeypatch):
+    seen, real = [], links.authority
+    monkeypatch.setattr(links, "authority", lambda nodes, edges, *a, **k: seen.extend([nodes, edges]) or real(nodes, edges, *a, **k))
+    assert queries.QUERIES["link_authority"](spark, sf).dtypes == [("node", "string"), ("mass", "bigint")]
+    plan = queries.QUERIES["rank_extended"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 4 and {t for df in seen for _, t in df.dtypes} == {"bigint"}
+    assert all("translate(" in line or "Relation" in line for line in plan.split("\n") if "text#" in line)  # no text is joined
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
