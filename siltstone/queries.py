@@ -429,7 +429,7 @@ _EDGES = f"""select 'p' || l_partkey::varchar as source, 's' || l_suppkey::varch
     union select 's' || l_suppkey::varchar, 'p' || next_part::varchar from ({_LINES}) where next_part is not null"""
 
 
-def _authority(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+def _authority(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> DataFrame:
     """node (twice a part's number, or twice a supplier's and one), mass: numbers travel in half the bytes of names."""
     number = lambda kind, c: (F.col(c) * 2 + kind)
     nodes = table(spark, sf_dir, "part").select(number(0, "p_partkey").alias("node")).unionAll(table(spark, sf_dir, "supplier").select(number(1, "s_suppkey")))
@@ -468,24 +468,24 @@ query(
     select distinct url, {_canonical_sql("target")} as target from t where {_canonical_sql("target")} <> {_canonical_sql("url")}""",
 )(lambda s, d: links.links(table(s, d, "pages")))
 
-# A document was crawled when the event of its number was, and its page has the authority of the part of its number.
+# Every document is ranked, by settled authority. A document was crawled when the event of its number was, and its page has the authority of the part of its number.
 query(
     "rank_extended",
-    f"""with {_VECTOR}, {links.authority_sql(_NODES, _EDGES, 3)}, au as (select node, mass::double / (select max(mass) from authority) as a from authority),
+    f"""with recursive {_VECTOR}, {links.settled_sql(_NODES, _EDGES)}, au as (select node, mass::double / (select max(mass) from authority) as a from authority),
         fresh as (select event_id, least(pow(0.5::double, (epoch_us((select max(ts) from events)) - epoch_us(ts)) / 86400000000.0::double / 30.0::double), 1.0::double) as f from events)
     select doc_id, round(0.4::double * coalesce(v, 0) + 0.2::double * ({_KEYWORD}) + 0.15::double * coalesce(a, 0) + 0.15::double * coalesce(f, 0) + 0.1::double * coalesce(quality, 0), 6) as score
-    from documents left join vec on vec_id = doc_id left join au on node = 'p' || doc_id::varchar left join fresh on event_id = doc_id left join labels using (doc_id) order by 2 desc, 1 limit 20""",
+    from documents left join vec on vec_id = doc_id left join au on node = 'p' || doc_id::varchar left join fresh on event_id = doc_id left join labels using (doc_id) order by 2 desc, 1""",
 )(lambda s, d: _rank_extended(s, d))
 
 
 def _rank_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mass, events = _authority(spark, sf_dir, 3), table(spark, sf_dir, "events")
+    mass, events = _authority(spark, sf_dir), table(spark, sf_dir, "events")
     one = F.broadcast(mass.agg(F.max("mass").alias("most")).crossJoin(events.agg(F.max("ts").alias("now"))))  # a single row
     docs = table(spark, sf_dir, "documents").select("doc_id", rank.keyword_share(F.col("text"), _TERMS).alias("k"), (F.col("doc_id") * 2).alias("node"))  # texts don't travel
     rows = docs.join(_similar(spark, sf_dir), "doc_id", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     rows = rows.join(mass, "node", "left").join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").crossJoin(one)
     score = rank.extended(F.col("v"), F.col("k"), rank.relative(F.col("mass"), F.col("most")), rank.freshness(F.col("ts"), F.col("now")), F.coalesce("quality", F.lit(0)))
-    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
 query(

@@ -4,6 +4,7 @@ import importlib
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,31 @@ def test_authority_goes_by_numbers(spark, sf, monkeypatch):
     assert all("translate(" in line or "Relation" in line for line in plan.split("\n") if "text#" in line)  # no text is joined
 
 
+def test_ranking_is_whole(spark, sf, monkeypatch):
+    seen, real = [], links.authority
+
+    def kept(nodes, edges, *a, **k):
+        seen.extend([nodes, edges, real(nodes, edges, *a, **k)])
+        return seen[2]
+
+    monkeypatch.setattr(links, "authority", kept)
+    ranked = queries.QUERIES["rank_extended"](spark, sf).collect()
+    assert sorted(r.doc_id for r in ranked) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert ranked == sorted(ranked, key=lambda r: (-r.score, r.doc_id))
+    nodes, edges, mass = ([tuple(r) for r in df.collect()] for df in seen)
+    place = {node: i for i, (node,) in enumerate(nodes)}
+    follow = np.zeros((len(nodes), len(nodes)))
+    for source, target in edges:
+        follow[place[target], place[source]] = 1
+    follow = follow / np.maximum(follow.sum(axis=0), 1) * 0.85
+    jump = np.ones_like(follow) * (1 - follow.sum(axis=0)) / len(nodes)
+    want = np.full(len(nodes), 1 / len(nodes))
+    for _ in range(400):
+        want = (follow + jump) @ want
+    got = np.array([m / links.MASS for _, m in sorted(mass, key=lambda r: place[r[0]])])
+    assert np.abs(got - want).sum() < 1e-9
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
